@@ -3,6 +3,9 @@
 ``edges(keys…, src, dst, relation)`` keeps parallel edges as separate rows; ``nodes(keys…,
 node_id, label)`` has one row per node. Entity nodes use their label as id; operation nodes are
 ``op:<ordinal>``.
+
+Builders write the annotated log (and edges that are costly to derive) to the checkpoint folder
+once, because nodes, edges and every kernel iteration read them again.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from agentrace.operators.logs import (
     operations,
 )
 from agentrace.operators.ordered import CHUNK, running
+from agentrace.session import materialize
 
 PRECEDES = "DIRECTLY_PRECEDES"
 DIMENSIONS = ("permission", "information", "tool")
@@ -88,7 +92,7 @@ def trajectory_graph(
     log: DataFrame, keys: Sequence[str], chunk: int = CHUNK
 ) -> tuple[DataFrame, DataFrame]:
     """Graph of tool invocations; scalar arguments become argument nodes."""
-    ops = invocations(log, keys, chunk).withColumn(
+    ops = materialize(invocations(log, keys, chunk), "invocations").withColumn(
         "_args", F.expr("cast(try_parse_json(arguments) as map<string, variant>)")
     )
     scalar = F.filter(
@@ -114,7 +118,7 @@ def permission_graph(
     log: DataFrame, keys: Sequence[str], chunk: int = CHUNK
 ) -> tuple[DataFrame, DataFrame]:
     """Graph of a permission plan: calls and the fields they request."""
-    tagged = annotate_calls(log, keys, chunk)
+    tagged = materialize(annotate_calls(log, keys, chunk), "calls")
     ops = operations(tagged, keys)
     requests = tagged.filter(
         (F.col("type") == "permission_request") & F.col("active_op").isNotNull()
@@ -134,7 +138,7 @@ def sandbox_graph(
     log: DataFrame, keys: Sequence[str], chunk: int = CHUNK
 ) -> tuple[DataFrame, DataFrame]:
     """Graph of an app-sandbox run: calls, permissions, reads, disclosures, state changes."""
-    tagged = annotate_calls(log, keys, chunk)
+    tagged = materialize(annotate_calls(log, keys, chunk), "calls")
     ops = operations(tagged, keys)
     active = tagged.filter(F.col("active_op").isNotNull())
     src = op_id(F.col("active_op")).alias("src")
@@ -189,7 +193,9 @@ def sandbox_graph(
             .otherwise(state)
         ),
     )
-    edges = operation_edges(ops, keys).unionByName(requests).unionByName(emitted)
+    edges = materialize(
+        operation_edges(ops, keys).unionByName(requests).unionByName(emitted), "edges"
+    )
     return assemble(operation_nodes(ops, keys), edges, keys)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agentrace.operators.graphs import PRECEDES
+from agentrace.session import materialize
 
 REPEATS = 3
 PAIRS_WITHIN = tuple((i, j) for i in range(REPEATS) for j in range(i + 1, REPEATS))
@@ -86,11 +87,13 @@ def wl_features(
 def form_vectors(features: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Feature counts of the (at most three) repeats of a form, side by side in one row.
 
-    ``keys`` are the form keys, without the repeat.
+    ``keys`` are the form keys, without the repeat. The table is written once: norms, internal
+    pairs and both sides of the source-variant join all read it.
     """
-    return features.groupBy(*keys, "iteration", "feature").agg(
+    counted = features.groupBy(*keys, "iteration", "feature").agg(
         *[F.count_if(F.col("repeat") == r).cast("double").alias(f"c{r}") for r in range(REPEATS)]
     )
+    return materialize(counted, "vectors")
 
 
 def _dots(left: str, right: str, pairs) -> list[Column]:

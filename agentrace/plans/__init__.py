@@ -4,6 +4,7 @@ from importlib import import_module
 
 THEMES = (
     "similarity",
+    "consequences",
 )
 
 
