@@ -94,23 +94,37 @@ def modifiers(normalized: Column) -> Column:
     )
 
 
-def request_format(normalized: Column, mods: Column) -> Column:
-    """Id of the first matching format; NULL when none matches.
+def request_openings(normalized: Column) -> Column:
+    """Every phrase that opens a request somewhere in the text, from a single scan.
 
-    One scan with all openings joined rejects the many texts without any of them before the
-    ordered patterns are tried one by one.
+    The alternatives stand in matching order, so each place yields its first format.
     """
-    please = F.array_contains(mods, "please_suffix")
-    thanks = F.array_contains(mods, "thanks_suffix")
-    some = _found(normalized, LEAD + "(?:" + "|".join(p for _, _, _, p, _ in FORMATS) + ")")
-    first = F.coalesce(
-        *[F.when(_found(normalized, LEAD + pattern), name) for name, _, _, pattern, _ in FORMATS]
+    anything = "|".join(pattern for _, _, _, pattern, _ in FORMATS)
+    return F.regexp_extract_all(normalized, F.lit(f"(?iU){LEAD}({anything})"), F.lit(1))
+
+
+def request_format(openings: Column, mods: Column) -> Column:
+    """Id of the first format, in matching order, among the openings; NULL without any.
+
+    A closing "please" or "thanks" decides for direct imperatives and texts without opening.
+    """
+    place = lambda phrase: F.coalesce(
+        *[
+            F.when(F.regexp_like(phrase, F.lit(f"(?iU)^(?:{pattern})$")), i)
+            for i, (_, _, _, pattern, _) in enumerate(FORMATS, 1)
+        ]
+    )
+    first = F.array_min(F.transform(openings, place))
+    direct = len(FORMATS)  # the direct imperative is the last format
+    by_suffix = F.when(F.array_contains(mods, "please_suffix"), "please_suffix").when(
+        F.array_contains(mods, "thanks_suffix"), "thanks_suffix"
+    )
+    name = F.element_at(F.array(*[F.lit(f[0]) for f in FORMATS]), F.coalesce(first, F.lit(direct)))
+    return (
+        F.when(first.isNull(), by_suffix)
+        .when(first == direct, F.coalesce(by_suffix, name))
+        .otherwise(name)
     )
-    opening = F.when(some, first)
-    by_suffix = F.when(please, "please_suffix").when(thanks, "thanks_suffix")
-    return F.when(
-        opening.isNull() | (opening == "direct_imperative"), F.coalesce(by_suffix, opening)
-    ).otherwise(opening)
 
 
 def word_tokens(text: Column) -> Column:

@@ -116,9 +116,11 @@ def request_counters(first_turns: DataFrame) -> DataFrame:
 
 
 def with_format(turns: DataFrame) -> DataFrame:
-    return turns.withColumn("modifiers", R.modifiers(F.col("normalized"))).withColumn(
-        "format_id", R.request_format(F.col("normalized"), F.col("modifiers"))
-    )
+    text = F.col("normalized")
+    found = turns.withColumns({"modifiers": R.modifiers(text), "_openings": R.request_openings(text)})
+    return found.withColumn(
+        "format_id", R.request_format(F.col("_openings"), F.col("modifiers"))
+    ).drop("_openings")
 
 
 def eligible_requests(first_turns: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ THEMES = (
     "similarity",
     "consequences",
     "corpus",
+    "variants",
 )
 
 

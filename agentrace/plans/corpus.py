@@ -34,7 +34,7 @@ def normalize_sql(x: str) -> str:
 
 
 TURNS = f"""dec AS (SELECT conv_id, turn, role, (['en','de','fr','es'])[conv_id % 4 + 1] AS language, conv_id % 11 = 3 AS toxic, {DECORATE} AS text FROM conversations),
-turns AS (SELECT * FROM dec UNION ALL SELECT conv_id, turn + 1000, role, language, toxic, upper(text) FROM dec WHERE conv_id % 10 = 0),
+turns AS (SELECT * FROM dec UNION ALL SELECT conv_id, turn + 1000, role, language, toxic, replace(text, 'e', 'E') FROM dec WHERE conv_id % 10 = 0),
 norm AS (SELECT *, {normalize_sql("text")} AS normalized FROM turns WHERE role = 'user')"""
 
 MODS = ", ".join(
@@ -58,7 +58,7 @@ def formats_sql(source: str, name: str) -> str:
 
 
 def conversation_turns(spark, sf_dir) -> DataFrame:
-    """Turns with language and toxicity, request phrases added by turn, and upper-case copies."""
+    """Turns with language and toxicity, request phrases added by turn, and copies that differ in case."""
     t = table(spark, sf_dir, "conversations")
     text, k = F.col("text"), (F.col("conv_id") + F.col("turn")) % 8
     decorated = (
@@ -80,7 +80,7 @@ def conversation_turns(spark, sf_dir) -> DataFrame:
         decorated.alias("text"),
     )
     copies = base.filter(F.col("conv_id") % 10 == 0).withColumns(
-        {"turn": F.col("turn") + 1000, "text": F.upper("text")}
+        {"turn": F.col("turn") + 1000, "text": F.replace(F.col("text"), F.lit("e"), F.lit("E"))}
     )
     return base.unionByName(copies)
 
