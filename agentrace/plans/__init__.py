@@ -7,6 +7,8 @@ THEMES = (
     "consequences",
     "corpus",
     "variants",
+    "judging",
+    "campaign",
 )
 
 
