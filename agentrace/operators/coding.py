@@ -133,7 +133,7 @@ def step_calls(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _op(kind, family, outcome, program, found) -> Column:
     return F.struct(
         kind.alias("kind"),
-        family.alias("family"),
+        family.alias("tool"),
         outcome.alias("outcome"),
         program.alias("program"),
         found.alias("paths"),
@@ -201,7 +201,7 @@ def coding_graph(ops: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFr
     """Nodes and edges of coding trajectories in the shared operation vocabulary."""
     src = op_id(F.col("op_ord"))
     label = F.concat(
-        F.lit("op:"), F.col("kind"), F.lit("|tool:"), F.col("family"), F.lit("|outcome:"), F.col("outcome")
+        F.lit("op:"), F.col("kind"), F.lit("|tool:"), F.col("tool"), F.lit("|outcome:"), F.col("outcome")
     )
     nodes = ops.select(*keys, src.alias("node_id"), label.alias("label"))
     relation = (
@@ -214,7 +214,7 @@ def coding_graph(ops: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFr
     edge = lambda s, d, r: F.struct(s.alias("src"), d.alias("dst"), r.alias("relation"))
     base = F.array_compact(
         F.array(
-            edge(src, F.concat(F.lit("tool:"), slug(F.col("family"))), F.lit("USES")),
+            edge(src, F.concat(F.lit("tool:"), slug(F.col("tool"))), F.lit("USES")),
             F.when(
                 F.coalesce("program", F.lit("")) != "",
                 edge(src, F.concat(F.lit("argument:"), slug(F.concat(F.lit("program="), F.col("program")))), F.lit("HAS_ARGUMENT")),

@@ -9,6 +9,7 @@ THEMES = (
     "variants",
     "judging",
     "campaign",
+    "library",
 )
 
 

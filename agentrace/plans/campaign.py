@@ -263,7 +263,7 @@ def steps_table(base: DataFrame) -> DataFrame:
 
 CODING = f"""{STEPS},
 raw AS (
-  SELECT {CQ.K}, 'read_file' AS kind, 'file' AS family, '/data/a' || (k % 3) || '.csv' AS paths, value, k FROM cl WHERE event_type = 'view'
+  SELECT {CQ.K}, 'read_file' AS kind, 'file' AS tool, '/data/a' || (k % 3) || '.csv' AS paths, value, k FROM cl WHERE event_type = 'view'
   UNION ALL SELECT {CQ.K}, 'write_file', 'file', 'b' || (k % 3) || '.py|c.py', value, k FROM cl WHERE event_type = 'purchase'
   UNION ALL SELECT {CQ.K}, 'network', 'web', 'h' || (k % 3) || '.org', value, k FROM cl WHERE event_type = 'signup'
   UNION ALL SELECT {CQ.K}, 'other', 'my_tool', '', value, k FROM cl WHERE event_type = 'error' AND k % 2 = 1)"""
@@ -278,12 +278,12 @@ def coding_ops(spark, sf_dir):
 
 @query(
     "coding_file_ops",
-    f"""WITH {CODING} SELECT {CQ.K}, kind, family, paths, CASE WHEN value > 100 THEN 'error' ELSE 'ok' END AS outcome, count(*) AS n FROM raw GROUP BY ALL""",
+    f"""WITH {CODING} SELECT {CQ.K}, kind, tool, paths, CASE WHEN value > 100 THEN 'error' ELSE 'ok' END AS outcome, count(*) AS n FROM raw GROUP BY ALL""",
 )
 def coding_file_ops(spark, sf_dir):
     calls = CD.step_calls(steps_table(runs_base(spark, sf_dir)), CQ.KEYS)
-    ops = CD.call_operations(calls, CQ.KEYS).filter(~F.col("family").isin("shell", "plan"))
-    return ops.groupBy(*CQ.KEYS, "kind", "family", F.array_join("paths", "|").alias("paths"), "outcome").agg(
+    ops = CD.call_operations(calls, CQ.KEYS).filter(~F.col("tool").isin("shell", "plan"))
+    return ops.groupBy(*CQ.KEYS, "kind", "tool", F.array_join("paths", "|").alias("paths"), "outcome").agg(
         F.count(F.lit(1)).alias("n")
     )
 
