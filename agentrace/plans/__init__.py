@@ -10,6 +10,7 @@ THEMES = (
     "judging",
     "campaign",
     "library",
+    "incremental",
 )
 
 

@@ -58,8 +58,12 @@ def formats_sql(source: str, name: str) -> str:
 
 
 def conversation_turns(spark, sf_dir) -> DataFrame:
-    """Turns with language and toxicity, request phrases added by turn, and copies that differ in case."""
-    t = table(spark, sf_dir, "conversations")
+    return decorate(table(spark, sf_dir, "conversations"))
+
+
+def decorate(t: DataFrame) -> DataFrame:
+    """Turns with language and toxicity, request phrases added by turn, and copies that differ
+    in case only."""
     text, k = F.col("text"), (F.col("conv_id") + F.col("turn")) % 8
     decorated = (
         F.when(k == 0, F.concat(F.lit("Could you please "), text))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentrace.operators.logs import DATASET_BY_PREFIX
-
 RUN_KEYS = ("model", "task_id", "family", "form", "repeat")
 
 # The ten forms of a task, in day order (three days, one per repeat, each).
@@ -24,8 +22,12 @@ def pick(values, index) -> F.Column:
 
 
 def runs_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_events(table(spark, sf_dir, "events"))
+
+
+def keyed_events(events: DataFrame) -> DataFrame:
     """``events`` keyed as executions: one log per user and day, three days per form."""
-    ev = table(spark, sf_dir, "events").select(
+    ev = events.select(
         "event_id",
         "user_id",
         "event_type",
@@ -185,16 +187,10 @@ def results(base: DataFrame) -> DataFrame:
     )
 
 
-def dataset_of(task_id) -> F.Column:
-    from agentrace.operators.logs import dataset_name
-
-    return dataset_name(task_id)
-
-
 __all__ = [
-    "DATASET_BY_PREFIX",
     "FORMS",
     "RUN_KEYS",
+    "keyed_events",
     "permission_log",
     "results",
     "runs_base",
