@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agentrace.operators.graphs import PRECEDES
+from agentrace.operators.ordered import with_compact_key
 from agentrace.session import materialize
 
 REPEATS = 3
@@ -22,40 +23,50 @@ PAIRS_ACROSS = tuple((i, j) for i in range(REPEATS) for j in range(REPEATS))
 
 
 def wl_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], h: int = 2) -> DataFrame:
-    """Node labels ``l0 … lh`` of every graph."""
-    half = edges.select(
-        *keys,
+    """Node labels ``l0 … lh`` of every graph.
+
+    Graphs and nodes are addressed by hashes while messages travel along edges, so the big
+    shuffles carry four longs per half-edge; the key columns stay with the node rows.
+    """
+    end = lambda c: F.xxhash64(c)
+    half = with_compact_key(edges, keys).select(
+        "_k1",
+        "_k2",
         F.inline(
             F.array(
                 F.struct(
-                    F.col("src").alias("node_id"),
-                    F.col("dst").alias("nbr"),
+                    end("src").alias("_node"),
+                    end("dst").alias("_nbr"),
                     F.xxhash64(F.lit("OUT"), "relation").alias("tag"),
                 ),
                 F.struct(
-                    F.col("dst").alias("node_id"),
-                    F.col("src").alias("nbr"),
+                    end("dst").alias("_node"),
+                    end("src").alias("_nbr"),
                     F.xxhash64(F.lit("IN"), "relation").alias("tag"),
                 ),
             )
         ),
     )
-    labels = nodes.select(*keys, "node_id", F.xxhash64("label").alias("l0"))
+    graph = ["_k1", "_k2"]
+    labels = with_compact_key(nodes, keys).select(
+        *keys, *graph, end("node_id").alias("_node"), F.xxhash64("label").alias("l0")
+    )
     for i in range(1, h + 1):
         prev = f"l{i - 1}"
         message = F.xxhash64("tag", prev)
         sums = (
-            half.join(labels.select(*keys, F.col("node_id").alias("nbr"), prev), [*keys, "nbr"])
-            .groupBy(*keys, "node_id")
+            half.join(labels.select(*graph, F.col("_node").alias("_nbr"), prev), [*graph, "_nbr"])
+            .groupBy(*graph, "_node")
             .agg(
                 F.sum(F.shiftrightunsigned(message, 32)).alias("hi"),
                 F.sum(message.bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo"),
                 F.count(F.lit(1)).alias("deg"),
             )
         )
-        labels = labels.join(sums, [*keys, "node_id"], "left").select(
+        labels = labels.join(sums, [*graph, "_node"], "left").select(
             *keys,
-            "node_id",
+            *graph,
+            "_node",
             *[f"l{j}" for j in range(i)],
             F.xxhash64(
                 prev,

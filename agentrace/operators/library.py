@@ -70,29 +70,37 @@ def schema_routes(tools: DataFrame, route: Sequence[str]) -> DataFrame:
     )
 
 
-def resolve_schemas(calls: DataFrame, aliases: DataFrame, call_id: str) -> DataFrame:
-    """Schema of each call: same name, agreeing attributes where the call has them, schemas of
-    the call's own domain preferred, and only if exactly one remains."""
-    a = aliases.select(
-        "tool_name",
-        F.col("tool_id").alias("_tool"),
-        F.col("domain").alias("_domain"),
-        F.col("parent_tool").alias("_parent"),
-    )
-    agrees = lambda mine, theirs: F.coalesce(F.col(mine), F.lit("")).isin("") | (
-        F.col(mine) == F.col(theirs)
+def resolve_schemas(calls: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Schema of each call: same name, agreeing parent tool where the call has one, schemas of
+    the call's own domain preferred, and only if exactly one remains.
+
+    Aliases are counted per name with each attribute either given or left open; a call then
+    needs two key lookups, and no call is ever paired with all schemas of its name.
+    """
+    any_ = F.lit("*")
+    options = (
+        aliases.select(
+            "tool_name",
+            "tool_id",
+            F.explode(F.array(F.col("domain"), any_)).alias("_domain"),
+            "parent_tool",
+        )
+        .withColumn("_parent", F.explode(F.array(F.col("parent_tool"), any_)))
+        .groupBy("tool_name", "_domain", "_parent")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("tool_id").alias("_tool"))
     )
-    options = calls.join(a, "tool_name").filter(agrees("parent_tool", "_parent"))
-    found = options.groupBy(call_id).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_tool").alias("_any"),
-        F.count_if(F.col("_domain") == F.col("domain")).alias("_nd"),
-        F.min(F.when(F.col("_domain") == F.col("domain"), F.col("_tool"))).alias("_own"),
+    parent = F.coalesce(F.nullif("parent_tool", F.lit("")), any_)
+    own = options.withColumnsRenamed({"_domain": "domain", "_n": "_n_own", "_tool": "_tool_own"})
+    other = options.filter(F.col("_domain") == "*").drop("_domain")
+    found = (
+        calls.withColumn("_parent", parent)
+        .join(own, ["tool_name", "domain", "_parent"], "left")
+        .join(other, ["tool_name", "_parent"], "left")
     )
-    chosen = F.when(F.col("_nd") == 1, F.col("_own")).when(
-        (F.coalesce("_nd", F.lit(0)) == 0) & (F.col("_n") == 1), F.col("_any")
+    chosen = F.when(F.col("_n_own") == 1, F.col("_tool_own")).when(
+        F.col("_n_own").isNull() & (F.col("_n") == 1), F.col("_tool")
     )
-    return calls.join(found, call_id, "left").withColumn("tool_id", chosen).drop("_n", "_any", "_nd", "_own")
+    return found.withColumn("tool_id", chosen).drop("_parent", "_n_own", "_tool_own", "_n", "_tool")
 
 
 def response_mode(calls: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agentrace.functions.text import slug
-from agentrace.operators.ordered import CHUNK, running
+from agentrace.operators.ordered import CHUNK, running, with_compact_key
 
 # Tools that only discover what is available and are not operations themselves.
 AUXILIARY_TOOLS = (
@@ -96,27 +96,28 @@ def operations(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per operation: ordinal, tool, outcome of the first matching result.
 
     The result is searched only up to the next call, i.e. inside the call's segment, so a
-    grouped ``min_by`` replaces the forward scan and combines map-side.
+    grouped minimum replaces the forward scan and combines map-side.
     """
-    head = (F.col("type") == "tool_call") & ~F.col("call.aux")
-    answers = F.col("type").isin(*FAILURES) | (
-        F.col("type").isin(*RESULTS) & (F.col("tool") == F.col("call.tool"))
-    )
-    relevant = tagged.filter(head | F.col("type").isin(*FAILURES, *RESULTS)).select(
-        *keys,
-        "segment",
-        "event_id",
-        F.when(head, F.col("op_count") - 1).cast("long").alias("_ord"),
-        F.when(head, F.col("tool")).alias("_tool"),
-        F.when(~head & answers, event_result_status()).alias("_status"),
-    )
-    grouped = relevant.groupBy(*keys, "segment").agg(
-        F.min("_ord").alias("op_ord"),
-        F.max("_tool").alias("tool"),
-        F.min_by("_status", F.when(F.col("_status").isNotNull(), F.col("event_id"))).alias("_st"),
+    keyed = with_compact_key(tagged, keys)
+    real = ~F.col("call.aux")
+    is_head = (F.col("type") == "tool_call") & real
+    answers = real & (
+        F.col("type").isin(*FAILURES)
+        | (F.col("type").isin(*RESULTS) & (F.col("tool") == F.col("call.tool")))
+    )
+    head = F.struct(*keys, "segment", (F.col("op_count") - 1).cast("long").alias("op_ord"), "tool")
+    grouped = (
+        keyed.filter(is_head | answers)
+        .groupBy("_k1", "_k2", "segment")
+        .agg(
+            F.max(F.when(is_head, head)).alias("_head"),
+            F.min_by(
+                F.when(answers, event_result_status()), F.when(answers, F.col("event_id"))
+            ).alias("_status"),
+        )
     )
-    return grouped.filter(F.col("op_ord").isNotNull()).select(
-        *keys, "segment", "op_ord", "tool", F.coalesce("_st", F.lit("unknown")).alias("outcome")
+    return grouped.filter(F.col("_head").isNotNull()).select(
+        "_head.*", F.coalesce("_status", F.lit("unknown")).alias("outcome")
     )
 
 
@@ -175,25 +176,33 @@ def invocations(log: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> Data
         sums={"op_count": F.when(is_inv, 1).otherwise(0)},
         lasts={"head_id": F.when(is_inv, F.coalesce("tool_id", F.lit("\u0000")))},
         chunk=chunk,
+        keep_key=True,
     )
-    status = F.when(
-        ~is_inv & (F.coalesce("tool_id", F.lit("\u0000")) == F.col("head_id")),
-        F.when(F.col("type") == "coverage_gap", "coverage_gap").otherwise("success"),
-    )
-    label = F.coalesce("tool_name", "tool_id", F.lit("tool"))
-    return (
-        tagged.withColumn("_status", status)
-        .groupBy(*keys, (F.col("op_count") - 1).cast("long").alias("op_ord"))
+    same = F.coalesce("tool_id", F.lit("\u0000")) == F.col("head_id")
+    gap = F.when(F.col("type") == "coverage_gap", 1).otherwise(0)
+    head = F.struct(
+        *keys,
+        (F.col("op_count") - 1).cast("long").alias("op_ord"),
+        F.coalesce("tool_name", "tool_id", F.lit("tool")).alias("tool"),
+        "tool_id",
+        "arguments",
+    )
+    # One head per group; position and kind of a response fit one long, so that the first
+    # response is a plain minimum.
+    grouped = (
+        tagged.filter(is_inv | same)
+        .groupBy("_k1", "_k2", "op_count")
         .agg(
-            F.max(F.when(is_inv, label)).alias("tool"),
-            F.max(F.when(is_inv, F.col("tool_id"))).alias("tool_id"),
-            F.max(F.when(is_inv, F.col("arguments"))).alias("arguments"),
-            F.min_by("_status", F.when(F.col("_status").isNotNull(), F.col("event_id"))).alias("_st"),
+            F.max(F.when(is_inv, head)).alias("_head"),
+            F.min(F.when(~is_inv, F.col("event_id") * 2 + gap)).alias("_first"),
         )
-        .filter(F.col("op_ord") >= 0)
-        .withColumn("outcome", F.coalesce("_st", F.lit("unknown")))
-        .drop("_st")
     )
+    outcome = (
+        F.when(F.col("_first").isNull(), "unknown")
+        .when(F.col("_first") % 2 == 1, "coverage_gap")
+        .otherwise("success")
+    )
+    return grouped.filter(F.col("_head").isNotNull()).select("_head.*", outcome.alias("outcome"))
 
 
 def route_builder(log: DataFrame, keys: Sequence[str]) -> DataFrame:

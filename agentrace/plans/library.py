@@ -98,7 +98,7 @@ def resolved(spark, sf_dir):
         F.concat_ws("/", "domain", "parent_tool", "api").alias("tool_id"),
         F.col("first_alias").alias("tool_name"),
     )
-    return LB.resolve_schemas(calls_table(spark, sf_dir), aliases, "call_id")
+    return LB.resolve_schemas(calls_table(spark, sf_dir), aliases)
 
 
 @query("schema_resolution", f"WITH {RESOLVED} SELECT tool_name, domain, parent_tool, tool_id, count(*) AS n FROM rs GROUP BY ALL")

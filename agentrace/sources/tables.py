@@ -14,7 +14,17 @@ PREFIXES = ("AIP-", "ACB-", "TJB-")
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for inputs that are read in fewer splits than there are cores.
+
+    Large inputs have more splits than cores and are left alone; filters and column pruning
+    still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def pick(values, index) -> F.Column:
