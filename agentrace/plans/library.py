@@ -86,9 +86,11 @@ def schema_conflicts(spark, sf_dir):
 
 RESOLVED = f"""{ROUTES}, {CALLS},
 al AS (SELECT domain, parent_tool, domain || '/' || parent_tool || '/' || api AS tool_id, first_alias AS tool_name FROM routes WHERE NOT ambiguous),
-opt AS (SELECT c.call_id, c.domain, a.domain AS ad, a.tool_id FROM us c JOIN al a USING (tool_name) WHERE c.parent_tool IS NULL OR c.parent_tool = a.parent_tool),
-ag AS (SELECT call_id, count(*) AS n, count(*) FILTER (ad = domain) AS nd, min(tool_id) AS any_t, min(tool_id) FILTER (ad = domain) AS own_t FROM opt GROUP BY ALL),
-rs AS (SELECT c.*, CASE WHEN nd = 1 THEN own_t WHEN nd = 0 AND n = 1 THEN any_t END AS tool_id FROM us c LEFT JOIN ag USING (call_id))"""
+sg AS (SELECT DISTINCT tool_name, domain, parent_tool FROM us),
+opt AS (SELECT c.tool_name, c.domain, c.parent_tool, a.domain AS ad, a.tool_id FROM sg c JOIN al a USING (tool_name) WHERE c.parent_tool IS NULL OR c.parent_tool = a.parent_tool),
+ag AS (SELECT tool_name, domain, parent_tool, count(*) AS n, count(*) FILTER (ad = domain) AS nd, min(tool_id) AS any_t, min(tool_id) FILTER (ad = domain) AS own_t FROM opt GROUP BY ALL),
+rs AS (SELECT c.*, CASE WHEN nd = 1 THEN own_t WHEN nd = 0 AND n = 1 THEN any_t END AS tool_id
+  FROM us c LEFT JOIN ag ON c.tool_name = ag.tool_name AND c.domain = ag.domain AND c.parent_tool IS NOT DISTINCT FROM ag.parent_tool)"""
 
 
 def resolved(spark, sf_dir):
