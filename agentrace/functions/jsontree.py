@@ -7,9 +7,10 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical(docs: pd.Series) -> pd.Series:
     """Compact JSON with sorted keys at every level; NULL for text that is not JSON.
 

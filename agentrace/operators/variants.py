@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agentrace.functions import literals as L
 
@@ -180,7 +181,7 @@ def review_queue(audited: DataFrame) -> DataFrame:
     return audited.filter(~F.col("eligible_pilot"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def surface_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio, which no built-in function computes."""
     return pd.Series(

@@ -236,13 +236,16 @@ def suite_flatten(spark, sf_dir):
     return rows.select("task_id", F.inline(F.array(source, translated)))
 
 
+# SQL word boundaries know ASCII letters only, so other letters are read as "x" there.
+PLAIN = "regexp_replace(source, '[^\\x00-\\x7F]', 'x', 'g')"
 LIT_SQL = "list_distinct(list_concat(" + ", ".join(
-    "regexp_extract_all(source, '{}')".format(
+    "regexp_extract_all({}, '{}')".format(
+        PLAIN,
         (p.replace("(?U)", "") if i != 3 else '"[^"\\n]+"').replace("'", "''")
     )
     for i, p in enumerate(L.LITERALS)
 ) + "))"
-TEMP_SQL = ", ".join(f"regexp_extract_all(source, '(?i){p}')" for p in L.TEMPORAL_SCOPE)
+TEMP_SQL = ", ".join(f"regexp_extract_all({PLAIN}, '(?i){p}')" for p in L.TEMPORAL_SCOPE)
 
 
 @query(
