@@ -132,10 +132,19 @@ def word_tokens(text: Column) -> Column:
 
 
 def word_features(tokens: Column) -> Column:
-    """Unigram and adjacent-bigram features, in order, with repetitions."""
-    unigrams = F.transform(tokens, lambda t: F.concat(F.lit("w="), t))
-    bigrams = F.transform(
-        F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))),
-        lambda t, i: F.concat(F.lit("b="), F.get(tokens, i), F.lit("_"), t),
-    )
-    return F.concat(unigrams, bigrams)
+    """Unigram and adjacent-bigram features with repetitions.
+
+    The tokens are bound once, through a one-element array, because they are read twice.
+    """
+
+    def both(t: Column) -> Column:
+        unigrams = F.transform(t, lambda w: F.concat(F.lit("w="), w))
+        shifted = F.slice(t, 2, F.greatest(F.size(t), F.lit(1)))
+        bigrams = F.zip_with(
+            F.slice(t, 1, F.size(shifted)),
+            shifted,
+            lambda a, b: F.concat(F.lit("b="), a, F.lit("_"), b),
+        )
+        return F.concat(unigrams, bigrams)
+
+    return F.element_at(F.transform(F.array(tokens), both), 1)

@@ -18,17 +18,27 @@ def _c(label: int) -> str:
 def document_features(docs: DataFrame, id_col: str, *carry: str) -> DataFrame:
     """(id, feature, freq) counted per document."""
     return (
-        docs.withColumn("_t", word_tokens(F.coalesce("text", F.lit(""))))
-        .select(id_col, *carry, F.explode(word_features(F.col("_t"))).alias("feature"))
+        docs.select(
+            id_col,
+            *carry,
+            F.explode(word_features(word_tokens(F.coalesce("text", F.lit(""))))).alias("feature"),
+        )
         .groupBy(id_col, *carry, "feature")
         .agg(F.count(F.lit(1)).alias("freq"))
     )
 
 
-def feature_counts(features: DataFrame) -> DataFrame:
-    """Occurrences of each feature per class, classes side by side."""
-    return features.groupBy("feature").agg(
-        *[F.sum(F.when(F.col("label") == lab, F.col("freq")).otherwise(0)).alias(_c(lab)) for lab in LABELS]
+def feature_counts(docs: DataFrame) -> DataFrame:
+    """Occurrences of each feature per class, classes side by side.
+
+    Occurrences go straight into per-feature counters, which combine map-side; there is no
+    per-document table in between.
+    """
+    words = docs.select(
+        "label", F.explode(word_features(word_tokens(F.coalesce("text", F.lit(""))))).alias("feature")
+    )
+    return words.groupBy("feature").agg(
+        *[F.count_if(F.col("label") == lab).alias(_c(lab)) for lab in LABELS]
     )
 
 
@@ -38,7 +48,9 @@ def class_totals(docs: DataFrame, counts: DataFrame) -> DataFrame:
     totals = counts.agg(
         *[F.sum(_c(lab)).alias(f"t{_c(lab)}") for lab in LABELS], F.count(F.lit(1)).alias("vocab")
     )
-    return n_docs.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return totals.withColumns(
+        {f"d{_c(lab)}": n_docs.select(f"d{_c(lab)}").scalar() for lab in LABELS}
+    )
 
 
 def score(doc_ids: DataFrame, features: DataFrame, counts: DataFrame, totals: DataFrame, id_col: str) -> DataFrame:

@@ -247,7 +247,7 @@ def project(
         .join(selected.withColumnRenamed("op", "dst"), [*key, "dst"], "left_semi")
         .select(*key, "src", "dst", "relation")
     )
-    kept = kept_primary.unionByName(uses).unionByName(order)
+    kept = materialize(kept_primary.unionByName(uses).unionByName(order), "projection")
     ends = kept.select(*key, F.explode(F.array("src", "dst")).alias("node_id"))
     if "tool" in dimensions:
         ends = ends.unionByName(every_op.withColumnRenamed("op", "node_id"))

@@ -165,7 +165,7 @@ def pair_scores(
         *[F.sum(F.col(f"c{r}") * F.col(f"c{r}")).alias(f"n{r}") for r in range(REPEATS)],
         *_dots("c", "c", PAIRS_WITHIN),
     )
-    forms = present.join(inner, form_keys, "left")
+    forms = materialize(present.join(inner, form_keys, "left"), "forms")
 
     within = forms.select(
         *form_keys,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agentrace.operators.ordered import dense_index
+from agentrace.operators.ordered import dense_index, with_compact_key
 
 PRIME = 2147483647
 DRAWS_PER_ROW = 4096
@@ -34,24 +34,28 @@ def bootstrap_means(
     While the values are small, adaptive execution broadcasts them and the draws are neither
     shuffled nor stored.
     """
-    indexed = dense_index(values.select(*keys, unit, value), keys, unit, "_j").select(
-        *keys, F.col("_j").cast("long").alias("_j"), value
+    group = ["_k1", "_k2"]
+    indexed = with_compact_key(dense_index(values.select(*keys, unit, value), keys, unit, "_j"), keys).select(
+        *group, F.col("_j").cast("long").alias("_j"), value
     )
-    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    slots = sizes.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    slots = slots.repartition(*keys, "_b").withColumn(
+    sizes = with_compact_key(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
+    slots = sizes.select(
+        *group, "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b")
+    )
+    slots = slots.repartition(*group, "_b").withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / DRAWS_PER_ROW)))
     )
     first = F.col("_slice") * DRAWS_PER_ROW
     last = F.least(first + DRAWS_PER_ROW, F.col("_n")) - 1
     draws = slots.withColumn("_i", F.explode(F.sequence(first, last))).select(
-        *keys, "_b", draw_index(F.col("_b"), F.col("_i"), seed, F.col("_n")).alias("_j")
+        *group, "_b", draw_index(F.col("_b"), F.col("_i"), seed, F.col("_n")).alias("_j")
     )
     return (
-        draws.join(indexed, [*keys, "_j"])
-        .groupBy(*keys, "_b")
+        draws.join(indexed, [*group, "_j"])
+        .groupBy(*group, "_b")
         .agg(F.avg(value).alias("estimate"))
-        .withColumnRenamed("_b", "replicate")
+        .join(sizes.select(*keys, *group), group)
+        .select(*keys, F.col("_b").alias("replicate"), "estimate")
     )
 
 

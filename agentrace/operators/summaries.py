@@ -29,18 +29,23 @@ def variant_scores(pairs: DataFrame, task_keys: Sequence[str]) -> DataFrame:
             F.max(only).alias(f"{prefix}_max"),
         ]
 
-    per_form = pairs.groupBy(*form_keys).agg(
-        *stats("source_internal", "source_internal"),
-        *stats("source_variant", "source_variant"),
-        *stats("variant_internal", "variant_internal"),
-        F.count_if(F.col("comparison") == "source_variant").alias("n_source_variant_pairs"),
+    per_form = (
+        pairs.filter(F.col("family") != "source")
+        .groupBy(*form_keys)
+        .agg(
+            *stats("source_variant", "source_variant"),
+            *stats("variant_internal", "variant_internal"),
+            F.count_if(F.col("comparison") == "source_variant").alias("n_source_variant_pairs"),
+        )
     )
-    source = per_form.filter(F.col("family") == "source").select(
-        *task_keys, "source_internal_mean", "source_internal_min", "source_internal_max"
+    # Filtered by kind, so the plan of the baseline does not contain the source-variant join.
+    source = (
+        pairs.filter(F.col("comparison") == "source_internal")
+        .groupBy(*task_keys)
+        .agg(*stats("source_internal", "source_internal"))
     )
     return (
-        per_form.filter((F.col("family") != "source") & F.col("source_variant_mean").isNotNull())
-        .drop("source_internal_mean", "source_internal_min", "source_internal_max")
+        per_form.filter(F.col("source_variant_mean").isNotNull())
         .join(source, list(task_keys), "left")
         .withColumn(
             "delta_baseline_minus_variant",

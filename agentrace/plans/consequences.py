@@ -11,7 +11,7 @@ from agentrace.operators.logs import dataset_name
 from agentrace.plans import fixture_sql as S
 from agentrace.plans.registry import query
 from agentrace.session import materialize
-from agentrace.sources.tables import RUN_KEYS, results, runs_base, sandbox_log, tool_log
+from agentrace.sources.tables import RUN_KEYS, results, runs_base, sandbox_log, stored_runs, tool_log
 
 KEYS = list(RUN_KEYS)
 TASK_KEYS = ["model", "task_id"]
@@ -210,7 +210,7 @@ outc AS (SELECT {K}, coalesce(n_elements, 0) AS n_elements, coalesce(outcome, '0
 
 
 def outcome_table(spark, sf_dir):
-    base = runs_base(spark, sf_dir)
+    base = stored_runs(spark, sf_dir)
     of = lambda df, prefix: df.filter(F.col("task_id").startswith(prefix))
     acb = of(base, "ACB-")
     items = C.disclosure_items(
@@ -340,7 +340,7 @@ chg AS (SELECT v.dataset, v.model, v.task_id, v.metric, v.family, v.form, source
 
 
 def stacked(spark, sf_dir):
-    base = runs_base(spark, sf_dir)
+    base = stored_runs(spark, sf_dir)
     of = lambda prefix: base.filter(F.col("task_id").startswith(prefix))
     return (
         C.stack_metrics(permission_ind(of("AIP-")), KEYS, "permission")

@@ -251,7 +251,7 @@ pred AS (SELECT *, CASE WHEN score_m1 >= score_0 AND score_m1 >= score_1 THEN -1
 )
 def nb_train(spark, sf_dir):
     docs = labelled_documents(spark, sf_dir)
-    return bayes.feature_counts(bayes.document_features(docs, "doc_id", "label"))
+    return bayes.feature_counts(docs)
 
 
 SPLIT = f"""{LABELLED},
@@ -268,7 +268,7 @@ def stratified_split(spark, sf_dir):
 
 
 def train_and_score(train: DataFrame, test: DataFrame) -> DataFrame:
-    counts = materialize(bayes.feature_counts(bayes.document_features(train, "doc_id", "label")), "nb")
+    counts = materialize(bayes.feature_counts(train), "nb")
     totals = materialize(bayes.class_totals(train, counts), "nb-totals")
     features = bayes.document_features(test, "doc_id")
     return bayes.score(test.drop("text"), features, counts, totals, "doc_id")

@@ -13,6 +13,7 @@ from agentrace.sources.tables import (
     permission_log,
     runs_base,
     sandbox_log,
+    stored_runs,
     tool_log,
 )
 
@@ -27,7 +28,7 @@ def long_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_graph(spark: SparkSession, sf_dir: str):
-    base = runs_base(spark, sf_dir)
+    base = stored_runs(spark, sf_dir)
     nodes, edges = graphs.trajectory_graph(tool_log(base), RUN_KEYS)
     return base, nodes, edges
 
@@ -351,7 +352,7 @@ DIM_PROJECTION = PROJECTION.replace(S.SANDBOX_EDGES, "").replace("user_id", "rid
     FROM pairs GROUP BY ALL""",
 )
 def behavioral_similarity(spark, sf_dir):
-    base = runs_base(spark, sf_dir)
+    base = stored_runs(spark, sf_dir)
     nodes, edges = graphs.sandbox_graph(sandbox_log(base), RUN_KEYS)
     pn, pe = graphs.project(nodes, edges, RUN_KEYS)
     task = [*TASK_KEYS, "dimension"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agentrace.session import materialize
+
 RUN_KEYS = ("model", "task_id", "family", "form", "repeat")
 
 # The ten forms of a task, in day order (three days, one per repeat, each).
@@ -35,6 +37,11 @@ def runs_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_events(table(spark, sf_dir, "events"))
 
 
+def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once for plans that read the log many times."""
+    return materialize(runs_base(spark, sf_dir), "runs")
+
+
 def keyed_events(events: DataFrame) -> DataFrame:
     """``events`` keyed as executions: one log per user and day, three days per form."""
     ev = events.select(
@@ -205,6 +212,7 @@ __all__ = [
     "results",
     "runs_base",
     "sandbox_log",
+    "stored_runs",
     "table",
     "tool_log",
 ]
