@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agentrace.functions.requests import word_features, word_tokens
+from agentrace.functions.rows import explode_once
 
 LABELS = (-1, 0, 1)
 ALPHA = 1.0
@@ -15,14 +16,14 @@ def _c(label: int) -> str:
     return f"c_{'m1' if label < 0 else label}"
 
 
+def _words():
+    return word_features(word_tokens(F.coalesce("text", F.lit(""))))
+
+
 def document_features(docs: DataFrame, id_col: str, *carry: str) -> DataFrame:
     """(id, feature, freq) counted per document."""
     return (
-        docs.select(
-            id_col,
-            *carry,
-            F.explode(word_features(word_tokens(F.coalesce("text", F.lit(""))))).alias("feature"),
-        )
+        explode_once(docs, _words(), "feature", id_col, *carry)
         .groupBy(id_col, *carry, "feature")
         .agg(F.count(F.lit(1)).alias("freq"))
     )
@@ -34,10 +35,7 @@ def feature_counts(docs: DataFrame) -> DataFrame:
     Occurrences go straight into per-feature counters, which combine map-side; there is no
     per-document table in between.
     """
-    words = docs.select(
-        "label", F.explode(word_features(word_tokens(F.coalesce("text", F.lit(""))))).alias("feature")
-    )
-    return words.groupBy("feature").agg(
+    return explode_once(docs, _words(), "feature", "label").groupBy("feature").agg(
         *[F.count_if(F.col("label") == lab).alias(_c(lab)) for lab in LABELS]
     )
 

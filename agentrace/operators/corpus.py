@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agentrace.functions import phrases as P
 from agentrace.functions import requests as R
+from agentrace.functions.rows import inline_once
 
 LABEL_NAME = {-1: "impolite", 0: "neutral", 1: "polite"}
 MIN_WORDS, MAX_WORDS = 3, 120
@@ -39,9 +40,9 @@ def dedup_turns(turns: DataFrame) -> DataFrame:
     """First occurrence, in (conversation, turn) order, of every distinct non-empty user text.
 
     Copies are combined before the shuffle, so a text with very many copies costs one row per
-    task.
+    task. Empty texts leave behind the aggregation: a filter before it would normalise twice.
     """
-    users = with_digest(turns.filter(F.col("role") == "user")).filter(F.col("normalized") != "")
+    users = with_digest(turns.filter(F.col("role") == "user"))
     rest = [c for c in users.columns if c not in ("digest", "role", "text")]
     return (
         users.groupBy("digest")
@@ -50,6 +51,7 @@ def dedup_turns(turns: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("copies"),
         )
         .select("digest", "_r.*", "copies")
+        .filter(F.col("normalized") != "")
     )
 
 
@@ -60,7 +62,9 @@ def turn_phrases(turns: DataFrame) -> DataFrame:
         P.tokens(F.col("normalized")).alias("_t"),
         F.transform(P.sentences(F.col("normalized")), P.tokens).alias("_s"),
     )
-    return tokenised.select("language", F.inline(P.boundary_phrases(F.col("_t"), F.col("_s"))))
+    return inline_once(
+        tokenised, P.boundary_phrases(F.col("_t"), F.col("_s")), "phrase", "language"
+    )
 
 
 def phrase_counts(turns: DataFrame, min_count: int = 5) -> DataFrame:
@@ -153,15 +157,15 @@ def corpus_format_stats(requests: DataFrame) -> DataFrame:
 
 def labelled_format_stats(labelled: DataFrame) -> DataFrame:
     return (
-        labelled.filter(F.col("format_id").isNotNull())
-        .groupBy("format_id")
+        labelled.groupBy("format_id")
         .agg(
-            F.count(F.lit(1)).alias("labelled_count"),
+            F.count("format_id").alias("labelled_count"),
             F.avg("score").alias("labelled_mean_score"),
             F.count_if(F.col("label") == 1).alias("labelled_polite"),
             F.count_if(F.col("label") == 0).alias("labelled_neutral"),
             F.count_if(F.col("label") == -1).alias("labelled_impolite"),
         )
+        .filter(F.col("labelled_count") > 0)
     )
 
 

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agentrace.functions.rows import inline_once
 from agentrace.functions.text import slug
 from agentrace.operators.logs import (
     annotate_calls,
@@ -71,7 +72,7 @@ def operation_edges(ops: DataFrame, keys: Sequence[str], extra: Column | None =
     out = F.when(F.col("op_ord") > 0, F.array(use, previous)).otherwise(F.array(use))
     if extra is not None:
         out = F.concat(out, extra)
-    return ops.select(*keys, F.inline(out))
+    return inline_once(ops, out, "src", *keys)
 
 
 def entity_nodes(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -184,14 +185,14 @@ def sandbox_graph(
             F.lit("CHANGES_STATE"),
         )
     )
-    emitted = active.filter(F.col("type").isin("access", "disclosure", "state_change")).select(
+    emitted = inline_once(
+        active.filter(F.col("type").isin("access", "disclosure", "state_change")),
+        F.when(F.col("type") == "access", access)
+        .when(F.col("type") == "disclosure", disclosure)
+        .otherwise(state),
+        "dst",
         *keys,
         src,
-        F.inline(
-            F.when(F.col("type") == "access", access)
-            .when(F.col("type") == "disclosure", disclosure)
-            .otherwise(state)
-        ),
     )
     edges = materialize(
         operation_edges(ops, keys).unionByName(requests).unionByName(emitted), "edges"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agentrace.functions import phrases as P
 from agentrace.functions import requests as R
+from agentrace.functions.rows import explode_once
 from agentrace.operators import bayes, corpus, stats
 from agentrace.operators.ordered import global_rank
 from agentrace.plans.registry import query
@@ -127,7 +128,7 @@ def tok(x: str) -> str:
 def multilingual_tokens(spark, sf_dir):
     users = corpus.with_normalized(conversation_turns(spark, sf_dir).filter(F.col("role") == "user"))
     return (
-        users.select("language", F.explode(P.tokens(F.col("normalized"))).alias("token"))
+        explode_once(users, P.tokens(F.col("normalized")), "token", "language")
         .groupBy("language", "token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -341,10 +342,11 @@ cs AS (SELECT format_id, count(*) AS corpus_count, count(*) FILTER (predicted =
 
 
 def scored_requests(spark, sf_dir):
-    requests = corpus.eligible_requests(first_turns(spark, sf_dir)).select(
+    turns = materialize(first_turns(spark, sf_dir), "first-turns")
+    requests = corpus.eligible_requests(turns).select(
         F.col("conv_id").alias("doc_id"), "format_id", "modifiers", "n_words", F.col("normalized").alias("text")
     )
-    return train_and_score(labelled_documents(spark, sf_dir), materialize(requests, "requests"))
+    return train_and_score(labelled_documents(spark, sf_dir), requests)
 
 
 @query("request_format_frequency", f"WITH {REQUESTS} SELECT * FROM cs")
