@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("licenses", "mixing")
+MODULES = ("licenses", "mixing", "secrets")
 
 
 def load():
