@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("licenses", "lines", "mixing", "secrets")
+MODULES = ("bpe", "licenses", "lines", "mixing", "secrets")
 
 
 def load():
