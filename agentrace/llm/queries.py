@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("audio", "bpe", "licenses", "lines", "mixing", "secrets")
+MODULES = ("audio", "bpe", "licenses", "lines", "mixing", "neighbours", "secrets")
 
 
 def load():
