@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("audio", "bpe", "licenses", "lines", "mixing", "neighbours", "secrets")
+MODULES = (
+    "audio",
+    "bpe",
+    "licenses",
+    "lines",
+    "mixing",
+    "neighbours",
+    "secrets",
+    "toxicity",
+)
 
 
 def load():
