@@ -13,6 +13,7 @@ MODULES = (
     "neighbours",
     "secrets",
     "toxicity",
+    "wrappers",
 )
 
 
