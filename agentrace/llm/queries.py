@@ -12,6 +12,7 @@ MODULES = (
     "mixing",
     "neighbours",
     "secrets",
+    "similarity",
     "toxicity",
     "wrappers",
 )
