@@ -49,10 +49,11 @@ def repeated_places(source: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def line_dedup(
+def deduped(
     docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per input row: ``doc_id, text, n_lines, n_removed``; ``text`` without repeats.
+    """One row per input row: ``row`` (a struct of all columns but the text), ``doc_id, text,
+    n_lines, n_removed``; ``text`` is without repeats.
 
     Lines end at line feeds. Every window of three lines is hashed; all its places after the first,
     in the order of ids, are covered, and covered lines are left out, so overlapping windows merge
@@ -61,10 +62,14 @@ def line_dedup(
     What is gathered for one row is the window places of one document.
     """
     source = keyed(docs, id_col, text_col)
-    gone = (
-        repeated_places(source, window)
-        .groupBy(*KEY)
-        .agg(F.collect_set("pos").alias("places"))
+    gone = repeated_places(source, window).groupBy(*KEY).agg(F.collect_set("pos").alias("places"))
+    rest = [c for c in docs.columns if c != text_col]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(
+        F.struct(*rest).alias("row"),
+        F.col(id_col).alias("doc_id"),
+        F.xxhash64(text).alias("text_hash"),
+        text.alias("text"),
     )
     lines = F.split("text", "\n")
     # A line is covered if a window starts at most two lines before it.
@@ -74,10 +79,11 @@ def line_dedup(
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
     kept = F.transform(left, lambda i: F.element_at(F.col("lines"), i + 1))
     return (
-        null_safe(source, gone, [*KEY], "left")
+        null_safe(rows, gone, [*KEY], "left")
         .withColumn("covered", covered)
         .withColumn("lines", lines)
         .select(
+            "row",
             "doc_id",
             F.when(F.col("covered").isNull(), F.col("text"))
             .otherwise(F.array_join(kept, "\n"))
@@ -88,6 +94,11 @@ def line_dedup(
     )
 
 
+def line_dedup(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, text, n_lines, n_removed`` of ``deduped``."""
+    return deduped(docs, **options).drop("row")
+
+
 DEDUP_SQL = f"""
 WITH lines AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),

@@ -71,6 +71,12 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def copies_of(rate: str, seed: str) -> Column:
+    """Whole repeats, and one more if the number of the id is below the fraction."""
+    extra = uniform(F.col("doc_id"), seed) < F.col(rate) - F.floor(rate)
+    return F.floor(rate).cast("long") + extra.cast("long")
+
+
 def mixing_plan(
     docs: DataFrame,
     weights=WEIGHTS,
@@ -96,10 +102,9 @@ def mixing_plan(
     )
     planned = null_safe(sized, source_targets(sized, weights, cap, share), ["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
-    extra = (uniform(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
     return (
         planned.withColumn("rate", F.coalesce(rate, F.lit(0.0)))
-        .withColumn("copies", F.floor("rate").cast("long") + extra)
+        .withColumn("copies", copies_of("rate", seed))
         .withColumn("taken", F.col("copies") * F.col("size"))
         .select("doc_id", "size", "source", "source_size", "target", "rate", "copies", "taken")
     )
@@ -109,23 +114,21 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as many times as its plan says, all columns kept.
 
     The rate depends on the source alone and the extra copy on the id alone, so the rows meet one
-    small row per source instead of being joined with their own plan.
+    small row per source instead of being joined with their own plan. Options are those of
+    ``mixing_plan`` but the column names.
     """
     weights, cap = options.get("weights", WEIGHTS), options.get("cap", CAP)
     share, seed = options.get("share", SHARE), options.get("seed", SEED)
     sized = docs.select("source", word_count(F.col("text")).alias("size"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
     rates = source_targets(sized, weights, cap, share).select(
-        "source",
-        F.coalesce(
-            F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")), F.lit(0.0)
-        ).alias("_rate"),
+        "source", F.coalesce(rate, F.lit(0.0)).alias("rate")
     )
-    extra = (uniform(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("int")
-    copies = F.floor("_rate").cast("int") + extra
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source")
     return (
-        null_safe(docs, rates, ["source"])
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-        .select(*docs.columns)
+        null_safe(rows, rates, ["source"])
+        .withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies_of("rate", seed).cast("int"))))
+        .select("row.*")
     )
 
 

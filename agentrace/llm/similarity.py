@@ -355,12 +355,13 @@ def jaccard_components(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per input row: ``doc_id, text_hash, n_shingles, component_id``.
+    """One row per input row: ``doc_id, text_hash, n_shingles, component_id, stays``.
 
     Documents link when their sets of ``width``-word shingles overlap by ``percent`` of their union;
     A-Z are lower-cased, words stand between ASCII white space, and fewer words than a shingle's
     are one shingle. ``component_id`` is the smallest id that links reach, the document's own
-    included. Null and empty texts have no shingles and are linked with nothing, not even each
+    included, and the one that ``stays`` where a component is to be cut down to one document (of
+    documents with equal ids, the one of the smallest text hash). Null and empty texts have no shingles and are linked with nothing, not even each
     other; a null id is the smallest of a component only if no other is there. Repeated rows get
     equal rows; an empty table gives none.
 
@@ -399,18 +400,36 @@ def jaccard_components(
         .join(labels.select(F.col("node").alias("set"), "label", salt("node")), ["set", "salt"], "left")
         .select(*KEY, "n", F.coalesce("label", "set").alias("label"))
     )
-    smallest = member.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("smallest"))
+    smallest = (
+        member.where("n > 0")
+        .groupBy("label")
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), *KEY)).alias("smallest"))
+    )
     return (
         member.withColumn("salt", salt("label"))
         .join(smallest.withColumn("salt", salt("label")), ["label", "salt"], "left")
+        .withColumn("own", F.struct(F.col("doc_id").isNull(), *KEY))
+        .withColumn("smallest", F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("own")))
         .select(
             *KEY,
             F.col("n").alias("n_shingles"),
-            F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"),
+            F.col("smallest.doc_id").alias("component_id"),
+            F.col("smallest").eqNullSafe(F.col("own")).alias("stays"),
         )
     )
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay, with all columns; rows that repeat id and text stay alike."""
+    kept = jaccard_components(docs, **options).where("stays").select(*KEY)
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        "doc_id",
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"),
+    )
+    return null_safe(rows, kept, [*KEY], "left_semi").select("row.*")
+
+
 @query("op4_jaccard_join")
 def op4_jaccard_join(spark, sf_dir):
     found = jaccard_components(table(spark, sf_dir, "documents"))

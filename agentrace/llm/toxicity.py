@@ -299,14 +299,33 @@ def scored(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    schema = fields(source, "doc_id", score="double")
+    return with_scores(source, model).select(
+        "doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
+def with_scores(source: DataFrame, model: Model) -> DataFrame:
+    """All columns of ``source``, one of which is text without nulls, and ``score``."""
+    names = source.columns
+    schema = fields(source, *names, score="double")
 
     def score(batch):
-        return {"doc_id": batch.column("doc_id"), "score": model.scores(batch.column("text"))}
+        columns = {name: batch.column(name) for name in names}
+        return columns | {"score": model.scores(batch.column("text"))}
+
+    return map_slices(source, score, schema, "text")
+
 
-    return map_slices(source, score, schema, "text").withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int")
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` below the threshold, with all columns; a null text stays null."""
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(
+        F.struct(*rest, F.col("text").isNull().alias("_no_text")).alias("row"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
+    kept = with_scores(rows, model).where(F.col("score") < threshold)
+    text = F.when(~F.col("row._no_text"), F.col("text")).alias("text")
+    return kept.select("row.*", text).select(*docs.columns)
 
 
 def score_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
