@@ -11,7 +11,6 @@ TOKEN = (
     r"[\p{L}\p{Nl}\p{No}]+(?:['’][\p{L}\p{Nl}\p{No}]+)?"
 )
 SENTENCE_END = r"(?U)(?<=[.!?。！？])\s+"
-MAX_SENTENCES = 12
 START_MAX = 8
 END_MAX = 6
 
@@ -22,7 +21,7 @@ def tokens(normalized: Column) -> Column:
 
 def sentences(normalized: Column) -> Column:
     parts = F.transform(F.split(normalized, SENTENCE_END), lambda s: F.btrim(s))
-    return F.slice(F.filter(parts, lambda s: s != ""), 1, MAX_SENTENCES)
+    return F.filter(parts, lambda s: s != "")
 
 
 def _phrase(position: str, n: Column, words: Column) -> Column:

@@ -45,7 +45,6 @@ PATH = (
     r"""(?U)(?:^|[\s'"=])((?:/|\./|\.\./)?[\w.\-]+(?:/[\w.\-]+)+|[\w\-]+\.[A-Za-z]{1,6})(?=$|[\s'";:,)])"""
 )
 ERROR = r"(Traceback|No such file|command not found|Permission denied|Error:|error:|FAILED|exit code [1-9])"
-MAX_PATHS = 12
 
 BALANCED = r"""^(?:[^"'\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')*$"""
 TOKEN = r"""(?:[^\s"'\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')+"""
@@ -102,13 +101,13 @@ def classify(toks: Column) -> Column:
 
 
 def paths(text: Column) -> Column:
-    """Distinct paths in a text, sorted, at most twelve; plain numbers are not paths."""
+    """Distinct paths in a text, sorted; plain numbers are not paths."""
     padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
     found = F.transform(
         F.regexp_extract_all(padded, F.lit(PATH), F.lit(1)), lambda p: F.rtrim(p, F.lit(".,:"))
     )
     kept = F.filter(found, lambda p: ~F.regexp_like(p, F.lit(r"^\d+(\.\d+)*$")))
-    return F.slice(F.array_sort(F.array_distinct(kept)), 1, MAX_PATHS)
+    return F.array_sort(F.array_distinct(kept))
 
 
 def step_calls(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -122,7 +121,7 @@ def step_calls(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
         .select(*keys, "step", "observation", F.posexplode("tool_calls").alias("call_no", "call"))
         .select(
             *keys,
-            (F.col("step") * 4096 + F.col("call_no")).cast("long").alias("event_id"),
+            (F.shiftleft(F.col("step").cast("long"), 32) + F.col("call_no")).alias("event_id"),
             F.lower("call.function_name").alias("function_name"),
             F.col("call.arguments").alias("arguments"),
             F.coalesce(F.try_element_at(result, F.lit(-1))["content"], F.lit("")).alias("observed"),

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-REPEATS = 3
+from agentrace.operators.kernel import REPEATS, repeat_column
+
 WITHIN = ((0, 1), (0, 2), (1, 2))
 ACROSS = tuple((i, j) for i in range(REPEATS) for j in range(REPEATS))
 MAX_SCORE = 4
@@ -27,7 +28,7 @@ def three_outputs(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     out = results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_runs"),
         *[
-            F.max(F.when(F.col("repeat") == r, F.coalesce("final_response", F.lit("")))).alias(f"o{r}")
+            F.max(F.when(repeat_column() == r, F.coalesce("final_response", F.lit("")))).alias(f"o{r}")
             for r in range(REPEATS)
         ],
     )

@@ -18,6 +18,15 @@ from agentrace.operators.ordered import with_compact_key
 from agentrace.session import materialize
 
 REPEATS = 3
+
+
+def repeat_column() -> Column:
+    """The repeat of a run; a campaign with any other than the three is refused."""
+    repeat = F.col("repeat")
+    refused = F.raise_error(F.concat(F.lit("not a repeat of three: "), repeat.cast("string")))
+    return F.when(repeat.between(0, REPEATS - 1), repeat).otherwise(refused)
+
+
 PAIRS_WITHIN = tuple((i, j) for i in range(REPEATS) for j in range(i + 1, REPEATS))
 PAIRS_ACROSS = tuple((i, j) for i in range(REPEATS) for j in range(REPEATS))
 
@@ -102,7 +111,7 @@ def form_vectors(features: DataFrame, keys: Sequence[str]) -> DataFrame:
     pairs and both sides of the source-variant join all read it.
     """
     counted = features.groupBy(*keys, "iteration", "feature").agg(
-        *[F.count_if(F.col("repeat") == r).cast("double").alias(f"c{r}") for r in range(REPEATS)]
+        *[F.count_if(repeat_column() == r).cast("double").alias(f"c{r}") for r in range(REPEATS)]
     )
     return materialize(counted, "vectors")
 
@@ -145,7 +154,7 @@ def _pair_rows(pairs, left: str, right: str, left_has: str, right_has: str) -> C
 def run_presence(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Which of the three runs of a form exist."""
     return runs.groupBy(*keys).agg(
-        *[F.bool_or(F.col("repeat") == r).alias(f"h{r}") for r in range(REPEATS)]
+        *[F.bool_or(repeat_column() == r).alias(f"h{r}") for r in range(REPEATS)]
     )
 
 

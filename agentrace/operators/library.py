@@ -12,7 +12,6 @@ from agentrace.operators.ordered import global_rank
 SUCCESS = ("success", "successful", "ok")
 FAILED = r"^(?:error:|error |failed:|execution failed)"
 SEARCH_TOKEN = r"-?[0-9]+(?:\.[0-9]+)?|[\p{L}\p{N}]+"
-DESCRIPTION_CHARS = 350
 
 
 def search_tokens(text: Column) -> Column:
@@ -156,8 +155,8 @@ def token_search(records: DataFrame, queries: DataFrame, record_id: str, text: s
 
 def search_page(matches: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFrame:
     """One page of sorted matches of a single query, with the total number of matches."""
-    if offset < 0 or not 1 <= limit <= 30:
-        raise ValueError("offset must not be negative and limit must be between 1 and 30")
+    if offset < 0 or limit < 1:
+        raise ValueError("offset must not be negative and limit must be positive")
     ranked = global_rank(matches, [F.asc(c) for c in order], "position")
     total = matches.agg(F.count(F.lit(1)).alias("total"))
     page = ranked.filter((F.col("position") > offset) & (F.col("position") <= offset + limit))

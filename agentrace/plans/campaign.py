@@ -179,13 +179,13 @@ def budget_stop(spark, sf_dir):
 
 @query(
     "extraction_convergence",
-    f"""WITH {S.BASE}, {CQ.RES}, {TASKS.split(S.BASE + ",", 1)[1]}, x AS (SELECT task_id, dataset, family, form, ' ' || final_response AS extracted FROM res JOIN tasks USING (task_id) WHERE repeat = 0),
+    f"""WITH {S.BASE}, {CQ.RES}, {TASKS.split(S.BASE + ",", 1)[1]}, x AS (SELECT task_id || '#' || repeat AS task_id, dataset, family, form, ' ' || final_response AS extracted FROM res JOIN tasks USING (task_id)),
     s AS (SELECT task_id, trim(extracted) AS src FROM x WHERE form = 'source')
     SELECT dataset, family, round(avg((trim(extracted) = src)::INTEGER), 9) AS identical_to_source, count(*) AS n FROM x JOIN s USING (task_id) WHERE form <> 'source' GROUP BY ALL""",
 )
 def extraction_convergence(spark, sf_dir):
-    extracted = results(runs_base(spark, sf_dir)).filter(F.col("repeat") == 0).select(
-        "task_id",
+    extracted = results(runs_base(spark, sf_dir)).select(
+        F.concat_ws("#", "task_id", "repeat").alias("task_id"),
         dataset_name(F.col("task_id")).alias("dataset"),
         "family",
         "form",

@@ -15,8 +15,8 @@ from agentrace.session import materialize
 from agentrace.sources.tables import pick, table
 
 MIN_COUNT = 5
-TOP_N = 200
-PAGES, PAGE_SIZE, SEED = 50, 10, 7
+TOP_N = 50_000
+PAGES, PAGE_SIZE, SEED = 50, 100, 7
 
 
 def q(text: str) -> str:
@@ -139,7 +139,7 @@ segs AS (
   SELECT conv_id, turn, language, 'prompt' AS p, {tok("normalized")} AS t FROM uniq
   UNION ALL SELECT conv_id, turn, language, 'sentence', {tok("s")} FROM (
     SELECT conv_id, turn, language, unnest((list_filter(list_transform(string_split(regexp_replace(normalized, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)),
-      lambda s: trim(s)), lambda s: s <> ''))[1:12]) AS s FROM uniq)),
+      lambda s: trim(s)), lambda s: s <> ''))) AS s FROM uniq)),
 ph AS (
   SELECT DISTINCT conv_id, turn, language, p || '_start' AS position, n::INTEGER AS n_tokens, array_to_string(t[1:n], ' ') AS phrase
     FROM (SELECT *, unnest(range(1, least(8, len(t)) + 1)) AS n FROM segs)

@@ -20,10 +20,9 @@ def new_folder(spark, name: str) -> str:
 
 def table_stream(spark, sf_dir: str, name: str):
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(sf_dir)
+    # The pattern matches a table of one file as well as the part files of a folder.
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(
+        f"{sf_dir}/{name}.parque[t]"
     )
 
 

@@ -17,7 +17,7 @@ from agentrace.plans.similarity import variants
 from agentrace.session import materialize
 from agentrace.sources.tables import RUN_KEYS, results, runs_base, sandbox_log
 
-BUDGET = 720
+BUDGET = J.MAX_PROMPT_CHARS
 TASK_KEYS = list(TASK_TUPLE)
 FORM_KEYS = ["model", "task_id", "family", "form"]
 

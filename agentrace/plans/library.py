@@ -173,12 +173,11 @@ def token_search(spark, sf_dir):
 @query(
     "search_page",
     f"""WITH {TOOLS}, m AS (SELECT tool_name, record, description, count(*) OVER () AS total, row_number() OVER (ORDER BY tool_name, record) AS position FROM tools WHERE list_contains({TOK.format(x="domain")}, 'brand'))
-    SELECT tool_name, record, left(description, 350) AS description, position, total FROM m WHERE position > 15 AND position <= 30""",
+    SELECT tool_name, record, description, position, total FROM m WHERE position > 15 AND position <= 30""",
 )
 def search_page(spark, sf_dir):
     tools = tools_table(spark, sf_dir).filter(F.array_contains(LB.search_tokens(F.col("domain")), "brand"))
-    page = LB.search_page(tools.select("tool_name", "record", "description"), ["tool_name", "record"], 15, 15)
-    return page.withColumn("description", F.substring("description", 1, LB.DESCRIPTION_CHARS))
+    return LB.search_page(tools.select("tool_name", "record", "description"), ["tool_name", "record"], 15, 15)
 
 
 @query(

@@ -146,14 +146,13 @@ def sandbox_graph_nodes(spark, sf_dir):
 @query(
     "builder_route",
     f"""WITH {S.BASE}, allrows AS (
-      SELECT task_id, event_type = 'click' AND k % 2 = 0 AS inv, event_type = 'signup' AND k % 3 = 0 AS fld FROM base
-      WHERE form IN ('source', 'p01'))
+      SELECT task_id, event_type = 'click' AND k % 2 = 0 AS inv, event_type = 'signup' AND k % 3 = 0 AS fld FROM base)
     SELECT task_id, CASE WHEN bool_or(inv AND task_id LIKE 'TJB-%') THEN 'trajectory'
        WHEN bool_or(fld AND task_id NOT LIKE 'ACB-%') THEN 'permission' ELSE 'sandbox' END AS builder
     FROM allrows GROUP BY task_id""",
 )
 def builder_route(spark, sf_dir):
-    base = runs_base(spark, sf_dir).filter(F.col("form").isin("source", "p01"))
+    base = runs_base(spark, sf_dir)
     et, k = F.col("event_type"), F.col("k")
     mixed = base.select(
         "task_id",
