@@ -1,10 +1,11 @@
 """Running values over ordered logs that stay balanced when one log is huge.
 
-A plain window partitioned by the log key sends a whole log to one task. Here the log is cut
-into chunks of consecutive positions. Each chunk is scanned in its own task, and the values
-carried from one chunk to the next come from a small per-chunk summary that is aggregated
-map-side before it is shuffled. Only logs with more than one chunk produce carry rows, so for
-ordinary logs the carry side is empty and the join is broadcast by adaptive execution.
+A plain window partitioned by the log key sends a whole log to one task. That is right for a log of
+ordinary size. A log of more than a chunk of rows is cut, wherever its ids begin and however far
+apart they lie, into as many ranges as its rows fill chunks. Each range is scanned in its own task,
+and the values carried from one to the next come from a small per-chunk summary that is aggregated
+map-side before it is shuffled. The table of long logs is broadcast: it has one row per 2^18 rows of
+input at most. While it is empty, adaptive execution drops that whole branch.
 """
 
 from __future__ import annotations
@@ -49,10 +50,50 @@ def running(
     key of the log (``_k1``, ``_k2``) in the result.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
-    direction = (lambda c: F.col(c).desc()) if backward else (lambda c: F.col(c).asc())
-    at = F.floor(F.col(order) / F.lit(chunk))
-    chunked = with_compact_key(df, keys).withColumn("_chunk", at)
     log = ["_k1", "_k2"]
+    whole = with_compact_key(df, keys)
+    long = F.broadcast(long_logs(whole, log, order, chunk))
+    short = whole.join(long.select(*log), log, "left_anti")
+    cut = whole.join(long, log).withColumn(
+        "_chunk", F.floor((F.col(order) - F.col("_from")) / F.col("_width"))
+    )
+    scanned = running_short(short, order, sums, lasts, backward).unionByName(
+        running_long(cut.drop("_from", "_width"), order, sums, lasts, backward)
+    )
+    return scanned if keep_key else scanned.drop(*log)
+
+
+def long_logs(whole: DataFrame, log: Sequence[str], order: str, chunk: int) -> DataFrame:
+    """Logs of more than ``chunk`` rows, with where they begin and the width of their ranges."""
+    span = F.max(order) - F.min(order) + 1
+    return (
+        whole.groupBy(*log)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min(order).alias("_from"), span.alias("_span"))
+        .filter(F.col("_rows") > chunk)
+        .select(*log, "_from", (F.col("_span") / F.ceil(F.col("_rows") / F.lit(chunk))).alias("_width"))
+    )
+
+
+def _direction(backward: bool):
+    return (lambda c: F.col(c).desc()) if backward else (lambda c: F.col(c).asc())
+
+
+def running_short(df: DataFrame, order: str, sums, lasts, backward: bool) -> DataFrame:
+    """Each log in one window."""
+    scan = (
+        Window.partitionBy("_k1", "_k2")
+        .orderBy(_direction(backward)(order))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return df.withColumns(
+        {name: F.coalesce(F.sum(expr).over(scan), F.lit(0)) for name, expr in sums.items()}
+        | {name: F.last(expr, ignorenulls=True).over(scan) for name, expr in lasts.items()}
+    )
+
+
+def running_long(chunked: DataFrame, order: str, sums, lasts, backward: bool) -> DataFrame:
+    """Logs cut into chunks (column ``_chunk``), which carry their values on."""
+    direction, log = _direction(backward), ["_k1", "_k2"]
 
     inner = (
         Window.partitionBy(*log, "_chunk")
@@ -102,7 +143,7 @@ def running(
         name: F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"_c_{name}"), F.lit(0))
         for name in sums
     } | {name: F.coalesce(F.col(name), F.col(f"_c_{name}")) for name in lasts}
-    helper = ["_chunk", *[f"_c_{k}" for k in (*sums, *lasts)], *([] if keep_key else log)]
+    helper = ["_chunk", *[f"_c_{k}" for k in (*sums, *lasts)]]
     return local.join(carry, [*log, "_chunk"], "left").withColumns(merged).drop(*helper)
 
 

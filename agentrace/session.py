@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
 }
+CHECKPOINTS = "spark.checkpoint.dir"
 
 
 def build_session(app: str = "agentrace", master: str | None = None, **conf) -> SparkSession:
@@ -28,11 +28,20 @@ def build_session(app: str = "agentrace", master: str | None = None, **conf) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts: the cluster's setting, or a fresh local one in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for lineage cuts: the cluster's setting, or else one beside the session's warehouse.
+
+    The warehouse is shared by driver and executors wherever tables can be written at all, so no
+    file is ever left in a folder of one machine. A folder of our own choice goes with the session.
+    """
+    path = spark.conf.get(CHECKPOINTS, None)
     if not path:
-        path = tempfile.mkdtemp(prefix="agentrace-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        path = f"{warehouse}/_checkpoints-{spark.sparkContext.applicationId}"
+        spark.conf.set(CHECKPOINTS, path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
     return path
 
 
