@@ -15,6 +15,8 @@ import re
 from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import islice
+from operator import eq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +55,7 @@ ASIDE_WORDS = frozenset(
 )
 MAIN = frozenset(("article", "main"))
 LONGEST_UNIT = 16
+SUMS = re.compile(r"\[\d+,\d+,\d+\]")
 #: How the folding of a host's distinct streams is spread: groups of the first and second round.
 SPREAD = (256, 16)
 
@@ -110,6 +113,16 @@ def same_shape(a: list, b: list) -> list:
     return out
 
 
+def repeats(ids: list[int], unit: int) -> bool:
+    """Whether some run of ``unit`` names is followed by itself."""
+    run = 0
+    for same in map(eq, ids, islice(ids, unit, None)):
+        run = run + 1 if same else 0
+        if run == unit:
+            return True
+    return False
+
+
 def folded(items: list) -> list:
     """Adjacent repeats as repeated groups, the shortest units first, until nothing repeats."""
     names: dict = {}
@@ -119,6 +132,8 @@ def folded(items: list) -> list:
     while changed:
         changed = False
         for unit in range(1, LONGEST_UNIT + 1):
+            if not repeats(ids, unit):
+                continue
             i, out, out_ids = 0, [], []
             while i < len(items):
                 j = i + unit
@@ -314,18 +329,33 @@ def wrapper_slots(wrapper: str) -> tuple[list, tuple[bool, ...]]:
     )
 
 
+@lru_cache(4096)
+def slots_good(wrapper: str, stream: str) -> tuple[bool | None, ...]:
+    """For each slot of a folded stream whether it is main text; None where the wrapper has none."""
+    known, good = wrapper_slots(wrapper)
+    items = loaded(stream)
+    own = list(slots(items))
+    for i, slot in enumerate(own):
+        slot.at = (i,)
+    out: list[bool | None] = [None] * len(own)
+    for slot in slots(aligned(known, items)):
+        if slot.name is not None:
+            for i in slot.at:
+                out[i] = good[slot.name]
+    return tuple(out)
+
+
 def main_text(page: str, wrapper: str | None) -> str:
     """The texts of a page that fall into the main slots of its host's wrapper."""
     items, texts = page_tokens(page)
-    if not texts:
-        return ""
-    own = {s.at[0]: 2 * s.good > s.size for s in items if isinstance(s, Slot)}
-    if wrapper is not None:
-        known, good = wrapper_slots(wrapper)
-        for slot in slots(aligned(known, folded(items))):
-            if slot.name is not None:
-                own.update(dict.fromkeys(slot.at, good[slot.name]))
-    return "\n\n".join(t for i, t in enumerate(texts) if own[i])
+    good = {s.at[0]: 2 * s.good > s.size for s in items if isinstance(s, Slot)}
+    if wrapper is not None and texts:
+        stream = folded(items)
+        judged = slots_good(wrapper, SUMS.sub("[0,0,0]", dumped(stream)))
+        for slot, told in zip(slots(stream), judged):
+            if told is not None:
+                good.update(dict.fromkeys(slot.at, told))
+    return "\n\n".join(t for i, t in enumerate(texts) if good[i])
 
 
 def host_column(url):
