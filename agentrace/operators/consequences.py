@@ -95,13 +95,15 @@ def phrase_hits(
     """Distinct annotated items that occur, as whole words, in the ordered texts of a run.
 
     An item may start in one text and end in a later one. Each text is therefore checked
-    together with the texts that follow it, as many as the longest item can reach (a text adds
-    at least one character and a space); a run's texts are never concatenated as a whole.
+    together with the beginnings of the texts that follow it, as many and as long as the longest
+    item can reach (a text adds at least one character and a space); a run's texts are never
+    concatenated, and what a row carries depends on the longest item, not on the texts.
     """
     wanted = annotations.select("task_id", F.col(items).alias("_items")).filter(F.size("_items") > 0)
     longest = wanted.select(F.explode("_items").alias("i")).agg(F.max(F.length("i"))).first()[0] or 0
     squashed = texts.select(*keys, order, squash(F.col(text)).alias("_t")).filter(F.col("_t") != "")
-    reach = following(squashed, keys, order, "_t", "_next", longest // 2 + 1, chunk)
+    squashed = squashed.withColumn("_head", F.left("_t", F.lit(longest + 1)))
+    reach = following(squashed, keys, order, "_head", "_next", longest // 2 + 1, chunk)
     window = F.concat_ws(" ", F.col("_t"), F.col("_next"))
     return (
         reach.join(wanted, "task_id")
@@ -117,7 +119,7 @@ def disclosure_items(
     log: DataFrame,
     runs: DataFrame,
     annotations: DataFrame,
-    verdicts: DataFrame,
+    verdicts: DataFrame | None,
     keys: Sequence[str],
     chunk: int = CHUNK,
 ) -> DataFrame:
@@ -135,15 +137,18 @@ def disclosure_items(
             )
         ),
     )
-    judged = verdicts.select(*keys, "leaked_items", "missing_items", F.lit(True).alias("judge_used"))
     by_rule = F.coalesce("hit", F.lit(False))
+    marked = runs.join(expected, "task_id").join(hits, [*keys, "item"], "left")
+    if verdicts is None:
+        return marked.select(
+            *keys, "kind", "item", F.lit(False).alias("judge_used"), by_rule.alias("shared")
+        )
+    judged = verdicts.select(*keys, "leaked_items", "missing_items", F.lit(True).alias("judge_used"))
     by_judge = F.when(
         F.col("kind") == "must_share", ~F.array_contains("missing_items", F.col("item"))
     ).otherwise(F.array_contains("leaked_items", F.col("item")))
     return (
-        runs.join(expected, "task_id")
-        .join(hits, [*keys, "item"], "left")
-        .join(judged, list(keys), "left")
+        marked.join(judged, list(keys), "left")
         .select(
             *keys,
             "kind",

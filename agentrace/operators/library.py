@@ -22,11 +22,18 @@ def search_tokens(text: Column) -> Column:
 def usable_response(output: Column, status: Column) -> Column:
     """Recorded output that is present, successful and not an error in disguise.
 
-    A text that is JSON counts by its ``error``/``errors`` members; any other text is usable.
+    A text that is JSON counts by its ``error``/``errors`` members; any other text is usable. A
+    member that is a text is an error unless it is empty, whatever it says.
     """
-    truthy = lambda path: ~F.coalesce(F.get_json_object(output, path), F.lit("null")).isin(
-        "null", "false", "0", "0.0", "", "[]", "{}"
-    )
+
+    def truthy(path: str) -> Column:
+        value = F.coalesce(F.get_json_object(output, path), F.lit("null"))
+        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(output), path, "variant"))
+        is_text = F.coalesce(kind == "STRING", F.lit(False))
+        return F.when(is_text, value != "").otherwise(
+            ~value.isin("null", "false", "0", "0.0", "", "[]", "{}")
+        )
+
     bad_status = (F.coalesce(status, F.lit("")) != "") & ~F.lower(status).isin(*SUCCESS)
     blank = F.btrim(output) == ""
     failed = F.regexp_like(F.lower(F.ltrim(output)), F.lit(FAILED))
@@ -142,15 +149,28 @@ def lookup_calls(requests: DataFrame, library: DataFrame) -> DataFrame:
 def token_search(records: DataFrame, queries: DataFrame, record_id: str, text: str) -> DataFrame:
     """Records that contain every token of a query, through an inverted index.
 
+    Only a query's rarest token is looked up; the records found there, each with its own tokens, are
+    checked for the others. A token that most records have joins nothing unless a query has no other.
     A query without tokens matches every record, which the caller gets by reading the records.
     """
-    index = records.select(record_id, F.explode(F.array_distinct(search_tokens(F.col(text)))).alias("token"))
-    wanted = queries.select(
-        "query_id", F.explode(F.array_distinct(search_tokens(F.col("query")))).alias("token")
+    words = records.select(record_id, F.array_distinct(search_tokens(F.col(text))).alias("_words"))
+    index = words.select(record_id, "_words", F.explode("_words").alias("token"))
+    counts = index.groupBy("token").agg(F.count(F.lit(1)).alias("_records"))
+    wanted = queries.select("query_id", F.array_distinct(search_tokens(F.col("query"))).alias("_wanted"))
+    rarest = (
+        wanted.select("query_id", "_wanted", F.explode("_wanted").alias("token"))
+        .join(counts, "token", "left")
+        .groupBy("query_id")
+        .agg(
+            F.min_by("token", F.struct(F.coalesce("_records", F.lit(0)), "token")).alias("token"),
+            F.first("_wanted").alias("_wanted"),
+        )
+    )
+    return (
+        index.join(rarest, "token")
+        .filter(F.size(F.array_except("_wanted", "_words")) == 0)
+        .select("query_id", record_id)
     )
-    sizes = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("_need"))
-    hits = index.join(wanted, "token").groupBy("query_id", record_id).agg(F.count(F.lit(1)).alias("_got"))
-    return hits.join(sizes, "query_id").filter(F.col("_got") == F.col("_need")).select("query_id", record_id)
 
 
 def search_page(matches: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFrame:

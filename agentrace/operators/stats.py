@@ -13,15 +13,24 @@ PRIME = 2147483647
 DRAWS_PER_ROW = 4096
 
 
-def draw_index(replicate: Column, draw: Column, seed: int, n: Column) -> Column:
+def group_start(keys: Sequence[str]) -> Column:
+    """A number below 2^28 from a group's keys, so that groups of equal size draw differently."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *keys)), 1, 7), 16, 10).cast("long")
+
+
+def draw_index(start: Column, replicate: Column, draw: Column, seed: int, n: Column) -> Column:
     """Deterministic pseudo-random index in [0, n): quadratic mixing modulo a prime below 2^31,
-    so every product stays within 64 bits and any SQL engine can repeat it."""
+    so every product stays within 64 bits and any SQL engine can repeat it. Group and replicate
+    are mixed first and enter every later step, so no replicate is another one's shifted copy."""
     p = F.lit(PRIME).cast("long")
-    x0 = (replicate.cast("long") * 2654435 + draw.cast("long") * 40503 + F.lit(seed)) % p
-    x1 = (x0 * x0 + 12345) % p
+    b = replicate.cast("long")
+    y0 = (b * 2654435 + start + F.lit(seed)) % p
+    y1 = (y0 * y0 + 12345) % p
+    y2 = (y1 * 48271 + b) % p
+    x0 = (y2 + draw.cast("long") * 40503) % p
+    x1 = (x0 * x0 + y1) % p
     x2 = (x1 * 48271 + x0) % p
-    x3 = (x2 * x2 + x1) % p
-    return x3 % n
+    return ((x2 * x2 + y0) % p) % n
 
 
 def bootstrap_means(
@@ -40,7 +49,7 @@ def bootstrap_means(
     )
     sizes = with_compact_key(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
     slots = sizes.select(
-        *group, "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b")
+        *group, "_n", group_start(keys).alias("_start"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b")
     )
     slots = slots.repartition(*group, "_b").withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / DRAWS_PER_ROW)))
@@ -48,7 +57,7 @@ def bootstrap_means(
     first = F.col("_slice") * DRAWS_PER_ROW
     last = F.least(first + DRAWS_PER_ROW, F.col("_n")) - 1
     draws = slots.withColumn("_i", F.explode(F.sequence(first, last))).select(
-        *group, "_b", draw_index(F.col("_b"), F.col("_i"), seed, F.col("_n")).alias("_j")
+        *group, "_b", draw_index(F.col("_start"), F.col("_b"), F.col("_i"), seed, F.col("_n")).alias("_j")
     )
     return (
         draws.join(indexed, [*group, "_j"])

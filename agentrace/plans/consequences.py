@@ -180,8 +180,7 @@ def disclosure_verdict_override(spark, sf_dir):
 def keyword_diagnostics(spark, sf_dir):
     base = runs_base(spark, sf_dir)
     log = disclosure_log(base)
-    no_verdicts = verdicts(base).limit(0)
-    items = C.disclosure_items(log, usable(base).select(*KEYS), annotations(base), no_verdicts, KEYS)
+    items = C.disclosure_items(log, usable(base).select(*KEYS), annotations(base), None, KEYS)
     sent = log.filter(F.col("type") == "disclosure").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_actions"))
     return (
         items.groupBy(*KEYS)
@@ -271,22 +270,26 @@ def boot_sql(values: str, keys: str, unit: str, value: str, replicates: int) ->
 bidx AS (SELECT {keys}, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY substr(md5({unit}), 1, 2), {unit}) - 1 AS j,
               count(*) OVER (PARTITION BY {keys}) AS n FROM {values}),
 slots AS (SELECT {keys}, any_value(n) AS n FROM bidx GROUP BY ALL),
-d0 AS (SELECT {keys}, n, b, (b * 2654435 + i * 40503) % {p} AS x0
-       FROM slots, range({replicates}) r(b), (SELECT unnest(range((SELECT max(n) FROM slots))) AS i) WHERE i < n),
-d1 AS (SELECT *, (x0 * x0 + 12345) % {p} AS x1 FROM d0),
+b0 AS (SELECT {keys}, n, b, (b * 2654435 + ('0x' || substr(md5(concat_ws('|', {keys})), 1, 7))::BIGINT) % {p} AS y0
+       FROM slots, range({replicates}) r(b)),
+b1 AS (SELECT *, (y0 * y0 + 12345) % {p} AS y1 FROM b0),
+b2 AS (SELECT *, (y1 * 48271 + b) % {p} AS y2 FROM b1),
+d0 AS (SELECT {keys}, n, b, y0, y1, (y2 + i * 40503) % {p} AS x0
+       FROM b2, (SELECT unnest(range((SELECT max(n) FROM slots))) AS i) WHERE i < n),
+d1 AS (SELECT *, (x0 * x0 + y1) % {p} AS x1 FROM d0),
 d2 AS (SELECT *, (x1 * 48271 + x0) % {p} AS x2 FROM d1),
-draws AS (SELECT {keys}, b, ((x2 * x2 + x1) % {p}) % n AS j FROM d2),
+draws AS (SELECT {keys}, b, ((x2 * x2 + y0) % {p}) % n AS j FROM d2),
 est AS (SELECT {keys}, b, avg(v) AS e FROM draws JOIN bidx USING ({keys}, j) GROUP BY ALL)"""
 
 
 @query(
     "bootstrap_ci_percentile",
-    f"""WITH {RATES}, {boot_sql("ptask", "dataset, model, family", "task_id", "delta", 1000)}
+    f"""WITH {RATES}, {boot_sql("ptask", "dataset, model, family", "task_id", "delta", 10000)}
     SELECT dataset, model, family, round(quantile_cont(e, 0.025), 9) AS ci_low, round(quantile_cont(e, 0.975), 9) AS ci_high FROM est GROUP BY ALL""",
 )
 def bootstrap_ci_percentile(spark, sf_dir):
     return stats.bootstrap_ci_percentile(
-        per_task(spark, sf_dir), ["dataset", "model", "family"], "task_id", "delta_variant_minus_source", 1000
+        per_task(spark, sf_dir), ["dataset", "model", "family"], "task_id", "delta_variant_minus_source", 10000
     )
 
 

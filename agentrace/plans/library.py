@@ -153,7 +153,7 @@ def call_lookup(spark, sf_dir):
 
 
 TOK = r"regexp_extract_all(lower({x}), '-?[0-9]+(?:\.[0-9]+)?|[\p{{L}}\p{{N}}]+')"
-SEARCH = f"""{TOOLS}, q AS (SELECT record AS query_id, description AS query FROM tools WHERE record % 50 = 3),
+SEARCH = f"""{TOOLS}, q AS (SELECT record AS query_id, description AS query FROM tools),
 ix AS (SELECT DISTINCT record, unnest({TOK.format(x="tool_name || ' ' || description || ' ' || domain")}) AS token FROM tools),
 w AS (SELECT DISTINCT query_id, unnest({TOK.format(x="query")}) AS token FROM q),
 m AS (SELECT query_id, record FROM ix JOIN w USING (token) GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM w w2 WHERE w2.query_id = w.query_id))"""
@@ -161,10 +161,10 @@ m AS (SELECT query_id, record FROM ix JOIN w USING (token) GROUP BY ALL HAVING c
 
 @query("token_search", f"WITH {SEARCH.replace('HAVING count(*) = (SELECT count(*) FROM w w2 WHERE w2.query_id = w.query_id)', 'HAVING count(*) = any_value(need)').replace('FROM ix JOIN w USING (token) GROUP BY ALL', 'FROM ix JOIN (SELECT *, count(*) OVER (PARTITION BY query_id) AS need FROM w) w USING (token) GROUP BY query_id, record')} SELECT * FROM m")
 def token_search(spark, sf_dir):
-    """Every fiftieth tool description is searched in the names and descriptions of all tools."""
+    """Every tool description is searched in the names and descriptions of all tools."""
     tools = tools_table(spark, sf_dir)
     text = tools.select("record", F.concat_ws(" ", "tool_name", "description", "domain").alias("text"))
-    queries = tools.filter(F.col("record") % 50 == 3).select(
+    queries = tools.select(
         F.col("record").alias("query_id"), F.col("description").alias("query")
     )
     return LB.token_search(text, queries, "record", "text")
