@@ -139,6 +139,18 @@ def _op(kind, family, outcome, program, found) -> Column:
     )
 
 
+def command_text(name: str) -> Column:
+    """A command argument as one line, NULL if empty; a list is joined, less its ``bash -lc``."""
+    path = f"$.{name}"
+    value = F.get_json_object("arguments", path)
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("arguments"), path, "variant"))
+    words = F.from_json(value, "array<string>")
+    wrapped = (F.get(words, F.lit(0)) == "bash") & F.get(words, F.lit(1)).isin("-lc", "-c")
+    kept = F.when(F.coalesce(wrapped, F.lit(False)), F.slice(words, 3, F.size(words))).otherwise(words)
+    listed = F.coalesce(kind.startswith("ARRAY"), F.lit(False))
+    return F.nullif(F.when(listed, F.array_join(kept, " ")).otherwise(value), F.lit(""))
+
+
 def call_operations(calls: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
     """One row per operation with its dense ordinal in the trajectory.
 
@@ -148,7 +160,7 @@ def call_operations(calls: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -
     parsed = F.coalesce(F.json_object_keys("arguments").isNotNull(), F.lit(False))
     arg = lambda k: F.get_json_object("arguments", f"$.{k}")
     raw = F.when(~parsed, F.col("arguments"))
-    command = F.coalesce(arg("command"), arg("cmd"), raw, F.lit(""))
+    command = F.coalesce(command_text("command"), command_text("cmd"), raw, F.lit(""))
     has_command = F.coalesce(F.array_contains(F.json_object_keys("arguments"), "command"), ~parsed)
     outcome = F.when(F.regexp_like("observed", F.lit(ERROR)), "error").otherwise("ok")
     none, null = F.array().cast("array<string>"), F.lit(None).cast("string")

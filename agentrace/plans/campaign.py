@@ -226,7 +226,11 @@ def steps_table(base: DataFrame) -> DataFrame:
         F.lit(".py | grep \"two words\" notes.txt\n/usr/bin/git status"),
     )
     args = (
-        F.when(F.col("event_type") == "click", F.to_json(F.struct(command.alias("command"))))
+        F.when(
+            (F.col("event_type") == "click") & (k % 2 == 1),
+            F.to_json(F.struct(F.array(F.lit("bash"), F.lit("-lc"), command).alias("command"))),
+        )
+        .when(F.col("event_type") == "click", F.to_json(F.struct(F.lit("").alias("command"), command.alias("cmd"))))
         .when(F.col("event_type") == "view", F.to_json(F.struct(F.concat(F.lit("/data/a"), text(k % 3), F.lit(".csv")).alias("file_path"))))
         .when(F.col("event_type") == "purchase", F.to_json(F.struct(F.lit("").alias("path"), F.concat(F.lit("*** Update File: b"), text(k % 3), F.lit(".py\n*** Add File: c.py")).alias("patch"))))
         .when(F.col("event_type") == "signup", F.to_json(F.struct(F.concat(F.lit("https://h"), text(k % 3), F.lit(".org/x/y")).alias("url"))))
@@ -269,7 +273,25 @@ raw AS (
   UNION ALL SELECT {CQ.K}, 'other', 'my_tool', '', value, k FROM cl WHERE event_type = 'error' AND k % 2 = 1)"""
 
 
-@query("coding_ops")
+OPS = f"""{STEPS},
+shell AS (SELECT unnest([
+  {{'i': 0, 'kind': 'install', 'program': 'python3', 'paths': ''}}, {{'i': 1, 'kind': 'write', 'program': 'sed', 'paths': 's/a'}},
+  {{'i': 2, 'kind': 'build_run', 'program': chr(39), 'paths': 'src/f#.py'}}, {{'i': 3, 'kind': 'read', 'program': 'grep', 'paths': 'notes.txt'}},
+  {{'i': 4, 'kind': 'vcs', 'program': 'git', 'paths': ''}}]) AS s),
+op AS (
+  SELECT {CQ.K}, event_id, s.i AS i, s.kind AS kind, 'shell' AS tool, s.program AS program, replace(s.paths, '#', (k % 4)::VARCHAR) AS paths, value FROM cl, shell WHERE event_type = 'click'
+  UNION ALL SELECT {CQ.K}, event_id, 0, 'read_file', 'file', NULL, '/data/a' || (k % 3) || '.csv', value FROM cl WHERE event_type = 'view'
+  UNION ALL SELECT {CQ.K}, event_id, 0, 'write_file', 'file', NULL, 'b' || (k % 3) || '.py|c.py', value FROM cl WHERE event_type = 'purchase'
+  UNION ALL SELECT {CQ.K}, event_id, 0, 'network', 'web', NULL, 'h' || (k % 3) || '.org', value FROM cl WHERE event_type = 'signup'
+  UNION ALL SELECT {CQ.K}, event_id, 0, 'other', 'my_tool', NULL, '', value FROM cl WHERE event_type = 'error' AND k % 2 = 1
+  UNION ALL SELECT {CQ.K}, event_id, 9, 'plan', 'plan', NULL, '', 0 FROM cl WHERE k % 5 = 0 AND NOT (event_type = 'error' AND k % 2 = 0))"""
+
+
+@query(
+    "coding_ops",
+    f"""WITH {OPS} SELECT {CQ.K}, row_number() OVER (PARTITION BY {CQ.K} ORDER BY event_id, i) - 1 AS op_ord, kind, tool,
+      CASE WHEN value > 100 THEN 'error' ELSE 'ok' END AS outcome, program, paths FROM op""",
+)
 def coding_ops(spark, sf_dir):
     calls = CD.step_calls(steps_table(runs_base(spark, sf_dir)), CQ.KEYS)
     ops = CD.call_operations(calls, CQ.KEYS)
