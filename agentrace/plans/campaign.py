@@ -310,7 +310,17 @@ def coding_file_ops(spark, sf_dir):
     )
 
 
-@query("coding_graph_edges")
+@query(
+    "coding_graph_edges",
+    f"""WITH {OPS}, n AS (SELECT *, row_number() OVER (PARTITION BY {CQ.K} ORDER BY event_id, i) - 1 AS op_ord FROM op)
+    SELECT {CQ.K}, 'op:' || op_ord AS src, 'tool:' || {S.slug("tool")} AS dst, 'USES' AS relation FROM n
+    UNION ALL SELECT {CQ.K}, 'op:' || op_ord, 'argument:' || {S.slug("'program=' || program")}, 'HAS_ARGUMENT' FROM n WHERE program IS NOT NULL
+    UNION ALL SELECT {CQ.K}, 'op:' || (op_ord - 1), 'op:' || op_ord, 'DIRECTLY_PRECEDES' FROM n WHERE op_ord > 0
+    UNION ALL SELECT {CQ.K}, 'op:' || op_ord, CASE WHEN kind = 'network' THEN 'recipient:' ELSE 'resource:' END || {S.slug("p")},
+      CASE WHEN kind IN ('read', 'read_file', 'search') THEN 'READS' WHEN kind IN ('write', 'write_file') THEN 'CHANGES_STATE'
+           WHEN kind = 'network' THEN 'DISCLOSES_TO' ELSE 'ACCESSES' END
+      FROM (SELECT *, unnest(string_split(paths, '|')) AS p FROM n WHERE paths <> '')""",
+)
 def coding_graph_edges(spark, sf_dir):
     calls = CD.step_calls(steps_table(runs_base(spark, sf_dir)), CQ.KEYS)
     return CD.coding_graph(CD.call_operations(calls, CQ.KEYS), CQ.KEYS)[1]
