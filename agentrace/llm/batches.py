@@ -62,6 +62,6 @@ def _array(values, kind: pa.DataType) -> pa.Array:
 
 def fields(df: DataFrame, *names: str, **more: str) -> T.StructType:
     """The fields ``names`` of a DataFrame, then new ones given as name=type."""
-    own = [T.StructField(n, df.schema[n].dataType, True) for n in names]
+    own = [T.StructField(n, df.schema[n].dataType, df.schema[n].nullable) for n in names]
     new = [T.StructField(n, T._parse_datatype_string(t), True) for n, t in more.items()]
     return T.StructType(own + new)

@@ -18,10 +18,9 @@ from hashlib import blake2b
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from zstandard import ZstdCompressor, ZstdDecompressor
 
 from agentrace.llm.batches import fields, map_slices
-from agentrace.llm.keys import KEY, keyed, null_safe
+from agentrace.llm.packing import ROW, packed_texts, rows_of, unpacked
 from agentrace.llm.registry import query, table
 
 #: Steps of the doubling that makes a rolling hash of 16 bytes, and bits that must be zero at a cut.
@@ -32,7 +31,7 @@ MULTIPLIER = 0x9E3779B1
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: The memory of a worker's word memo, in bytes of words and ids.
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 64 << 20
 
 
 @lru_cache(1)
@@ -81,25 +80,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: Lent ids travel in the smallest width that the vocabulary needs.
+        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.memo: dict[bytes, bytes] = {}
         self.held = 0
+        #: A special token that ends a word as the end of a text does, if there is one.
+        self.stop = next(
+            (
+                (t.content, i)
+                for i, t in self.tokenizer.get_added_tokens_decoder().items()
+                if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)
+            ),
+            None,
+        )
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, each by itself; special tokens between them spare a call per word."""
+        texts = [w.decode() for w in words]
+        if self.stop and len(texts) > 1 and not any(self.stop[0] in t for t in texts):
+            whole = self.tokenizer.encode_batch_fast([self.stop[0].join(texts)], add_special_tokens=False)
+            ids = np.array(whole[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.stop[1])
+            if len(ends) == len(texts) - 1:
+                raw, at = ids.tobytes(), [0, *(4 * ends + 4).tolist(), 4 * len(ids) + 4]
+                return [raw[a : b - 4] for a, b in zip(at, at[1:])]
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(c.ids, "<u4").tobytes() for c in coded]
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """Ids (little-endian, 32 bits) of words between white space."""
-        new = list({w for w in words if w not in self.memo})
-        found = {}
-        if new:
-            coded = self.tokenizer.encode_batch_fast(
-                [w.decode() for w in new], add_special_tokens=False
-            )
-            found = {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(new, coded)}
-        out = [found[w] if w in found else self.memo[w] for w in words]
-        added = sum(len(w) + len(i) + 150 for w, i in found.items())
-        if self.held + added > MEMO_BYTES:
+        memo = self.memo
+        if new := list({w for w in words if w not in memo}):
+            ids = self.encoded(new)
+            memo.update(zip(new, ids))
+            self.held += sum(map(len, new)) + sum(map(len, ids)) + 150 * len(new)
+        out = list(map(memo.__getitem__, words))
+        if self.held > MEMO_BYTES:
             self.memo, self.held = {}, 0
-        if added <= MEMO_BYTES:
-            self.memo.update(found)
-            self.held += added
         return out
 
     def decode(self, ids: list[bytes]) -> list[str]:
@@ -138,12 +155,11 @@ def joined(text: bytes, lent: dict[int, bytes], words: list[bytes]) -> list[byte
 
 def chunk_places(source: DataFrame) -> DataFrame:
     """One row per chunk of every text: its digest, its document and its number there."""
-    schema = fields(source, *KEY, digests="array<binary>")
+    schema = fields(source, *ROW, digests="array<binary>")
 
     def cut(batch):
         return {
-            "doc_id": batch.column("doc_id"),
-            "text_hash": batch.column("text_hash"),
+            **{name: batch.column(name) for name in ROW},
             "digests": [
                 [blake2b(c, digest_size=16).digest() for c in chunks(t.encode())]
                 for t in batch.column("text").to_pylist()
@@ -151,40 +167,22 @@ def chunk_places(source: DataFrame) -> DataFrame:
         }
 
     return map_slices(source, cut, schema, "text").select(
-        *KEY, F.posexplode("digests").alias("pos", "digest")
+        *ROW, F.posexplode("digests").alias("pos", "digest")
     )
 
 
-def packed_texts(source: DataFrame) -> DataFrame:
-    """Key columns and the compressed text: what both joins by document shuffle, once."""
-    schema = fields(source, *KEY, packed="binary")
-
-    def pack(batch):
-        squeeze = ZstdCompressor(level=3).compress
-        columns = {name: batch.column(name) for name in KEY}
-        columns["packed"] = [squeeze(t.encode()) for t in batch.column("text").to_pylist()]
-        return columns
-
-    return map_slices(source, pack, schema, "text")
-
-
-def unpacked(batch) -> list[bytes]:
-    expand = ZstdDecompressor().decompress
-    return [expand(p) for p in batch.column("packed").to_pylist()]
-
-
 def lent_chunks(source: DataFrame, packed: DataFrame, tokenizer: str) -> DataFrame:
     """Ids of every chunk with several places: ``digest, ids``; each is encoded once."""
-    place = F.struct(*KEY, "pos")
+    place = F.struct(*ROW, "pos")
     shared = (
         chunk_places(source)
         .groupBy("digest")
         .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where(~F.col("first").eqNullSafe(F.col("last")))
+        .where(F.col("first") != F.col("last"))
     )
     owners = (
         shared.select("first.*", "digest")
-        .groupBy(*KEY)
+        .groupBy(*ROW)
         .agg(F.collect_list(F.struct("pos", "digest")).alias("own"))
     )
     schema = fields(source, digests="array<binary>", ids="array<binary>")
@@ -197,12 +195,13 @@ def lent_chunks(source: DataFrame, packed: DataFrame, tokenizer: str) -> DataFra
                 first, last = body(chunk := cut[place["pos"]])
                 words += (found := chunk[first:last].split() if first >= 0 else [])
                 counts.append(len(found))
-            coded = iter(coder.words(words))
+            coded = iter(np.frombuffer(w, "<u4") for w in coder.words(words))
+            narrow = lambda n: [next(coded).astype(coder.width).tobytes() for _ in range(n)]
             digests.append([place["digest"] for place in own])
-            ids.append([b"".join(next(coded) for _ in range(n)) for n in counts])
+            ids.append([b"".join(narrow(n)) for n in counts])
         return {"digests": digests, "ids": ids}
 
-    published = map_slices(null_safe(packed, owners, [*KEY]), publish, schema, "packed")
+    published = map_slices(packed.join(owners, [*ROW]), publish, schema, "packed")
     return (
         published.select(F.explode(F.arrays_zip("digests", "ids")).alias("c"))
         .select(F.col("c.digests").alias("digest"), F.col("c.ids").alias("ids"))
@@ -212,10 +211,16 @@ def lent_chunks(source: DataFrame, packed: DataFrame, tokenizer: str) -> DataFra
 
 
 def encode_documents(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    tokenizer: str,
+    decode: bool = False,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, ids``; ids are little-endian 32-bit integers.
 
+    With ``decode`` there is also ``decoded``, the text that these ids decode to.
+
     ``tokenizer`` is the path of a file of the tokenizers library whose pre-tokenizer never joins
     text across ASCII white space. Special tokens that stand in a text are recognised, none is
     added, nothing is truncated or padded. Null and empty texts have no ids; repeated rows give
@@ -224,17 +229,18 @@ def encode_documents(
     more key than the lent side is dealt by, so that adaptive execution can split it. What meets
     in one row is the chunks of one document.
     """
-    source = keyed(docs, id_col, text_col)
+    source = rows_of(docs, id_col, text_col)
     packed = packed_texts(source)
     salt = F.xxhash64("digest").alias("salt")
     lent = (
         chunk_places(source)
         .withColumn("salt", salt)
         .join(lent_chunks(source, packed, tokenizer).withColumn("salt", salt), ["digest", "salt"])
-        .groupBy(*KEY)
+        .groupBy(*ROW)
         .agg(F.collect_list(F.struct("pos", "ids")).alias("lent"))
     )
-    schema = fields(source, "doc_id", n_tokens="bigint", ids="binary")
+    more = {"decoded": "string"} if decode else {}
+    schema = fields(source, "doc_id", n_tokens="bigint", ids="binary", **more)
 
     def assemble(batch):
         coder, words, rows = encoder(tokenizer), [], []
@@ -250,15 +256,16 @@ def encode_documents(
                     parts += coded[at : at + piece]
                     at += piece
                 else:
-                    parts.append(piece)
+                    parts.append(np.frombuffer(piece, coder.width).astype("<u4").tobytes())
             ids.append(b"".join(parts))
         return {
             "doc_id": batch.column("doc_id"),
             "n_tokens": [len(i) // 4 for i in ids],
             "ids": ids,
+            **({"decoded": coder.decode(ids)} if decode else {}),
         }
 
-    return map_slices(null_safe(packed, lent, [*KEY], "left"), assemble, schema, "packed")
+    return map_slices(packed.join(lent, [*ROW], "left"), assemble, schema, "packed")
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -277,7 +284,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
 def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, n_tokens`` and SHA-256 digests of the ids and of the text they decode to."""
-    return decode_documents(encode_documents(docs, tokenizer), tokenizer).select(
+    return encode_documents(docs, tokenizer, decode=True).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -13,7 +13,7 @@ from helpers import LOWER, awkward, awkward_texts, empty, prose, rows_of, SCHEMA
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from agentrace.llm import audio, bpe, licenses, lines, secrets
+from agentrace.llm import audio, bpe, licenses, lines, packing, secrets
 
 
 @pytest.fixture(scope="module")
@@ -41,8 +41,8 @@ def test_lent_chunks_are_used_and_exact(spark, tokenizer):
     shared = prose(5, 1500)
     texts = [shared, "x " + shared, prose(6, 40) + shared, "nothing shared", shared]
     docs = spark.createDataFrame(rows_of(texts), SCHEMA)
-    source = bpe.rows_of(docs, "doc_id", "text")
-    lent = bpe.lent_chunks(source, bpe.packed_texts(source), bpe.default_tokenizer()).collect()
+    source = packing.rows_of(docs)
+    lent = bpe.lent_chunks(source, packing.packed_texts(source), bpe.default_tokenizer()).collect()
     assert len(lent) >= 3 and len({r.digest for r in lent}) == len(lent)
     got = {r.doc_id: bytes(r.ids) for r in bpe.encode_documents(docs, bpe.default_tokenizer()).collect()}
     assert got == {i + 1: ids_of(tokenizer, t) for i, t in enumerate(texts)}
