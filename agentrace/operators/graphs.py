@@ -329,8 +329,8 @@ def signatures(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def serialize(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Long JSON form for exchange: one record per node or edge with its place in the sorted
-    graph, instead of one document per graph that would have to fit a single row."""
+    """Long JSON form for exchange: one record per node or edge, instead of one document per graph
+    that would have to fit a single row. Readers sort the records of a graph if they need to."""
     n = nodes.select(
         *keys,
         F.lit("node").alias("part"),

@@ -42,7 +42,7 @@ def streaming_partial_counts(spark, sf_dir):
     folder = new_folder(spark, "partials")
     turns = CP.decorate(table_stream(spark, sf_dir, "conversations"))
     phrases.run_partial_counts(turns, f"{folder}/checkpoint", f"{folder}/counts")
-    return phrases.latest_version(spark, f"{folder}/counts")
+    return phrases.merged_versions(spark, f"{folder}/counts", phrases.PHRASE, "turn_count")
 
 
 @query(

@@ -143,6 +143,16 @@ def sandbox_graph_nodes(spark, sf_dir):
     return graphs.sandbox_graph(long_log(spark, sf_dir), LONG)[0]
 
 
+@query(
+    "graph_records",
+    f"""WITH {S.SANDBOX_EDGES}
+    SELECT user_id, 'node' AS part, '{{"id":"' || node_id || '","label":"' || label || '"}}' AS record FROM snodes
+    UNION ALL SELECT user_id, 'edge', '{{"source":"' || src || '","target":"' || dst || '","label":"' || relation || '"}}' FROM sedges""",
+)
+def graph_records(spark, sf_dir):
+    return graphs.serialize(*graphs.sandbox_graph(long_log(spark, sf_dir), LONG), LONG)
+
+
 @query(
     "builder_route",
     f"""WITH {S.BASE}, allrows AS (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from agentrace.operators import corpus
 
+PHRASE = ["language", "position", "n_tokens", "phrase"]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,7 +29,7 @@ def phrase_counts(turns: DataFrame) -> DataFrame:
     """Running number of distinct turns per boundary phrase."""
     return (
         corpus.turn_phrases(unique_turns(turns))
-        .groupBy("language", "position", "n_tokens", "phrase")
+        .groupBy(*PHRASE)
         .agg(F.count(F.lit(1)).alias("turn_count"))
     )
 
@@ -43,22 +44,13 @@ def snapshot_writer(path: str):
     return write
 
 
-def merge_writer(path: str, keys: list[str], count: str):
-    """Batch function that adds the batch's partial counts to the previous version.
+def merged_versions(spark: SparkSession, path: str, keys: list[str], count: str) -> DataFrame:
+    """Sums over the versions under ``path``, each of which holds the counts of one batch.
 
-    Version n is read from version n - 1 only, so replaying a batch gives the same version.
+    A batch writes what it adds and nothing else; the versions meet when they are read.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        merged = batch
-        if batch_id > 0:
-            merged = spark.read.parquet(f"{path}/version={batch_id - 1:010d}").unionByName(batch)
-        merged.groupBy(*keys).agg(F.sum(count).alias(count)).write.mode("overwrite").parquet(
-            f"{path}/version={batch_id:010d}"
-        )
-
-    return write
+    added = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    return added.groupBy(*keys).agg(F.sum(count).alias(count))
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
@@ -72,6 +64,7 @@ def latest_version(spark: SparkSession, path: str) -> DataFrame:
 
 def run_phrase_counts(turns: DataFrame, checkpoint: str, output: str) -> None:
     """Process everything that is available now and stop; a later call resumes from there."""
+    use_disk_state(turns.sparkSession)
     (
         phrase_counts(turns)
         .writeStream.outputMode("complete")
@@ -84,12 +77,12 @@ def run_phrase_counts(turns: DataFrame, checkpoint: str, output: str) -> None:
 
 
 def run_partial_counts(turns: DataFrame, checkpoint: str, output: str) -> None:
-    """Chunk counts merged version by version; turns must already be unique."""
-    keys = ["language", "position", "n_tokens", "phrase"]
+    """The counts of each batch as a version of their own, see ``merged_versions``."""
+    use_disk_state(turns.sparkSession)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        partial = corpus.turn_phrases(batch).groupBy(*keys).agg(F.count(F.lit(1)).alias("turn_count"))
-        merge_writer(output, keys, "turn_count")(partial, batch_id)
+        partial = corpus.turn_phrases(batch).groupBy(*PHRASE).agg(F.count(F.lit(1)).alias("turn_count"))
+        snapshot_writer(output)(partial, batch_id)
 
     (
         unique_turns(turns)
