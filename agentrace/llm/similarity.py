@@ -4,8 +4,8 @@ A document's distinct shingles are hashed into groups; the counts by group are a
 can share more shingles than the sum of the smaller count of each group, so a node of a tree, or a
 pair of nodes, whose summed minima (or largest counts) fall short of the needed overlap is skipped.
 Points are first put in slabs: a set that shares nine tenths with another one has a shingle in
-common with it among its first few in any fixed order, here the order of how full the shingles'
-groups are. Every slab has a tree of its own, and what survives there is verified on the whole sets.
+common with it among its first few in any fixed order, here the one of how common a shingle's words
+are. Every slab has a tree of its own, and what survives there is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -17,44 +17,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentrace.llm.batches import fields, map_slices
+from agentrace.llm.batches import fields, map_slices, slices
 from agentrace.llm.components import components
-from agentrace.llm.keys import KEY, keyed, null_safe
+from agentrace.llm.packing import ROW, packed_texts, row_keys, rows_of, unpacked
 from agentrace.llm.registry import query, table
 from agentrace.llm.wordhash import U64, Words, mixed, spaces_between
 from agentrace.session import materialize
 
 WIDTH, PERCENT = 3, 90
-#: Groups of the point, and groups by whose fullness shingles are ordered.
-DIMENSIONS, ORDER_BITS = 32, 16
+#: Least and most groups of a point, and groups in which words are counted (bits).
+LEAST_CELLS, MOST_CELLS, ORDER_BITS = 32, 256, 16
 LEAF = 16
-#: Points of one tree, and sets that one task verifies against as many others.
-TREE_ROWS, BLOCK = 1 << 15, 1024
+#: Points of one tree; sets, and shingles of them, that one task verifies against as many others.
+TREE_ROWS, BLOCK, BLOCK_SHINGLES = 1 << 15, 1024, 1 << 19
 COLUMNS = 4096
 
 
-def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of every text; a shorter text's words are one shingle."""
+def shingle_sets(
+    texts: pa.Array, width: int, weight: np.ndarray | None = None
+) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sorted distinct shingle hashes of every text; a shorter text's words are one shingle.
+
+    With ``weight`` by word group, also the summed weights of the words of every shingle.
+    """
     words = Words(texts, spaces_between())
     h = words.hashes()
-    if len(h) >= width:
-        rolled = np.zeros(len(h) - width + 1, U64)
-        for i in range(width):
-            rolled = mixed(rolled * U64(0x9FB21C651E98DF25) + h[i : i + len(rolled)] + U64(i + 1))
-    else:
-        rolled = np.zeros(0, U64)
-    out = []
+    count = max(len(h) - width + 1, 0)
+    rolled, load = np.zeros(count, U64), np.zeros(count, np.int64)
+    for i in range(width if count else 0):
+        rolled = mixed(rolled * U64(0x9FB21C651E98DF25) + h[i : i + count] + U64(i + 1))
+        if weight is not None:
+            load += weight[word_group(h[i : i + count])]
+    out, loads = [], []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
         if b - a >= width:
-            out.append(np.unique(rolled[a : b - width + 1]))
-        elif b > a:
-            few = np.array([b - a], U64)
-            for i in range(a, b):
-                few = mixed(few * U64(3) + h[i : i + 1])
-            out.append(few)
-        else:
-            out.append(np.zeros(0, U64))
-    return out
+            stop = b - width + 1
+            if weight is None:
+                out.append(np.unique(rolled[a:stop]))
+            else:
+                found, at = np.unique(rolled[a:stop], return_index=True)
+                out.append(found)
+                loads.append(load[a:stop][at])
+            continue
+        few = np.array([b - a] if b > a else [], U64)
+        for i in range(a, b):
+            few = mixed(few * U64(3) + h[i : i + 1])
+        out.append(few)
+        loads.append(np.zeros(len(few), np.int64))
+    return out, loads
+
+
+def word_group(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(64 - ORDER_BITS)).astype(np.int64)
 
 
 def least_overlap(total, percent: int):
@@ -66,62 +80,76 @@ def digest(shingles: np.ndarray) -> bytes:
     return blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def group_sizes(source: DataFrame, width: int) -> np.ndarray:
-    """Shingles by order group over all documents; one small row per group reaches the driver."""
-    schema = fields(source, found="array<struct<name:int,n:bigint>>")
+def word_weights(source: DataFrame) -> np.ndarray:
+    """How common the words of each group are, as a logarithm, over all documents.
 
-    def count(batch):
-        sets = shingle_sets(batch.column("text"), width)
-        names = np.concatenate(sets) >> U64(64 - ORDER_BITS)
-        name, n = np.unique(names, return_counts=True)
-        pairs = pa.StructArray.from_arrays(
-            [pa.array(name.astype(np.int32)), pa.array(n.astype(np.int64))], ["name", "n"]
-        )
-        ends = pa.array(np.array([0, len(name)], np.int32))
-        return {"found": pa.ListArray.from_arrays(ends, pairs)}
+    A shingle of common words is likely to stand in many texts, one with a rare word in few. One
+    small row per group reaches the driver.
+    """
 
-    rows = (
-        map_slices(source, count, schema, "text")
-        .select(F.explode("found").alias("g"))
-        .groupBy("g.name")
-        .agg(F.sum("g.n").alias("n"))
-        .toArrow()
-    )
+    def count(batches):
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h = Words(part.column("text"), spaces_between()).hashes()
+                total += np.bincount(word_group(h), minlength=len(total))
+        name = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(total[name])], ["name", "n"])
+
+    counted = source.select("text").mapInArrow(count, "name long, n long")
+    rows = counted.groupBy("name").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << ORDER_BITS, np.int64)
-    out[rows.column("name").to_numpy()] = rows.column("n").to_numpy()
+    n = rows.column("n").to_numpy()
+    out[rows.column("name").to_numpy()] = np.round(1000 * np.log(n)) if len(n) else 0
     return out
 
 
+def cells_of(size: np.ndarray) -> np.ndarray:
+    """Groups of a set's point: a power of two, about one for every sixteen shingles."""
+    wanted = np.exp2(np.ceil(np.log2(np.maximum(size, 1) / 16))).astype(np.int64)
+    return np.clip(wanted, LEAST_CELLS, MOST_CELLS)
+
+
 def points(source: DataFrame, width: int, percent: int) -> DataFrame:
     """Per document its set's size, digest, point and first shingles: what candidates need."""
-    fullness = group_sizes(source, width)
-    rank = np.empty(len(fullness), np.int32)
-    rank[np.argsort(fullness, kind="stable")] = np.arange(len(fullness))
-    schema = fields(source, *KEY, n="bigint", set="binary", point="binary", first="array<bigint>")
+    weight = word_weights(source).astype(np.int32)
+    schema = fields(source, *ROW, "doc_id", n="bigint", set="binary", point="binary", first="array<bigint>")
 
     def describe(batch):
-        sets = shingle_sets(batch.column("text"), width)
-        first, point = [], []
-        for s in sets:
+        sets, loads = shingle_sets(batch.column("text"), width, weight)
+        size = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        cells = cells_of(size)
+        ends = np.cumsum(cells)
+        cell = np.repeat(ends - cells, size)
+        cell += (mixed(flat) & np.repeat(cells - 1, size).astype(U64)).astype(np.int64)
+        point = np.split(np.bincount(cell, minlength=ends[-1]).astype("<u4"), ends[:-1])
+        first = []
+        for s, load in zip(sets, loads):
             # A linked set shares percent of this one at least, so one of these few is common.
             few = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-            order = np.argsort(rank[s >> U64(64 - ORDER_BITS)], kind="stable")[:few]
+            order = np.argsort(load, kind="stable")[:few]
             first.append(s[order].view(np.int64))
-            cell = (mixed(s) % U64(DIMENSIONS)).astype(np.int64)
-            point.append(np.bincount(cell, minlength=DIMENSIONS).astype("<u4").tobytes())
         ends = np.concatenate(([0], np.cumsum([len(f) for f in first]))).astype(np.int32)
         return {
-            "doc_id": batch.column("doc_id"),
-            "text_hash": batch.column("text_hash"),
-            "n": [len(s) for s in sets],
+            **{name: batch.column(name) for name in (*ROW, "doc_id")},
+            "n": size,
             "set": [digest(s) for s in sets],
-            "point": point,
+            "point": [p.astype(np.min_scalar_type(p.max())).tobytes() for p in point],
             "first": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first))),
         }
 
     return map_slices(source, describe, schema, "text")
 
 
+def read_points(raw: list[tuple[bytes, int]], cells: int) -> np.ndarray:
+    """Points, given with the number of their groups, all folded to ``cells`` groups."""
+    out = np.empty((len(raw), cells), np.int64)
+    for i, (p, own) in enumerate(raw):
+        out[i] = np.frombuffer(p, f"<u{len(p) // own}").reshape(-1, cells).sum(axis=0)
+    return out
+
+
 class Union:
     """Disjoint sets over 0..n-1."""
 
@@ -222,17 +250,47 @@ class Tree:
                 self.union.join(int(a[i]), int(b[j]))
 
 
+def shared_slabs(rows: DataFrame) -> DataFrame:
+    """Rows whose slab has another row; ``rows`` (slab, head) are small, and most go here."""
+
+    def keep(batches):
+        held = before = None
+        for batch in batches:
+            held = pa.concat_tables([held, pa.table(batch)]) if held else pa.table(batch)
+            slab = held.column("slab").to_numpy()
+            if len(slab) < 2:
+                continue
+            same = slab[1:] == slab[:-1]
+            lead = np.concatenate(([slab[0] == before], same))
+            kept = lead | np.append(same, False)
+            before = slab[-2]
+            yield from held.slice(0, len(slab) - 1).filter(pa.array(kept[:-1])).to_batches()
+            held = held.slice(len(slab) - 1)
+        if held and held.num_rows and held.column("slab")[0].as_py() == before:
+            yield from held.to_batches()
+
+    return rows.repartition("slab").sortWithinPartitions("slab").mapInArrow(keep, rows.schema)
+
+
 def candidates(described: DataFrame, percent: int) -> DataFrame:
     """Edges ``a, b`` between sets: any two that may be linked are connected by a path of them.
 
-    Rows of a slab come sorted; a tree takes up to TREE_ROWS of them. The rows of a longer slab are
-    all connected without a bound, which only leaves more to verify, in blocks.
+    First only slabs and the first half of the sets' digests are shuffled, and what is alone in its
+    slab leaves; the others then meet their points. Rows of a slab come sorted; a tree takes up to
+    TREE_ROWS of them. The rows of a longer slab are all connected without a bound, which only
+    leaves more to verify, in blocks.
     """
-    rows = (
+    sets = (
         described.where("n > 0")
         .groupBy("set")
         .agg(F.first(F.struct("n", "point", "first")).alias("s"))
-        .select("set", "s.n", "s.point", F.explode("s.first").alias("slab"))
+        .select(F.xxhash64("set").alias("head"), "set", "s.n", "s.point", "s.first")
+    )
+    alone = sets.select(F.explode("first").alias("slab"), "head")
+    rows = (
+        shared_slabs(alone)
+        .join(sets.select("head", "set", "n", "point"), "head")
+        .select("slab", "n", "set", "point")
         .repartition("slab")
         .sortWithinPartitions("slab", "n", "set")
     )
@@ -262,8 +320,8 @@ def candidates(described: DataFrame, percent: int) -> DataFrame:
             slab = part.column("slab").to_numpy()
             size = part.column("n").to_numpy()
             names = part.column("set").to_pylist()
-            raw = part.column("point").combine_chunks()
-            point = np.frombuffer(b"".join(raw.to_pylist()), "<u4").reshape(-1, DIMENSIONS)
+            cells = cells_of(size)
+            raw = list(zip(part.column("point").to_pylist(), cells.tolist()))
             start = np.concatenate(([0], np.flatnonzero(slab[1:] != slab[:-1]) + 1, [len(slab)]))
             length = np.diff(start)
             found: set = set()
@@ -274,16 +332,27 @@ def candidates(described: DataFrame, percent: int) -> DataFrame:
             before, last = goes_on, names[-1]
             # Slabs of two, by far the most, are compared all at once.
             two = start[:-1][(length == 2) & ~long]
-            shared = np.minimum(point[two], point[two + 1]).sum(axis=1)
-            for i in two[shared >= least_overlap(size[two] + size[two + 1], percent)]:
-                found.add((names[i], names[i + 1]))
+            two = two[size[two] * 100 >= percent * size[two + 1]]
+            for n in np.unique(cells[two]):
+                at = two[cells[two] == n]
+                for at in np.array_split(at, -(-len(at) // 4096)):
+                    a, b = (read_points([raw[i] for i in at + k], n) for k in (0, 1))
+                    need = least_overlap(size[at] + size[at + 1], percent)
+                    for i in at[np.minimum(a, b).sum(axis=1) >= need]:
+                        found.add((names[i], names[i + 1]))
             for at, n, whole in zip(start[:-1], length, long):
                 if whole:
                     found |= {(names[at], names[i]) for i in range(at + 1, at + n)}
                 elif n > 2:
-                    rows_of = slice(at, at + n)
-                    union = Tree(point[rows_of].astype(np.int64), size[rows_of], percent).pairs()
-                    found |= {(names[at + x], names[at + y]) for x, y in union.edges()}
+                    for few in np.unique(cells[at : at + n]):
+                        # Larger sets that may link with these are compared in as many groups.
+                        own = at + np.flatnonzero(cells[at : at + n] == few)
+                        rest = np.arange(own[-1] + 1, at + n)
+                        own = np.append(own, rest[size[rest] * percent <= 100 * size[own[-1]]])
+                        if len(own) > 1:
+                            tree = Tree(read_points([raw[i] for i in own], few), size[own], percent)
+                            edges = tree.pairs().edges()
+                            found |= {(names[own[x]], names[own[y]]) for x, y in edges}
             if found:
                 a, b = zip(*found)
                 edges = [pa.array(a, pa.binary()), pa.array(b, pa.binary())]
@@ -295,24 +364,30 @@ def candidates(described: DataFrame, percent: int) -> DataFrame:
 def verified(sets: DataFrame, percent: int) -> DataFrame:
     """Edges ``a, b`` that connect the same sets as all true links do.
 
-    ``sets`` has columns label (a candidate component), set and shingles. A component is dealt into
-    blocks by a hash of the set, and every pair of its blocks is a task of bounded size that counts
-    common shingles of all its pairs with matrix products; a component of up to BLOCK sets is one.
+    ``sets`` has columns label (a candidate component), blocks, set and shingles. A component is
+    dealt into blocks by a hash of the set, and every pair of its blocks is a task of bounded size
+    that counts common shingles of all its pairs with matrix products; a component of up to BLOCK
+    sets is one block.
     """
-    per = sets.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = sets.join(per, "label").withColumn(
-        "block", F.pmod(F.xxhash64(F.lit(3), "set"), "blocks").cast("int")
+    block = F.pmod(F.xxhash64(F.lit(3), "set"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = (
+        sets.withColumn("block", block)
+        .withColumn("other", other)
+        .select(
+            "label",
+            F.least("block", "other").alias("i"),
+            F.greatest("block", "other").alias("j"),
+            "set",
+            "shingles",
+        )
     )
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "set", "shingles",
-    )
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def verify(group: pa.Table) -> pa.Table:
-        order = np.argsort(np.array(group.column("set").to_pylist(), object))
-        names = [group.column("set")[int(i)].as_py() for i in order]
-        members = [np.frombuffer(group.column("shingles")[int(i)].as_py(), "<u8") for i in order]
+        found = dict(zip(group.column("set").to_pylist(), group.column("shingles").to_pylist()))
+        names = sorted(found)
+        members = [np.frombuffer(found[name], "<u8") for name in names]
         union = linked(members, percent)
         edges = union.edges()
         return pa.table([[names[x] for x, _ in edges], [names[y] for _, y in edges]], schema=schema)
@@ -355,63 +430,63 @@ def jaccard_components(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per input row: ``doc_id, text_hash, n_shingles, component_id, stays``.
+    """One row per input row: ``row1, row2, doc_id, n_shingles, component_id, stays``.
 
     Documents link when their sets of ``width``-word shingles overlap by ``percent`` of their union;
     A-Z are lower-cased, words stand between ASCII white space, and fewer words than a shingle's
     are one shingle. ``component_id`` is the smallest id that links reach, the document's own
     included, and the one that ``stays`` where a component is to be cut down to one document (of
-    documents with equal ids, the one of the smallest text hash). Null and empty texts have no shingles and are linked with nothing, not even each
+    documents with equal ids, the one of the smallest row key). Null and empty texts have no shingles and are linked with nothing, not even each
     other; a null id is the smallest of a component only if no other is there. Repeated rows get
     equal rows; an empty table gives none.
 
     Equal sets are one point from the start, so groups of exact copies cost nothing further; no
     pairs are written, only edges that connect what is linked. No partner or candidate is dropped.
     """
-    source = keyed(docs, id_col, text_col)
+    source = rows_of(docs, id_col, text_col)
     described = materialize(points(source, width, percent), "jaccard-points")
-    maybe = components(candidates(described, percent))
+    maybe = materialize(components(candidates(described, percent)), "jaccard-maybe")
+    blocks = F.greatest(
+        F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))
+    )
     chosen = (
         described.groupBy("set")
-        .agg(F.min(F.struct(*KEY)).alias("doc"))
+        .agg(F.min(F.struct(*ROW)).alias("row"), F.first("n").alias("n"))
         .join(maybe.withColumnRenamed("node", "set"), "set")
-        .select("set", "label", "doc.*")
+        .select("row.*", "set", "label", "n")
     )
-    schema = fields(chosen, "set", "label", shingles="binary")
+    chosen = materialize(chosen, "jaccard-chosen")
+    per = chosen.groupBy("label").agg(blocks.cast("int").alias("blocks"))
+    chosen = chosen.join(per, "label").select(*ROW, "set", "label", "blocks")
+    schema = fields(chosen, "set", "label", "blocks", shingles="binary")
 
     def fetch(batch):
-        sets = shingle_sets(batch.column("text"), width)
-        return {
-            "set": batch.column("set"),
-            "label": batch.column("label"),
-            "shingles": [s.astype("<u8").tobytes() for s in sets],
-        }
+        texts = pa.array([t.decode() for t in unpacked(batch)], pa.string())
+        columns = {name: batch.column(name) for name in ("set", "label", "blocks")}
+        found = [s.astype("<u8").tobytes() for s in shingle_sets(texts, width)[0]]
+        return columns | {"shingles": found}
 
-    whole = map_slices(
-        null_safe(source.dropDuplicates([*KEY]), chosen, [*KEY]).select("set", "label", "text"),
-        fetch,
-        schema,
-        "text",
-    )
+    whole = map_slices(packed_texts(source).join(chosen, [*ROW]), fetch, schema, "packed")
     labels = materialize(components(verified(whole, percent)), "jaccard-labels")
     salt = lambda c: F.xxhash64(c).alias("salt")
     member = (
-        described.select(*KEY, "n", "set", salt("set"))
+        described.select(*ROW, "doc_id", "n", "set", salt("set"))
         .join(labels.select(F.col("node").alias("set"), "label", salt("node")), ["set", "salt"], "left")
-        .select(*KEY, "n", F.coalesce("label", "set").alias("label"))
+        .select(*ROW, "doc_id", "n", F.coalesce("label", "set").alias("label"))
     )
     smallest = (
         member.where("n > 0")
         .groupBy("label")
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), *KEY)).alias("smallest"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)).alias("smallest"))
     )
     return (
         member.withColumn("salt", salt("label"))
         .join(smallest.withColumn("salt", salt("label")), ["label", "salt"], "left")
-        .withColumn("own", F.struct(F.col("doc_id").isNull(), *KEY))
+        .withColumn("own", F.struct(F.col("doc_id").isNull(), "doc_id", *ROW))
         .withColumn("smallest", F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("own")))
         .select(
-            *KEY,
+            *ROW,
+            "doc_id",
             F.col("n").alias("n_shingles"),
             F.col("smallest.doc_id").alias("component_id"),
             F.col("smallest").eqNullSafe(F.col("own")).alias("stays"),
@@ -421,13 +496,9 @@ def jaccard_components(
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns; rows that repeat id and text stay alike."""
-    kept = jaccard_components(docs, **options).where("stays").select(*KEY)
-    rows = docs.select(
-        F.struct("*").alias("row"),
-        "doc_id",
-        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"),
-    )
-    return null_safe(rows, kept, [*KEY], "left_semi").select("row.*")
+    kept = jaccard_components(docs, **options).where("stays").select(*ROW)
+    rows = docs.select(F.struct("*").alias("row"), *row_keys("doc_id", "text"))
+    return rows.join(kept, [*ROW], "left_semi").select("row.*")
 
 
 @query("op4_jaccard_join")
