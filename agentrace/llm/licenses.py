@@ -171,7 +171,43 @@ def _labels(spans: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
 
 
-@query("op7_license_scan")
+def scan_sql(base=BASE, notices=NOTICES, drift=DRIFT, cover=COVER) -> str:
+    grams = []
+    for number, (phrase, label) in enumerate((*base, *notices)):
+        tokens = phrase.split()
+        for at in range(len(tokens) - GRAM + 1):
+            gram, n = " ".join(tokens[at : at + GRAM]), len(tokens) - GRAM + 1
+            grams.append(f"({number}, '{gram}', {at}, {n}, '{label}', {number < len(base)})")
+    return rf"""
+WITH words AS (
+  SELECT doc_id, list_filter(
+    regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+    lambda x: x <> '') AS w FROM documents),
+gram AS (SELECT doc_id, w[i + 1] || ' ' || w[i + 2] AS gram, i AS pos FROM (SELECT *, unnest(range(len(w) - 1)) AS i FROM words)),
+template(t, gram, tpos, grams, label, is_base) AS (VALUES {", ".join(grams)}),
+vote AS (SELECT DISTINCT doc_id, t, grams, label, is_base, pos - tpos AS diagonal, tpos FROM gram JOIN template USING (gram)),
+stepped AS (
+  SELECT doc_id, t, diagonal,
+         CASE WHEN diagonal - lag(diagonal) OVER w <= CASE WHEN is_base THEN 0 ELSE {drift} END THEN 0 ELSE 1 END AS new
+  FROM (SELECT DISTINCT doc_id, t, diagonal, is_base FROM vote) WINDOW w AS (PARTITION BY doc_id, t ORDER BY diagonal)),
+placed AS (SELECT doc_id, t, diagonal, sum(new) OVER (PARTITION BY doc_id, t ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM stepped),
+span AS (
+  SELECT doc_id, t, span, label, is_base, min(diagonal + tpos) AS first_word, count(DISTINCT tpos) / grams::DOUBLE AS score
+  FROM vote JOIN placed USING (doc_id, t, diagonal) GROUP BY doc_id, t, span, label, is_base, grams),
+kept AS (SELECT * FROM span WHERE CASE WHEN is_base THEN score = 1 ELSE score >= {cover} END),
+told AS (
+  SELECT doc_id, count(*) FILTER (WHERE is_base) AS n_base, min(first_word) FILTER (WHERE is_base) AS first_word,
+         max(first_word) FILTER (WHERE is_base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM kept GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM words LEFT JOIN told USING (doc_id)
+"""
+
+
+@query("op7_license_scan", scan_sql())
 def op7_license_scan(spark, sf_dir):
     scan = license_scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["is_base"])

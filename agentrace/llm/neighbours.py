@@ -108,8 +108,8 @@ def shard_neighbours(ids, vectors, query_ids, queries, k: int, factor: float):
     """Arrays (query position, vector id, score): the k best of one shard for every query.
 
     Equal vectors are one point of the tree; of their ids the k + 1 smallest can matter, as one may
-    be the query's own. Scores of what is found are computed anew, row by row, so that equal vectors
-    tie exactly.
+    be the query's own. Scores of what is found are computed anew, component by component, so that
+    equal vectors tie exactly.
     """
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
@@ -125,7 +125,7 @@ def shard_neighbours(ids, vectors, query_ids, queries, k: int, factor: float):
         # Rows repeated with id and vector count once.
         mine = mine[np.unique(np.column_stack((ids[mine], of[mine])), axis=0, return_index=True)[1]]
         mine = mine[ids[mine] != query_ids[q]]
-        score = (vectors[mine] * queries[q]).sum(axis=1)
+        score = np.cumsum(vectors[mine] * queries[q], axis=1)[:, -1]
         best = np.lexsort((ids[mine], -score))[:k]
         out.append((np.full(len(best), q), ids[mine][best], score[best]))
     return [np.concatenate(c) for c in zip(*out)]
@@ -215,7 +215,23 @@ def nearest(
     )
 
 
-@query("op9_nearest_vectors")
+NEAREST_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(c.e, q.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op9_nearest_vectors", NEAREST_SQL)
 def op9_nearest_vectors(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
