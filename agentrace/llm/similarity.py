@@ -466,7 +466,9 @@ def jaccard_components(
         found = [s.astype("<u8").tobytes() for s in shingle_sets(texts, width)[0]]
         return columns | {"shingles": found}
 
-    whole = map_slices(packed_texts(source).join(chosen, [*ROW]), fetch, schema, "packed")
+    # A merge join at every size, so that small and large inputs move their texts alike.
+    meeting = packed_texts(source).join(chosen.hint("merge"), [*ROW])
+    whole = map_slices(meeting, fetch, schema, "packed")
     labels = materialize(components(verified(whole, percent)), "jaccard-labels")
     salt = lambda c: F.xxhash64(c).alias("salt")
     member = (
@@ -501,7 +503,31 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     return rows.join(kept, [*ROW], "left_semi").select("row.*")
 
 
-@query("op4_jaccard_join")
+JACCARD_SQL = rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + {WIDTH - 1}], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WIDTH - 1}, 1) + 1)) AS i FROM split WHERE len(w) > 0)),
+sized AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT x, y FROM shared JOIN sized p ON x = p.doc_id JOIN sized q ON y = q.doc_id
+  WHERE 100 * c >= {PERCENT} * (p.n + q.n - c)),
+side AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT x, y FROM side UNION SELECT r.x, s.y FROM reach r JOIN side s ON r.y = s.x),
+least_reached AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sized USING (doc_id) LEFT JOIN least_reached ON d.doc_id = x
+"""
+
+
+@query("op4_jaccard_join", JACCARD_SQL)
 def op4_jaccard_join(spark, sf_dir):
     found = jaccard_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
