@@ -250,33 +250,36 @@ class Tree:
                 self.union.join(int(a[i]), int(b[j]))
 
 
-def shared_slabs(rows: DataFrame) -> DataFrame:
-    """Rows whose slab has another row; ``rows`` (slab, head) are small, and most go here."""
+def shared_slabs(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (slab, n, head) that have a neighbour of similar size in their slab.
+
+    In a slab sorted by size, sets whose sizes differ too much to link stand apart, and so do all
+    between them and others; most rows are alone and leave here.
+    """
 
     def keep(batches):
-        held = before = None
+        held, close = None, False  # the last row, and whether it is close to the one before it
         for batch in batches:
             held = pa.concat_tables([held, pa.table(batch)]) if held else pa.table(batch)
-            slab = held.column("slab").to_numpy()
+            slab, n = held.column("slab").to_numpy(), held.column("n").to_numpy()
             if len(slab) < 2:
                 continue
-            same = slab[1:] == slab[:-1]
-            lead = np.concatenate(([slab[0] == before], same))
-            kept = lead | np.append(same, False)
-            before = slab[-2]
-            yield from held.slice(0, len(slab) - 1).filter(pa.array(kept[:-1])).to_batches()
-            held = held.slice(len(slab) - 1)
-        if held and held.num_rows and held.column("slab")[0].as_py() == before:
+            near = (slab[1:] == slab[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            kept = np.concatenate(([close], near))[:-1] | near
+            yield from held.slice(0, len(slab) - 1).filter(pa.array(kept)).to_batches()
+            held, close = held.slice(len(slab) - 1), bool(near[-1])
+        if held and close:
             yield from held.to_batches()
 
-    return rows.repartition("slab").sortWithinPartitions("slab").mapInArrow(keep, rows.schema)
+    ordered = rows.repartition("slab").sortWithinPartitions("slab", "n")
+    return ordered.mapInArrow(keep, rows.schema).select("slab", "head")
 
 
 def candidates(described: DataFrame, percent: int) -> DataFrame:
     """Edges ``a, b`` between sets: any two that may be linked are connected by a path of them.
 
-    First only slabs and the first half of the sets' digests are shuffled, and what is alone in its
-    slab leaves; the others then meet their points. Rows of a slab come sorted; a tree takes up to
+    First only slabs, sizes and hashes of the sets' digests are shuffled, and what is alone of its size
+    in its slab leaves; the others then meet their points. Rows of a slab come sorted; a tree takes up to
     TREE_ROWS of them. The rows of a longer slab are all connected without a bound, which only
     leaves more to verify, in blocks.
     """
@@ -286,9 +289,9 @@ def candidates(described: DataFrame, percent: int) -> DataFrame:
         .agg(F.first(F.struct("n", "point", "first")).alias("s"))
         .select(F.xxhash64("set").alias("head"), "set", "s.n", "s.point", "s.first")
     )
-    alone = sets.select(F.explode("first").alias("slab"), "head")
+    small = sets.select(F.explode("first").alias("slab"), "n", "head")
     rows = (
-        shared_slabs(alone)
+        shared_slabs(small, percent)
         .join(sets.select("head", "set", "n", "point"), "head")
         .select("slab", "n", "set", "point")
         .repartition("slab")
