@@ -97,12 +97,15 @@ def phrase_hits(
     An item may start in one text and end in a later one. Each text is therefore checked
     together with the beginnings of the texts that follow it, as many and as long as the longest
     item can reach (a text adds at least one character and a space); a run's texts are never
-    concatenated, and what a row carries depends on the longest item, not on the texts.
+    concatenated, and what a row carries depends on the longest item, not on the texts. A beginning
+    that was cut ends in a capital, which is part of a word and of no item, as items are lower-cased:
+    so nothing matches at the cut or across it.
     """
     wanted = annotations.select("task_id", F.col(items).alias("_items")).filter(F.size("_items") > 0)
-    longest = wanted.select(F.explode("_items").alias("i")).agg(F.max(F.length("i"))).first()[0] or 0
+    longest = wanted.select(F.explode("_items").alias("i")).agg(F.max(F.length(squash(F.col("i"))))).first()[0] or 0
     squashed = texts.select(*keys, order, squash(F.col(text)).alias("_t")).filter(F.col("_t") != "")
-    squashed = squashed.withColumn("_head", F.left("_t", F.lit(longest + 1)))
+    cut = F.concat(F.left("_t", F.lit(longest + 1)), F.lit("X"))
+    squashed = squashed.withColumn("_head", F.when(F.length("_t") > longest + 1, cut).otherwise(F.col("_t")))
     reach = following(squashed, keys, order, "_head", "_next", longest // 2 + 1, chunk)
     window = F.concat_ws(" ", F.col("_t"), F.col("_next"))
     return (

@@ -59,6 +59,24 @@ def test_phrases_may_span_payloads(spark):
         assert got == {"to ann lee", "Ann Lee", "lee now item 55", "send to"}
 
 
+def test_phrases_end_where_long_payloads_are_cut(spark):
+    payloads = ["hi", "call up annexe now and then some more words", "or lee will do", "x", "İİİİİİ to ann", "lee"]
+    texts = spark.createDataFrame(
+        [("t", i, p) for i, p in enumerate(payloads)], "task_id string, event_id long, payload string"
+    )
+    # 'to ann lee' is the longest: heads end after 'call up ann', before 'exe'.
+    found = ["to ann lee", "hi call up", "or lee will", "more words"]
+    missing = ["ann or", "up ann", "call up ann", "ann o", "up ann or"]
+    for chunk in (1, 2, 100):
+        for items in (["ann call", "to ann lee", *missing[:2]], found + missing):
+            ann = spark.createDataFrame([("t", items)], "task_id string, items array<string>")
+            got = {r.item for r in C.phrase_hits(texts, ann, "items", ["task_id"], "payload", chunk=chunk).collect()}
+            assert got == set(items) & set(found)
+    # Lower case is longer than the item as given.
+    ann = spark.createDataFrame([("t", ["x İİİİİİ"])], "task_id string, items array<string>")
+    assert C.phrase_hits(texts, ann, "items", ["task_id"], "payload").count() == 1
+
+
 def test_permission_indicators_without_requests(spark):
     keys = ["task_id", "repeat"]
     runs = spark.createDataFrame([("t", 0, "ok"), ("t", 1, "ok")], "task_id string, repeat int, status string")
