@@ -107,23 +107,22 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 def shard_neighbours(ids, vectors, query_ids, queries, k: int, factor: float):
     """Arrays (query position, vector id, score): the k best of one shard for every query.
 
-    Equal vectors are one point of the tree; of their ids the k + 1 smallest can matter, as one may
-    be the query's own. Scores of what is found are computed anew, component by component, so that
-    equal vectors tie exactly.
+    Rows repeated with id and vector count once. Equal vectors are one point of the tree; of their
+    ids the k + 1 smallest can matter, as one may be the query's own. Scores of what is found are
+    computed anew, component by component, so that equal vectors tie exactly.
     """
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     distinct, of = np.unique(vectors, axis=0, return_inverse=True)
-    of = of.ravel()
+    once = np.unique(np.column_stack((ids, of.ravel())), axis=0, return_index=True)[1]
+    ids, vectors, of = ids[once], vectors[once], of.ravel()[once]
     by_vector = np.argsort(of, kind="stable")
     start = np.searchsorted(of[by_vector], np.arange(len(distinct) + 1))
     found = Search(distinct, queries, k + 1 + SPARE, factor).run()
     out = []
     for q, rows in enumerate(found):
         rows = rows[rows >= 0]
-        mine = np.concatenate([by_vector[start[r] : min(start[r + 1], start[r] + k + 2)] for r in rows])
-        # Rows repeated with id and vector count once.
-        mine = mine[np.unique(np.column_stack((ids[mine], of[mine])), axis=0, return_index=True)[1]]
+        mine = np.concatenate([by_vector[start[r] : min(start[r + 1], start[r] + k + 1)] for r in rows])
         mine = mine[ids[mine] != query_ids[q]]
         score = np.cumsum(vectors[mine] * queries[q], axis=1)[:, -1]
         best = np.lexsort((ids[mine], -score))[:k]

@@ -161,6 +161,27 @@ def test_neighbours_are_exact_at_factor_one(spark):
     assert neighbours.nearest(few.where("vec_id < 0"), few).count() == 0
 
 
+def test_repeats_inside_a_tied_group_take_no_place(spark):
+    v = np.random.default_rng(3).normal(size=(60, 6))
+    v[:30] = 3 * v[0]
+    ids = np.arange(60)
+
+    def found(copies, asked):
+        row = np.repeat(ids, copies)
+        at, hits, _ = neighbours.shard_neighbours(row, v[row], asked, v[asked], 20, 1.0)
+        return [hits[at == i].tolist() for i in range(len(asked))]
+
+    twice, first_often = np.full(60, 2), np.where(ids == 0, 3, 1)
+    for copies in (np.ones(60, int), twice, first_often, 7 * twice):
+        assert found(copies, np.array([0, 7, 29])) == [
+            list(range(1, 21)), [i for i in range(21) if i != 7], list(range(20)),
+        ]
+    rows = [(int(i), v[i].tolist()) for i in ids] * 2
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, table.where("vec_id = 7"), factor=1.0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [i for i in range(21) if i != 7]
+
+
 def test_relaxed_pruning_keeps_recall():
     rng = np.random.default_rng(4)
     v = rng.normal(size=(40, 24))[rng.integers(0, 40, 3000)] + 0.6 * rng.normal(size=(3000, 24))
