@@ -241,24 +241,24 @@ def page_tokens(page: str) -> tuple[list, list[str]]:
     """Tags and slots of a page, and the texts of the slots: blocks with single spaces.
 
     A slot counts as good if it stands in an article and in no part that holds other matter; on a
-    page without article, if it stands in no such part.
+    page without article, if it stands in no such part. A tag in a comment, script or other part that
+    is skipped opens no article.
     """
     items: list = []
     texts: list[str] = []
     inside: list[tuple[str, bool, bool]] = []
     piece: list[str] = []
-    state = {"link": 0, "linked": 0, "aside": 0, "main": 0}
+    state = {"link": 0, "linked": 0, "aside": 0, "main": 0, "articles": 0}
+    places: list[tuple[Slot, bool, bool]] = []
     open_names: Counter = Counter()
-    article = re.search(r"<(?:article|main)\b", page, re.I) is not None
 
     def end_block():
         text = " ".join("".join(piece).split())
         piece.clear()
         if text:
-            good = not state["aside"] and (not article or state["main"] > 0)
-            items.append(
-                Slot(len(text), len(text) * good, min(len(text), state["linked"]), at=(len(texts),))
-            )
+            slot = Slot(len(text), 0, min(len(text), state["linked"]), at=(len(texts),))
+            places.append((slot, not state["aside"], state["main"] > 0))
+            items.append(slot)
             texts.append(text)
         state["linked"] = 0
 
@@ -311,8 +311,11 @@ def page_tokens(page: str) -> tuple[list, list[str]]:
         open_names[name] += 1
         state["aside"] += inside[-1][1]
         state["main"] += inside[-1][2]
+        state["articles"] += inside[-1][2]
     say(page[at:])
     end_block()
+    for slot, plain, main in places:
+        slot.good = slot.size * (plain and (main or not state["articles"]))
     return items, texts
 
 

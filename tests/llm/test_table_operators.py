@@ -57,6 +57,24 @@ def test_wrappers_generalise_over_repeats_and_missing_parts():
     assert wrappers.main_text(bare, wrappers.dumped(items)) == "long text of the page"
 
 
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        "<!-- <main> -->", "<script>var x = '<article>'</script>", "<noscript><main>no</main></noscript>",
+        "<template><article></article></template>", "<main-menu></main-menu>",
+    ],
+)
+def test_an_article_in_skipped_parts_is_none(spark, hidden):
+    body = "<nav>menu</nav><div><p>text {} of the page</p></div>"
+    rows = [(i, f"http://h{i % 2}/{i}", hidden + body.format(i)) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    assert got == {i: f"text {i} of the page" for i in range(3)}
+    # A real one counts, also if it comes after other text.
+    html = f"{hidden}<p>before</p><main><p>inside</p></main>"
+    assert wrappers.main_text(html, None) == "inside"
+
+
 def near_copies():
     base = prose(9, 200, 5000)
     out = [base]
