@@ -15,8 +15,7 @@ import re
 from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
-from itertools import islice
-from operator import eq
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +53,6 @@ ASIDE_WORDS = frozenset(
     "disclaimer skip".split()
 )
 MAIN = frozenset(("article", "main"))
-LONGEST_UNIT = 16
 SUMS = re.compile(r"\[\d+,\d+,\d+\]")
 #: How the folding of a host's distinct streams is spread: groups of the first and second round.
 SPREAD = (256, 16)
@@ -114,12 +112,19 @@ def same_shape(a: list, b: list) -> list:
 
 
 def repeats(ids: list[int], unit: int) -> bool:
-    """Whether some run of ``unit`` names is followed by itself."""
-    run = 0
-    for same in map(eq, ids, islice(ids, unit, None)):
-        run = run + 1 if same else 0
-        if run == unit:
-            return True
+    """Whether some run of ``unit`` names is followed by itself.
+
+    The run has a place at a multiple of ``unit``, around which the names equal those ``unit`` later.
+    """
+    for at in range(0, len(ids) - unit, unit):
+        to = at + unit
+        if ids[at] == ids[to]:
+            most = min(unit, len(ids) - to)
+            ahead = next((k for k in range(1, most) if ids[at + k] != ids[to + k]), most)
+            most = min(unit, at + 1)
+            back = next((k for k in range(1, most) if ids[at - k] != ids[to - k]), most)
+            if ahead + back > unit:
+                return True
     return False
 
 
@@ -131,15 +136,17 @@ def folded(items: list) -> list:
     changed = True
     while changed:
         changed = False
-        for unit in range(1, LONGEST_UNIT + 1):
+        for unit in count(1):
+            if 2 * unit > len(ids):
+                break
             if not repeats(ids, unit):
                 continue
             i, out, out_ids = 0, [], []
             while i < len(items):
                 j = i + unit
-                run = items[i:j]
-                while ids[i : i + unit] == ids[j : j + unit] and j + unit <= len(items):
-                    run = same_shape(run, items[j : j + unit])
+                run = None
+                while j + unit <= len(ids) and ids[i] == ids[j] and ids[i : i + unit] == ids[j : j + unit]:
+                    run = same_shape(run or items[i:j], items[j : j + unit])
                     j += unit
                 lone = unit == 1 and isinstance(items[i], Group)
                 if j > i + unit:

@@ -75,6 +75,23 @@ def test_an_article_in_skipped_parts_is_none(spark, hidden):
     assert wrappers.main_text(html, None) == "inside"
 
 
+def test_repeats_of_any_length_fold():
+    card = "<div><h2>a</h2><h3>b</h3><h4>c</h4><h5>d</h5><h6>e</h6><section>f</section></div>"
+    found = [wrappers.folded(wrappers.page_tokens(f"<main>{card * n}</main>")[0]) for n in (2, 3, 8)]
+    assert len({tuple(map(wrappers.shape, items)) for items in found}) == 1
+    assert [x.op for x in found[0] if isinstance(x, wrappers.Group)] == ["+"]
+    assert [len(s.at) for s in wrappers.slots(found[2])] == [8] * 6
+    rng = np.random.default_rng(6)
+    for n in range(1, 40):
+        for names in (1, 2, 3):
+            for ids in rng.integers(0, names + 1, (6, n)).tolist():
+                ids += ids[n // 2 :] * (n % 2)
+                for unit in range(1, len(ids) // 2 + 1):
+                    starts = range(len(ids) - 2 * unit + 1)
+                    expected = any(ids[i : i + unit] == ids[i + unit : i + 2 * unit] for i in starts)
+                    assert wrappers.repeats(ids, unit) == expected
+
+
 def near_copies():
     base = prose(9, 200, 5000)
     out = [base]
