@@ -82,6 +82,13 @@ def resampled(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def whole_hops(x: np.ndarray) -> np.ndarray:
+    """The signal with its last value held until the filter has run out and a frame ends there."""
+    size = -(-len(x) // DOWN) + TAPS // DOWN
+    size = max(FRAME, size + (FRAME - size) % HOP)
+    return np.concatenate((x, np.full(DOWN * size - len(x), x[-1] if len(x) else 0.0)))
+
+
 @lru_cache(1)
 def mel_bank() -> tuple[np.ndarray, np.ndarray]:
     """The frame window and triangular filters over the bins of its spectrum."""
@@ -172,7 +179,9 @@ def audio_features(stored: DataFrame) -> DataFrame:
 
     Adds ``payload_bytes, payload_sha256, tail_crc32`` (of the last 32 samples), ``log_mel`` (an
     Arrow stream of tensors, see ``read_tensors``), ``segments`` (spans of seconds) and
-    ``feature``, a summary: frames, segments, seconds in segments, mean of every fourth band.
+    ``feature``, a summary: frames that samples fill, segments, seconds in segments, mean of every
+    fourth band. Frames cover every sample: the last value is held to the end of the last frame,
+    which is in the tensors, segments and means, and whose span may end after the medium.
     Each medium is read by itself, so equal media give equal values, repeated rows equal rows and
     an empty table none; a null medium gives nulls. Memory follows the longest medium.
     """
@@ -194,11 +203,12 @@ def audio_features(stored: DataFrame) -> DataFrame:
             return [None] * 6
         _, payload = read_wav(media)
         x = np.frombuffer(payload, np.uint8).astype(np.float64) / 128 - 1
-        mel = log_mel(resampled(x))
+        mel = log_mel(resampled(whole_hops(x)))
+        filled = max(1, (-(-len(x) // DOWN) - FRAME) // HOP + 1)
         spans = segments(mel)
         bands = np.round(mel.mean(axis=0, dtype=np.float64)[::4], 1)
         inside = sum(b - a for a, b in spans)
-        summary = [len(mel), len(spans), f"{inside * step:.3f}", *(f"{v + 0:.1f}" for v in bands)]
+        summary = [filled, len(spans), f"{inside * step:.3f}", *(f"{v + 0:.1f}" for v in bands)]
         return [
             len(payload),
             sha256(payload).hexdigest(),

@@ -149,6 +149,21 @@ def test_media_and_features(spark):
     assert audio.audio_features(audio.audio_media(empty(spark))).count() == 0
 
 
+def test_features_reach_the_last_sample(spark):
+    rng = random.Random(5)
+    payloads = [rng.randbytes(audio.UNIT * n - 1) for n in range(1, 9)]
+    rows = [(i, e, audio.wav_of(p + bytes([e]))) for i, p in enumerate(payloads) for e in (0, 255)]
+    stored = spark.createDataFrame(rows, "i int, e int, media binary")
+    got = {(r.i, r.e): r for r in audio.audio_features(stored).collect()}
+    for i, p in enumerate(payloads):
+        assert got[i, 0].log_mel != got[i, 255].log_mel
+        assert audio.read_tensors(bytes(got[i, 0].log_mel))["end_s"][-1].as_py() >= (len(p) + 1) / audio.RATE
+    # Holding the last value adds no sound of its own.
+    x = np.full(audio.UNIT, 0.5)
+    mel = audio.log_mel(audio.resampled(audio.whole_hops(x)))
+    assert len(mel) == 2 and (mel[1] <= mel[0]).all()
+
+
 def test_resampling_and_segments():
     x = np.random.default_rng(0).normal(size=4999)
     h = audio.low_pass()
