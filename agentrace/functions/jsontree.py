@@ -29,7 +29,8 @@ def canonical(docs: pd.Series) -> pd.Series:
 def leaves(df: DataFrame, doc: str, keys: list[str], max_depth: int | None = None) -> DataFrame:
     """(keys…, pointer, value) of every scalar leaf, through one recursive Arrow batch function.
 
-    Documents are processed independently and rows stream out per batch.
+    Documents are processed independently and rows stream out per batch. A null document and text
+    that is not JSON give one row, whose pointer and value are NULL.
     """
 
     def walk(value, pointer):
@@ -45,12 +46,18 @@ def leaves(df: DataFrame, doc: str, keys: list[str], max_depth: int | None = Non
             else:
                 yield at, json.dumps(node, ensure_ascii=False)
 
+    def read(text):
+        try:
+            return walk(json.loads(text), "")
+        except (TypeError, ValueError):
+            return [(None, None)]
+
     def batches(frames):
         for frame in frames:
             out = [
                 (*row[:-1], pointer, value)
                 for row in frame[[*keys, doc]].itertuples(index=False)
-                for pointer, value in walk(json.loads(row[-1]), "")
+                for pointer, value in read(row[-1])
             ]
             yield pd.DataFrame(out, columns=[*keys, "pointer", "value"])
 

@@ -108,3 +108,11 @@ def test_final_message_needs_text_and_no_call(spark):
     rows = [("a", 0, "agent", "first", None), ("a", 1, "agent", "with call", call), ("a", 2, "user", "u", None), ("b", 0, "agent", None, None)]
     got = coding.final_messages(spark.createDataFrame(rows, schema), ["k"]).collect()
     assert {r.k: r.final_message for r in got} == {"a": "first", "b": ""}
+
+
+def test_leaves_of_documents_that_are_no_json(spark):
+    docs = [(1, '{"a": [1, null]}'), (2, None), (3, "{broken"), (4, ""), (5, "null")]
+    got = leaves(spark.createDataFrame(docs, "k int, doc string"), "doc", ["k"]).collect()
+    assert sorted((r.k, r.pointer, r.value) for r in got) == [
+        (1, "/a/0", "1"), (1, "/a/1", "null"), (2, None, None), (3, None, None), (4, None, None), (5, "", "null"),
+    ]
