@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "alignment",
     "audio",
     "bpe",
     "licenses",
