@@ -15,6 +15,7 @@ MODULES = (
     "secrets",
     "similarity",
     "toxicity",
+    "trie",
     "wrappers",
 )
 
