@@ -14,6 +14,7 @@ MODULES = (
     "neighbours",
     "secrets",
     "similarity",
+    "sketches",
     "toxicity",
     "trie",
     "wrappers",
