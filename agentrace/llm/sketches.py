@@ -5,14 +5,12 @@ into one hashed bin, and only bins that no earlier round filled take it, at its
 last rounds, one for each bin, throw all shingles into that bin, so every bin is filled at last. Most
 sets are done after a few rounds. Equal bins estimate the overlap with the concentration of sampling
 without replacement, also for sets smaller than the sketch. Sets that agree in all bins of a band
-meet in its bucket; there, pairs of sets not yet known to be connected are verified on the whole
-shingle sets, one or a few pivots against all members in each round.
+meet in its bucket; there a pivot is verified against the others on the whole shingle sets, and
+what that doesn't connect is verified in blocks.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,13 +20,13 @@ from agentrace.llm.batches import SLICE_BYTES, fields, map_slices
 from agentrace.llm.components import components
 from agentrace.llm.packing import ROW, packed_texts, row_keys, rows_of, unpacked
 from agentrace.llm.registry import query, table
-from agentrace.llm.similarity import digest, shingle_sets
+from agentrace.llm.similarity import BLOCK, BLOCK_SHINGLES, digest, shingle_sets, verified
 from agentrace.llm.wordhash import U64, mixed
 from agentrace.session import materialize
 
 WIDTH, PERCENT = 5, 85
-#: Two sets that overlap by 85 % agree in a band with 0.44, so 32 bands miss them with 7e-9.
-BANDS, BAND = 32, 5
+#: Two sets that overlap by 85 % agree in a band with 0.38, so 32 bands miss them with 3e-7.
+BANDS, BAND = 32, 6
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -85,34 +83,34 @@ def sketched(source: DataFrame, width: int) -> DataFrame:
     return map_slices(source, describe, schema, "text")
 
 
-def open_buckets(members: DataFrame, chosen: int) -> DataFrame:
-    """Members ``band, set, label, pivot`` of buckets whose sets aren't all connected yet.
+def shared_buckets(sets: DataFrame) -> DataFrame:
+    """``band, set, label, weight`` of all buckets that hold several sets.
 
-    About ``chosen`` members of a bucket are its pivots, one at least. Numbers of a bucket are
-    combined in each task, and a bucket with very many members is split where they come back.
+    A set's weight is the summed size of its buckets: the text that a group's others were made
+    from agrees with more of them than they do with each other.
     """
-    order = F.xxhash64(F.lit(chosen), "set")
-    stats = members.groupBy("band").agg(
-        F.count("*").alias("n"),
+    members = sets.select(F.explode("bands").alias("band"), "set")
+    several = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(members.join(several, "band"), "sketch-shared")
+    weights = shared.groupBy("set").agg(F.sum("n").alias("weight"))
+    return shared.join(weights, "set").select("band", "set", F.col("set").alias("label"), "weight")
+
+
+def unconnected(members: DataFrame) -> DataFrame:
+    """Members of buckets whose sets aren't all connected yet, each with its bucket's pivot.
+
+    The pivot is the set of most weight. What is known of a bucket is combined in each task, and a
+    bucket with very many members is split where they come back.
+    """
+    buckets = members.groupBy("band").agg(
         F.min("label").alias("low"),
         F.max("label").alias("high"),
-        F.min(F.struct(order.alias("order"), "set"))["set"].alias("first"),
+        F.max(F.struct("weight", "set", "label")).alias("pivot"),
     )
-    share = F.pmod(F.xxhash64(F.lit(-chosen), "set", "band"), F.lit(1 << 30)) * F.col("n")
-    pivot = (F.col("set") == F.col("first")) | (share < (chosen - 1) * (1 << 30))
-    return (
-        members.join(stats.where("low != high"), "band")
-        .select("band", "set", "label", pivot.alias("pivot"))
+    wanted = buckets.where("low != high").select(
+        "band", F.col("pivot.set").alias("pivot"), F.col("pivot.label").alias("pivot_label")
     )
-
-
-def pairs_to_verify(members: DataFrame) -> DataFrame:
-    """Every pivot with the members of its buckets that it isn't known to be connected to."""
-    pivots = members.where("pivot").select("band", F.col("set").alias("a"), F.col("label").alias("label_a"))
-    others = members.select("band", F.col("set").alias("b"), F.col("label").alias("label_b"), "pivot")
-    # Of two pivots, the smaller one is compared with the other.
-    met = pivots.join(others, "band").where("label_a != label_b AND (NOT pivot OR a < b)")
-    return met.select("a", "b", "label_a", "label_b").distinct()
+    return members.join(wanted, "band")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -135,7 +133,7 @@ def sets_of(texts: list[bytes], width: int):
             size += len(text)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def linked_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The rows of ``pairs`` whose whole shingle sets overlap enough.
 
     Pairs come sorted by pivot, whose set is computed once in a row; a pivot with very many pairs is
@@ -164,6 +162,21 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return map_slices(meeting, verify, schema, "text_b")
 
 
+def sized_blocks(clusters: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Sets of clusters, with their shingles and the number of blocks of their cluster."""
+    rows = clusters.select(F.col("node").alias("set"), "label").join(texts.hint("merge"), "set")
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)))
+    per = rows.groupBy("label").agg(blocks.cast("int").alias("blocks"))
+    rows = rows.join(per, "label")
+    schema = fields(rows, "set", "label", "blocks", shingles="binary")
+
+    def fetch(batch):
+        columns = {name: batch.column(name) for name in ("set", "label", "blocks")}
+        return columns | {"shingles": [s.astype("<u8").tobytes() for s in sets_of(unpacked(batch), width)]}
+
+    return map_slices(rows, fetch, schema, "packed")
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = WIDTH,
@@ -180,36 +193,37 @@ def near_duplicates(
     linked with nothing; a null id is the smallest of a component only if no other is there.
     Repeated rows get equal rows; an empty table gives none.
 
-    Equal sets are one from the start. A pair of sets meets if a band agrees (see BANDS for what is
-    missed at the threshold), and every pair that meets is verified or known to be connected by
-    verified links: a pivot leaves its bucket once it has met all others there, a bucket is done
-    when its members are one component, and the number of pivots doubles each round. A group of
-    near copies so takes one verification a member; only members of different components meet all.
+    Equal sets are one from the start. Sets meet if a band agrees (see BANDS for what is missed at
+    the threshold). Every bucket's pivot is verified against its other members and leaves: one
+    comparison a member, which connects a group of near copies. Buckets whose members then aren't
+    one component are put together where they share a set, and all pairs of such a cluster are
+    verified in blocks.
     """
     source = rows_of(docs, id_col, text_col)
     described = materialize(sketched(source, width), "sketch-rows")
     sets = described.where("n > 0").groupBy("set").agg(
         F.min(F.struct(*ROW)).alias("row"), F.first("bands").alias("bands")
     )
-    members = sets.select(F.explode("bands").alias("band"), "set", F.col("set").alias("label"))
-    members = materialize(open_buckets(members, 1), "sketch-buckets")
-    wanted = members.select("set").distinct().join(sets.select("set", "row.*"), "set")
+    members = materialize(shared_buckets(sets), "sketch-buckets")
+    chosen = described.where("n > 0").groupBy("set").agg(F.min(F.struct(*ROW)).alias("row"), F.first("n").alias("n"))
+    wanted = chosen.join(members.select("set").distinct(), "set", "left_semi").select("set", "n", "row.*")
     texts = packed_texts(source).dropDuplicates([*ROW]).join(wanted.hint("merge"), [*ROW])
-    texts = materialize(texts.select("set", "packed"), "sketch-texts")
-    moves, chosen = [], 1
-    while not members.isEmpty():
-        links = verified(materialize(pairs_to_verify(members), "sketch-pairs"), texts, width, percent)
-        moves.append(materialize(components(links, "label_a", "label_b"), "sketch-labels"))
-        move = moves[-1].select(F.col("node").alias("label"), F.col("label").alias("to"))
-        rest = members.where("NOT pivot").join(move, "label", "left")
-        rest = materialize(rest.select("band", "set", F.coalesce("to", "label").alias("label")), "sketch-rest")
-        chosen *= 2
-        members = materialize(open_buckets(rest, chosen), "sketch-buckets")
-    if moves:
-        labels = moves[0] if len(moves) == 1 else components(reduce(DataFrame.union, moves), "node", "label")
-        labels = materialize(labels.withColumnRenamed("node", "set"), "sketch-components")
-    else:
-        labels = described.select("set", F.col("set").alias("label")).limit(0)
+    texts = materialize(texts.select("set", "n", "packed"), "sketch-texts")
+    members = materialize(unconnected(members), "sketch-open")
+    met = members.where("label != pivot_label")
+    pairs = materialize(met.select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct(), "sketch-pairs")
+    links = materialize(linked_pairs(pairs, texts, width, percent), "sketch-links")
+    known = materialize(components(links), "sketch-labels").select(F.col("node").alias("set"), F.col("label").alias("to"))
+    rest = (
+        members.where("set != pivot")
+        .join(known, "set", "left")
+        .select("band", "set", F.coalesce("to", "label").alias("label"), "weight")
+    )
+    rest = materialize(unconnected(rest), "sketch-rest")
+    clusters = materialize(components(rest, "pivot", "set"), "sketch-clusters")
+    every = links.union(verified(sized_blocks(clusters, texts, width), percent))
+    labels = materialize(components(every), "sketch-components")
+    labels = labels.withColumnRenamed("node", "set")
     member = described.select(*ROW, "doc_id", "n", "set").join(labels, "set", "left")
     member = member.select(*ROW, "doc_id", "n", F.coalesce("label", "set").alias("label"))
     smallest = member.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("smallest"))
