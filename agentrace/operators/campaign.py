@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentrace.operators.ordered import CHUNK, running
+from agentrace.operators.ordered import running
 
 # US dollars per million tokens.
 PRICE_INPUT, PRICE_CACHED, PRICE_OUTPUT = 0.40, 0.10, 1.60
@@ -43,10 +43,10 @@ def token_cost(runs: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def within_budget(
-    costs: DataFrame, keys: Sequence[str], order: str, cost: str, budget: float, chunk: int = CHUNK
+    costs: DataFrame, keys: Sequence[str], order: str, cost: str, budget: float, parts: int | None = None
 ) -> DataFrame:
     """Rows started before the running cost reached the budget."""
-    placed = running(costs, keys, order, sums={"running_cost": F.col(cost)}, chunk=chunk)
+    placed = running(costs, keys, order, sums={"running_cost": F.col(cost)}, parts=parts)
     return placed.filter(F.col("running_cost") - F.col(cost) < budget)
 
 

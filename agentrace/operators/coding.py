@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from agentrace.functions.text import slug
 from agentrace.operators.graphs import PRECEDES, assemble, op_id
-from agentrace.operators.ordered import CHUNK, running
+from agentrace.operators.ordered import running
 from agentrace.session import materialize
 
 # Program names per class of operation.
@@ -151,7 +151,7 @@ def command_text(name: str) -> Column:
     return F.nullif(F.when(listed, F.array_join(kept, " ")).otherwise(value), F.lit(""))
 
 
-def call_operations(calls: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+def call_operations(calls: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
     """One row per operation with its dense ordinal in the trajectory.
 
     A call yields an array of operations; a running sum of array sizes gives the ordinals.
@@ -202,7 +202,7 @@ def call_operations(calls: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -
     listed_ops = materialize(
         calls.withColumn("_outcome", outcome).select(*keys, "event_id", ops.alias("ops")), "coding"
     )
-    placed = running(listed_ops, keys, "event_id", sums={"_seen": F.size("ops")}, chunk=chunk)
+    placed = running(listed_ops, keys, "event_id", sums={"_seen": F.size("ops")}, parts=parts)
     return placed.select(
         *keys, "event_id", (F.col("_seen") - F.size("ops")).alias("_first"), F.posexplode("ops").alias("_i", "op")
     ).select(*keys, (F.col("_first") + F.col("_i")).cast("long").alias("op_ord"), "op.*")

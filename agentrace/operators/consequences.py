@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from agentrace.functions.text import contains_phrase, squash
 from agentrace.operators.logs import dataset_name
-from agentrace.operators.ordered import CHUNK, following
+from agentrace.operators.ordered import STRIDE, following
 
 FAMILY_LABEL = {"tone": "Tone", "multilingual": "Language", "formulation": "Formulation"}
 INFRASTRUCTURE = "infrastructure_error"
@@ -90,7 +90,7 @@ def phrase_hits(
     keys: Sequence[str],
     text: str,
     order: str = "event_id",
-    chunk: int = CHUNK,
+    chunk: int = STRIDE,
 ) -> DataFrame:
     """Distinct annotated items that occur, as whole words, in the ordered texts of a run.
 
@@ -124,7 +124,7 @@ def disclosure_items(
     annotations: DataFrame,
     verdicts: DataFrame | None,
     keys: Sequence[str],
-    chunk: int = CHUNK,
+    chunk: int = STRIDE,
 ) -> DataFrame:
     """Per run and annotated item: ``kind`` must_share/must_not_share and whether it was
     shared. A verdict of the run, where there is one, replaces the text rule."""
@@ -168,7 +168,7 @@ def disclosure_indicators(
     annotations: DataFrame,
     verdicts: DataFrame,
     keys: Sequence[str],
-    chunk: int = CHUNK,
+    chunk: int = STRIDE,
 ) -> DataFrame:
     items = disclosure_items(log, runs, annotations, verdicts, keys, chunk)
     per_run = items.groupBy(*keys).agg(

@@ -23,7 +23,7 @@ from agentrace.operators.logs import (
     invocations,
     operations,
 )
-from agentrace.operators.ordered import CHUNK, running
+from agentrace.operators.ordered import running
 from agentrace.session import materialize
 
 PRECEDES = "DIRECTLY_PRECEDES"
@@ -90,10 +90,10 @@ def assemble(op_nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> tupl
 
 
 def trajectory_graph(
-    log: DataFrame, keys: Sequence[str], chunk: int = CHUNK
+    log: DataFrame, keys: Sequence[str], parts: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Graph of tool invocations; scalar arguments become argument nodes."""
-    ops = materialize(invocations(log, keys, chunk), "invocations").withColumn(
+    ops = materialize(invocations(log, keys, parts), "invocations").withColumn(
         "_args", F.expr("cast(try_parse_json(arguments) as map<string, variant>)")
     )
     scalar = F.filter(
@@ -116,10 +116,10 @@ def trajectory_graph(
 
 
 def permission_graph(
-    log: DataFrame, keys: Sequence[str], chunk: int = CHUNK
+    log: DataFrame, keys: Sequence[str], parts: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Graph of a permission plan: calls and the fields they request."""
-    tagged = materialize(annotate_calls(log, keys, chunk), "calls")
+    tagged = materialize(annotate_calls(log, keys, parts), "calls")
     ops = operations(tagged, keys)
     requests = tagged.filter(
         (F.col("type") == "permission_request") & F.col("active_op").isNotNull()
@@ -136,15 +136,15 @@ def permission_graph(
 
 
 def sandbox_graph(
-    log: DataFrame, keys: Sequence[str], chunk: int = CHUNK
+    log: DataFrame, keys: Sequence[str], parts: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Graph of an app-sandbox run: calls, permissions, reads, disclosures, state changes."""
-    tagged = materialize(annotate_calls(log, keys, chunk), "calls")
+    tagged = materialize(annotate_calls(log, keys, parts), "calls")
     ops = operations(tagged, keys)
     active = tagged.filter(F.col("active_op").isNotNull())
     src = op_id(F.col("active_op")).alias("src")
 
-    requests = grant_decisions(tagged, keys, chunk).filter(F.col("active_op").isNotNull()).select(
+    requests = grant_decisions(tagged, keys, parts).filter(F.col("active_op").isNotNull()).select(
         *keys,
         src,
         entity("resource", F.coalesce("app", F.lit("unknown"))).alias("dst"),
@@ -271,21 +271,15 @@ def validation_report(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -
     return conflicts.unionByName(dangling)
 
 
-def temporal_chain(log: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
-    """Edges between consecutive raw events of a log.
-
-    The predecessor is the last event of the scan up to, but not including, the row; scanning
-    positions shifted by one turns the inclusive scan into that exclusive one.
-    """
-    shifted = log.select(*keys, "type", F.inline(F.array(
-        F.struct((F.col("event_id") * 2).alias("_at"), F.lit(None).cast("long").alias("_seen"), F.col("event_id").alias("_cur")),
-        F.struct((F.col("event_id") * 2 + 1).alias("_at"), F.col("event_id").alias("_seen"), F.lit(None).cast("long").alias("_cur")),
-    )))
-    scanned = running(shifted, keys, "_at", lasts={"_prev": F.col("_seen")}, chunk=chunk)
-    return scanned.filter(F.col("_cur").isNotNull() & F.col("_prev").isNotNull()).select(
+def temporal_chain(log: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Edges between consecutive raw events of a log."""
+    scanned = running(
+        log.select(*keys, "type", "event_id"), keys, "event_id", before={"_prev": F.col("event_id")}, parts=parts
+    )
+    return scanned.filter(F.col("_prev").isNotNull()).select(
         *keys,
         F.concat(F.lit("event:"), F.col("_prev").cast("string")).alias("src"),
-        F.concat(F.lit("event:"), F.col("_cur").cast("string")).alias("dst"),
+        F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("dst"),
         F.lit("NEXT_OBSERVED").alias("relation"),
         F.col("type").alias("dst_type"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agentrace.functions.text import slug
-from agentrace.operators.ordered import CHUNK, running, with_compact_key
+from agentrace.operators.ordered import running, with_compact_key
 
 # Tools that only discover what is available and are not operations themselves.
 AUXILIARY_TOOLS = (
@@ -68,7 +68,7 @@ def event_result_status() -> Column:
     ).otherwise(json_result_status(F.col("result")))
 
 
-def annotate_calls(log: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+def annotate_calls(log: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
     """Add ``segment`` (calls so far), ``op_count`` and the tool of the latest tool call.
 
     ``active_op`` is the ordinal of the operation an event belongs to; it is NULL before the
@@ -85,7 +85,7 @@ def annotate_calls(log: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> D
             "op_count": F.when(is_call & ~aux, 1).otherwise(0),
         },
         lasts={"call": F.when(is_call, F.struct(F.col("tool").alias("tool"), aux.alias("aux")))},
-        chunk=chunk,
+        parts=parts,
     )
     return tagged.withColumn(
         "active_op", F.when(~F.col("call.aux"), F.col("op_count") - 1).cast("long")
@@ -121,7 +121,7 @@ def operations(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def grant_decisions(tagged: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+def grant_decisions(tagged: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
     """Decision of each permission request: the first matching grant or any deny after it
     within the same segment, whichever comes first. Two backward scans, no self-join."""
     perms = tagged.filter(
@@ -133,7 +133,7 @@ def grant_decisions(tagged: DataFrame, keys: Sequence[str], chunk: int = CHUNK)
         "event_id",
         lasts={"next_deny": F.when(F.col("type") == "permission_deny", F.col("event_id"))},
         backward=True,
-        chunk=chunk,
+        parts=parts,
     )
     granted = running(
         deny,
@@ -146,7 +146,7 @@ def grant_decisions(tagged: DataFrame, keys: Sequence[str], chunk: int = CHUNK)
             )
         },
         backward=True,
-        chunk=chunk,
+        parts=parts,
     )
     denied_first = F.col("next_deny").isNotNull() & (
         F.col("next_grant").isNull() | (F.col("next_deny") < F.col("next_grant.at"))
@@ -164,7 +164,7 @@ def grant_decisions(tagged: DataFrame, keys: Sequence[str], chunk: int = CHUNK)
     )
 
 
-def invocations(log: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+def invocations(log: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
     """Tool invocations with the outcome of the first response of the same tool before the
     next invocation."""
     is_inv = F.col("type") == "tool_invocation"
@@ -175,7 +175,7 @@ def invocations(log: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> Data
         "event_id",
         sums={"op_count": F.when(is_inv, 1).otherwise(0)},
         lasts={"head_id": F.when(is_inv, F.coalesce("tool_id", F.lit("\u0000")))},
-        chunk=chunk,
+        parts=parts,
         keep_key=True,
     )
     same = F.coalesce("tool_id", F.lit("\u0000")) == F.col("head_id")

@@ -1,11 +1,9 @@
 """Running values over ordered logs that stay balanced when one log is huge.
 
-A plain window partitioned by the log key sends a whole log to one task. That is right for a log of
-ordinary size. A log of more than a chunk of rows is cut, wherever its ids begin and however far
-apart they lie, into as many ranges as its rows fill chunks. Each range is scanned in its own task,
-and the values carried from one to the next come from a small per-chunk summary that is aggregated
-map-side before it is shuffled. The table of long logs is broadcast: it has one row per 2^18 rows of
-input at most. While it is empty, adaptive execution drops that whole branch.
+A plain window partitioned by the log key sends a whole log to one task. Here rows are dealt into even
+ranges of (log, position) instead, whatever the sizes of logs and the distances of their ids, and
+scanned within each range. A log lies in several ranges only if it ends one and begins the next, so
+the values carried on are a table of two rows a range at most, which is added to the scanned rows.
 """
 
 from __future__ import annotations
@@ -15,7 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 18
+#: Positions of one part of `following`.
+STRIDE = 1 << 18
 
 
 def compact_key(keys: Sequence[str]) -> list[Column]:
@@ -39,112 +38,69 @@ def running(
     order: str,
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
+    before: Mapping[str, Column] | None = None,
     backward: bool = False,
-    chunk: int = CHUNK,
+    parts: int | None = None,
     keep_key: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums and last-non-null values of each log in ``order``.
 
-    ``backward`` scans from the end of the log, which turns "last" into "next".
-    ``order`` must be an integer column, unique within a log. ``keep_key`` leaves the compact
-    key of the log (``_k1``, ``_k2``) in the result.
-    """
-    sums, lasts = dict(sums or {}), dict(lasts or {})
-    log = ["_k1", "_k2"]
-    whole = with_compact_key(df, keys)
-    long = F.broadcast(long_logs(whole, log, order, chunk))
-    short = whole.join(long.select(*log), log, "left_anti")
-    cut = whole.join(long, log).withColumn(
-        "_chunk", F.floor((F.col(order) - F.col("_from")) / F.col("_width"))
-    )
-    scanned = running_short(short, order, sums, lasts, backward).unionByName(
-        running_long(cut.drop("_from", "_width"), order, sums, lasts, backward)
-    )
-    return scanned if keep_key else scanned.drop(*log)
-
-
-def long_logs(whole: DataFrame, log: Sequence[str], order: str, chunk: int) -> DataFrame:
-    """Logs of more than ``chunk`` rows, with where they begin and the width of their ranges."""
-    span = F.max(order) - F.min(order) + 1
-    return (
-        whole.groupBy(*log)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min(order).alias("_from"), span.alias("_span"))
-        .filter(F.col("_rows") > chunk)
-        .select(*log, "_from", (F.col("_span") / F.ceil(F.col("_rows") / F.lit(chunk))).alias("_width"))
-    )
-
-
-def _direction(backward: bool):
-    return (lambda c: F.col(c).desc()) if backward else (lambda c: F.col(c).asc())
-
-
-def running_short(df: DataFrame, order: str, sums, lasts, backward: bool) -> DataFrame:
-    """Each log in one window."""
-    scan = (
-        Window.partitionBy("_k1", "_k2")
-        .orderBy(_direction(backward)(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return df.withColumns(
-        {name: F.coalesce(F.sum(expr).over(scan), F.lit(0)) for name, expr in sums.items()}
-        | {name: F.last(expr, ignorenulls=True).over(scan) for name, expr in lasts.items()}
-    )
+    ``before`` are last-non-null values of the rows before a row. ``backward`` scans from the end of
+    the log, which turns "last" into "next". ``order`` must be an integer column, unique within a
+    log. ``parts`` is the number of ranges, by default that of the session's shuffles. ``keep_key``
+    leaves the compact key of the log (``_k1``, ``_k2``) in the result.
 
+    The scanned rows are written once, so the input is read for this, and by Spark for the
+    borders of the ranges, but not again by what follows.
+    """
+    from agentrace.session import materialize
 
-def running_long(chunked: DataFrame, order: str, sums, lasts, backward: bool) -> DataFrame:
-    """Logs cut into chunks (column ``_chunk``), which carry their values on."""
-    direction, log = _direction(backward), ["_k1", "_k2"]
-
-    inner = (
-        Window.partitionBy(*log, "_chunk")
-        .orderBy(direction(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = chunked.withColumns(
-        {name: F.sum(expr).over(inner) for name, expr in sums.items()}
-        | {name: F.last(expr, ignorenulls=True).over(inner) for name, expr in lasts.items()}
-    )
-
-    pick = F.min_by if backward else F.max_by
-    summary = (
-        chunked.select(
-            *log,
-            "_chunk",
-            F.col(order).alias("_pos"),
-            *[expr.alias(name) for name, expr in {**sums, **lasts}.items()],
-        )
-        .groupBy(*log, "_chunk")
-        .agg(
-            *[F.sum(name).alias(name) for name in sums],
-            *[
-                pick(F.col(name), F.when(F.col(name).isNotNull(), F.col("_pos"))).alias(name)
-                for name in lasts
-            ],
-            F.lit(1).alias("_one"),
-        )
-    )
-    outer = (
-        Window.partitionBy(*log)
-        .orderBy(direction("_chunk"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = (
-        summary.select(
-            *log,
-            "_chunk",
-            *[F.sum(name).over(outer).alias(f"_c_{name}") for name in sums],
-            *[F.last(name, ignorenulls=True).over(outer).alias(f"_c_{name}") for name in lasts],
-            F.sum("_one").over(outer).alias("_before"),
-        )
-        .filter(F.col("_before") > 0)
-        .drop("_before")
-    )
-    merged = {
-        name: F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"_c_{name}"), F.lit(0))
-        for name in sums
-    } | {name: F.coalesce(F.col(name), F.col(f"_c_{name}")) for name in lasts}
-    helper = ["_chunk", *[f"_c_{k}" for k in (*sums, *lasts)]]
-    return local.join(carry, [*log, "_chunk"], "left").withColumns(merged).drop(*helper)
+    sums, lasts, before = dict(sums or {}), dict(lasts or {}), dict(before or {})
+    log, at = ["_k1", "_k2"], F.col(order)
+    direction = at.desc() if backward else at.asc()
+    place = [*log, order]
+    whole = with_compact_key(df, keys)
+    ranged = whole.repartitionByRange(parts, *place) if parts else whole.repartitionByRange(*place)
+    inside = Window.partitionBy("_part", *log).orderBy(direction)
+    scan = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = inside.rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda c: F.last(c, ignorenulls=True)
+    carried = {name: f"_at_{name}" for name in before}
+    scanned = ranged.withColumn("_part", F.spark_partition_id()).withColumns(
+        {name: F.coalesce(F.sum(c).over(scan), F.lit(0)) for name, c in sums.items()}
+        | {name: seen(c).over(scan) for name, c in lasts.items()}
+        | {name: seen(c).over(ahead) for name, c in before.items()}
+        | {carried[name]: seen(c).over(scan) for name, c in before.items()}
+        | {"_ends": F.lead(F.lit(1)).over(inside).isNull()}
+    )
+    stored = materialize(scanned, "running")
+    ends = ("_part", *log)
+    key = F.struct(*log)
+    borders = stored.groupBy("_part").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    several = (
+        borders.select(F.inline(F.array_distinct(F.array("low", "high"))))
+        .groupBy(*log)
+        .count()
+        .where("count > 1")
+        .select(*log)
+    )
+    tails = stored.where("_ends").select(*ends, *sums, *lasts, *carried.values()).join(several, log)
+    earlier = Window.partitionBy(*log).orderBy(F.desc("_part") if backward else F.asc("_part"))
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select(
+        *ends,
+        *[F.sum(name).over(earlier).alias(f"_c_{name}") for name in sums],
+        *[seen(F.col(name)).over(earlier).alias(f"_c_{name}") for name in lasts],
+        *[seen(F.col(at_end)).over(earlier).alias(f"_c_{name}") for name, at_end in carried.items()],
+    )
+    # At most two rows for each range, and the number of ranges is a setting.
+    joined = stored.join(F.broadcast(materialize(carry, "carry")), list(ends), "left")
+    merged = {name: F.col(name) + F.coalesce(F.col(f"_c_{name}"), F.lit(0)) for name in sums} | {
+        name: F.coalesce(F.col(name), F.col(f"_c_{name}")) for name in (*lasts, *before)
+    }
+    helper = ["_part", "_ends", *carried.values(), *[f"_c_{name}" for name in merged]]
+    result = joined.withColumns(merged).drop(*helper)
+    return result if keep_key else result.drop(*log)
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
@@ -199,7 +155,7 @@ def following(
     value: str,
     name: str,
     n: int,
-    chunk: int = CHUNK,
+    chunk: int = STRIDE,
 ) -> DataFrame:
     """Add the array of the next ``n`` values of the log after each row (fewer at its end)."""
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))

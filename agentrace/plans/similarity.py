@@ -67,6 +67,24 @@ def active_operation(spark, sf_dir):
     return tagged.groupBy("user_id", "active_op", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "long_log_operations",
+    f"""WITH {S.BASE}, {S.SANDBOX_LOG}
+    SELECT substr(task_id, 1, 4) AS benchmark, event_id, type,
+      count(*) FILTER (type IN ('tool_call','agent_tool_call')) OVER w AS segment,
+      count(*) FILTER (type = 'tool_call' AND tool <> 'list_apps') OVER w AS op_count,
+      last_value(CASE WHEN type = 'tool_call' THEN tool END IGNORE NULLS) OVER w AS latest_tool
+    FROM log WINDOW w AS (PARTITION BY substr(task_id, 1, 4) ORDER BY event_id ROWS UNBOUNDED PRECEDING)""",
+)
+def long_log_operations(spark, sf_dir):
+    """All sandbox events of a benchmark as one log: three logs over thirty-two ranges."""
+    log = long_log(spark, sf_dir).withColumn("benchmark", F.substring("task_id", 1, 4))
+    tagged = logs.annotate_calls(log, ["benchmark"], parts=32)
+    return tagged.select(
+        "benchmark", "event_id", "type", "segment", "op_count", F.col("call.tool").alias("latest_tool")
+    )
+
+
 @query(
     "next_result_status",
     f"""WITH {S.SEGMENTS} SELECT user_id, op_ord::BIGINT AS op_ord, tool, outcome FROM sops""",

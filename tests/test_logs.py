@@ -41,7 +41,7 @@ def decisions(spark, events, chunk):
     return [r.decision for r in rows]
 
 
-@pytest.fixture(params=[2, 1000])
+@pytest.fixture(params=[2, None])
 def chunk(request):
     return request.param
 

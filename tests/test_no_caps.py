@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from agentrace.functions import phrases
 from agentrace.operators import coding, kernel, library, stats
-from agentrace.operators.ordered import long_logs, running, with_compact_key
+from agentrace.operators.ordered import running
 from agentrace.plans.incremental import table_stream
 
 
@@ -70,12 +70,10 @@ def test_errors_that_are_texts(spark):
     assert [r.u for r in got] == [False, False, False, True, True, True]
 
 
-def test_only_long_logs_are_cut(spark):
+def test_logs_are_cut_wherever_their_ids_lie(spark):
     rows = [("short", 10**9 * i, 1) for i in range(4)] + [("long", 7 + 10**6 * i, 1) for i in range(50)]
     df = spark.createDataFrame(rows, "k string, pos long, n int")
-    cut = long_logs(with_compact_key(df, ["k"]), ["_k1", "_k2"], "pos", 10).collect()
-    assert len(cut) == 1 and cut[0]._from == 7
-    for r in running(df, ["k"], "pos", sums={"total": F.col("n")}, chunk=10).collect():
+    for r in running(df, ["k"], "pos", sums={"total": F.col("n")}, parts=10).collect():
         assert r.total == (r.pos // 10**9 if r.k == "short" else (r.pos - 7) // 10**6) + 1
 
 

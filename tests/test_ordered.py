@@ -1,4 +1,4 @@
-"""Chunked scans must equal plain ones, whatever the chunk size and however hot a log is."""
+"""Scans over ranges must equal plain ones, whatever their number and however hot a log is."""
 
 import random
 
@@ -30,22 +30,32 @@ def expected(rows, backward):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1, 3, 50, 10_000])
+@pytest.mark.parametrize("parts", [1, 3, 50, None])
 @pytest.mark.parametrize("backward", [False, True])
-def test_running_equals_sequential_scan(spark, chunk, backward):
+def test_running_equals_sequential_scan(spark, parts, backward):
     rows = skewed_rows()
     df = spark.createDataFrame(rows, "k string, pos long, n int, v string")
     got = running(
-        df, ["k"], "pos", sums={"total": F.col("n")}, lasts={"last": F.col("v")}, backward=backward, chunk=chunk
+        df,
+        ["k"],
+        "pos",
+        sums={"total": F.col("n")},
+        lasts={"last": F.col("v")},
+        before={"prior": F.col("v")},
+        backward=backward,
+        parts=parts,
     ).collect()
     assert {(r.k, r.pos): (r.total, r.last) for r in got} == expected(rows, backward)
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in got if r.k == key), key=lambda r: r.pos, reverse=backward)
+        assert [r.prior for r in mine] == [None, *[r.last for r in mine[:-1]]]
 
 
 def test_running_treats_null_keys_as_equal(spark):
     df = spark.createDataFrame(
         [(None, "x", 0), (None, "x", 5), ("x", None, 1), ("x", None, 9)], "a string, b string, pos long"
     )
-    got = running(df, ["a", "b"], "pos", sums={"n": F.lit(1)}, chunk=2).collect()
+    got = running(df, ["a", "b"], "pos", sums={"n": F.lit(1)}, parts=2).collect()
     assert sorted((r.pos, r.n) for r in got) == [(0, 1), (1, 1), (5, 2), (9, 2)]
 
 
