@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentrace.operators.graphs import PRECEDES
+from agentrace.operators.graphs import PRECEDES, _lanes
 from agentrace.operators.ordered import with_compact_key
 from agentrace.session import materialize
 
@@ -31,35 +31,22 @@ PAIRS_WITHIN = tuple((i, j) for i in range(REPEATS) for j in range(i + 1, REPEAT
 PAIRS_ACROSS = tuple((i, j) for i in range(REPEATS) for j in range(REPEATS))
 
 
-def wl_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], h: int = 2) -> DataFrame:
-    """Node labels ``l0 … lh`` of every graph.
-
-    Graphs and nodes are addressed by hashes while messages travel along edges, so the big
-    shuffles carry four longs per half-edge; the key columns stay with the node rows.
-    """
+def _half_edges(edges: DataFrame, graph: Sequence[str]) -> DataFrame:
+    """Both directions of every edge: ``_node`` gets a message of ``_nbr``."""
     end = lambda c: F.xxhash64(c)
-    half = with_compact_key(edges, keys).select(
-        "_k1",
-        "_k2",
-        F.inline(
-            F.array(
-                F.struct(
-                    end("src").alias("_node"),
-                    end("dst").alias("_nbr"),
-                    F.xxhash64(F.lit("OUT"), "relation").alias("tag"),
-                ),
-                F.struct(
-                    end("dst").alias("_node"),
-                    end("src").alias("_nbr"),
-                    F.xxhash64(F.lit("IN"), "relation").alias("tag"),
-                ),
-            )
-        ),
-    )
-    graph = ["_k1", "_k2"]
-    labels = with_compact_key(nodes, keys).select(
-        *keys, *graph, end("node_id").alias("_node"), F.xxhash64("label").alias("l0")
+    one = lambda node, nbr, tag: F.struct(
+        end(node).alias("_node"), end(nbr).alias("_nbr"), F.xxhash64(F.lit(tag), "relation").alias("tag")
     )
+    return edges.select(*graph, F.inline(F.array(one("src", "dst", "OUT"), one("dst", "src", "IN"))))
+
+
+def _relabelled(nodes: DataFrame, half: DataFrame, graph: Sequence[str], keep: Sequence[str], h: int) -> DataFrame:
+    """Labels ``l0 … lh`` of ``nodes``, which have the columns of ``graph``, ``keep``, ``_node`` and ``l0``.
+
+    Only longs travel along edges; the labels of a round come out dealt by (graph, node), which is
+    how the next round needs them on both sides.
+    """
+    graph, labels = list(graph), nodes
     for i in range(1, h + 1):
         prev = f"l{i - 1}"
         message = F.xxhash64("tag", prev)
@@ -72,21 +59,32 @@ def wl_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], h: int =
                 F.count(F.lit(1)).alias("deg"),
             )
         )
+        new = F.xxhash64(prev, *[F.coalesce(c, F.lit(0)) for c in ("hi", "lo", "deg")])
         labels = labels.join(sums, [*graph, "_node"], "left").select(
-            *keys,
-            *graph,
-            "_node",
-            *[f"l{j}" for j in range(i)],
-            F.xxhash64(
-                prev,
-                F.coalesce("hi", F.lit(0)),
-                F.coalesce("lo", F.lit(0)),
-                F.coalesce("deg", F.lit(0)),
-            ).alias(f"l{i}"),
+            *keep, *graph, "_node", *[f"l{j}" for j in range(i)], new.alias(f"l{i}")
         )
     return labels
 
 
+def wl_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], h: int = 2) -> DataFrame:
+    """Node labels ``l0 … lh`` of every graph.
+
+    Graphs and nodes are addressed by hashes while messages travel along edges, so the big
+    shuffles carry four longs per half-edge; the key columns stay with the node rows.
+    """
+    graph = ["_k1", "_k2"]
+    half = _half_edges(with_compact_key(edges, keys), graph)
+    first = with_compact_key(nodes, keys).select(
+        *keys, *graph, F.xxhash64("node_id").alias("_node"), F.xxhash64("label").alias("l0")
+    )
+    return _relabelled(first, half, graph, keys, h)
+
+
+def _listed(labels: DataFrame, keys: Sequence[str], h: int) -> DataFrame:
+    listed = F.array(*[F.col(f"l{i}") for i in range(h + 1)])
+    return labels.select(*keys, F.posexplode(listed).alias("iteration", "feature"))
+
+
 def wl_features(
     nodes: DataFrame,
     edges: DataFrame,
@@ -97,11 +95,50 @@ def wl_features(
     """One row per node and iteration: ``iteration``, ``feature``."""
     if not include_order:
         edges = edges.filter(F.col("relation") != PRECEDES)
-    labels = wl_labels(nodes, edges, keys, h)
-    return labels.select(
-        *keys,
-        F.posexplode(F.array(*[F.col(f"l{i}") for i in range(h + 1)])).alias("iteration", "feature"),
+    return _listed(wl_labels(nodes, edges, keys, h), keys, h)
+
+
+def distinct_graphs(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per graph: its key, its content ``g1, g2``, and whether it ``stands`` for that content.
+
+    The content is 128 bits of sums of hashes of all nodes and edges, so it needs no order and its
+    parts are combined before the shuffle. Of graphs with equal content, one stands for all.
+    """
+    part = lambda *c: [f for seed in (1, 2) for f in _lanes(F.lit(seed), *c)]
+    lanes = [f"_s{i}" for i in range(4)]
+    named = lambda hashes: [x.alias(n) for x, n in zip(hashes, lanes)]
+    name = F.struct(*keys)
+    of_nodes = with_compact_key(nodes, keys).select(
+        "_k1", "_k2", name.alias("_key"), F.lit(1).alias("_n"), *named(part(F.lit("n"), "node_id", "label"))
+    )
+    of_edges = with_compact_key(edges, keys).select(
+        "_k1", "_k2", name.alias("_key"), F.lit(0).alias("_n"), *named(part(F.lit("e"), "src", "dst", "relation"))
     )
+    summed = (
+        of_nodes.unionByName(of_edges)
+        .groupBy("_k1", "_k2")
+        .agg(F.first("_key").alias("_key"), F.sum("_n").alias("_n"), F.count("*").alias("_all"), *[F.sum(c).alias(c) for c in lanes])
+    )
+    content = [F.xxhash64(F.lit(seed), *lanes, "_n", "_all").alias(f"g{seed}") for seed in (1, 2)]
+    graphs = materialize(summed.select("_key.*", "_k1", "_k2", *content), "graphs")
+    standing = graphs.groupBy("g1", "g2").agg(F.min(F.struct("_k1", "_k2")).alias("_first"))
+    is_first = (F.col("_first._k1") == F.col("_k1")) & (F.col("_first._k2") == F.col("_k2"))
+    return graphs.join(standing, ["g1", "g2"]).select(*keys, "_k1", "_k2", "g1", "g2", is_first.alias("stands"))
+
+
+def shared_features(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], h: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The content ``g1, g2`` of every graph, and ``iteration, feature, n`` of every content.
+
+    Graphs of equal content share their features, which are computed for one of them.
+    """
+    graphs = materialize(distinct_graphs(nodes, edges, keys), "graphs")
+    first = graphs.where("stands").select("_k1", "_k2", "g1", "g2")
+    content, own = ["g1", "g2"], ["_k1", "_k2"]
+    stands = lambda df: with_compact_key(df, keys).join(first, own)
+    labels = stands(nodes).select(*content, F.xxhash64("node_id").alias("_node"), F.xxhash64("label").alias("l0"))
+    labels = _relabelled(labels, _half_edges(stands(edges), content), content, [], h)
+    features = _listed(labels, content, h).groupBy(*content, "iteration", "feature").agg(F.count("*").alias("n"))
+    return graphs, materialize(features, "features")
 
 
 def form_vectors(features: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -110,8 +147,26 @@ def form_vectors(features: DataFrame, keys: Sequence[str]) -> DataFrame:
     ``keys`` are the form keys, without the repeat. The table is written once: norms, internal
     pairs and both sides of the source-variant join all read it.
     """
-    counted = features.groupBy(*keys, "iteration", "feature").agg(
-        *[F.count_if(repeat_column() == r).cast("double").alias(f"c{r}") for r in range(REPEATS)]
+    return _vectors(features.withColumn("n", F.lit(1)), keys)
+
+
+def shared_vectors(graphs: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same from the tables of ``shared_features``."""
+    forms = graphs.select(*keys, "repeat", "g1", "g2")
+    return _vectors(forms.join(features, ["g1", "g2"]), keys)
+
+
+def _form_ids(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hashes of a form (``_k1, _k2``) and of its task (``_t1, _t2``)."""
+    task = [k for k in keys if k not in ("family", "form")]
+    tasks = with_compact_key(df, task).withColumnsRenamed({"_k1": "_t1", "_k2": "_t2"})
+    return with_compact_key(tasks, keys)
+
+
+def _vectors(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    ids = _form_ids(rows, keys).withColumn("_source", F.col("family") == "source")
+    counted = ids.groupBy("_k1", "_k2", "_t1", "_t2", "_source", "iteration", "feature").agg(
+        *[F.sum(F.when(repeat_column() == r, F.col("n")).otherwise(0)).cast("double").alias(f"c{r}") for r in range(REPEATS)]
     )
     return materialize(counted, "vectors")
 
@@ -163,18 +218,19 @@ def pair_scores(
 ) -> DataFrame:
     """Similarity of every run pair: source-internal, source-variant, variant-internal.
 
-    ``task_keys`` identify a task (plus any extra dimension); vectors and runs also carry
-    ``family`` and ``form``. The three repeats of a form sit in columns, so the nine dot
+    ``task_keys`` identify a task (plus any extra dimension); runs also carry ``family`` and
+    ``form``, vectors the hashes of both. The three repeats of a form sit in columns, so the nine dot
     products of a source-variant comparison come out of one join on (task, feature) and one
     aggregation; the work is linear in the number of features.
     """
     form_keys = [*task_keys, "family", "form"]
-    present = run_presence(runs, form_keys)
-    inner = vectors.groupBy(*form_keys).agg(
+    form, task = ["_k1", "_k2"], ["_t1", "_t2"]
+    present = _form_ids(run_presence(runs, form_keys), form_keys)
+    inner = vectors.groupBy(*form).agg(
         *[F.sum(F.col(f"c{r}") * F.col(f"c{r}")).alias(f"n{r}") for r in range(REPEATS)],
         *_dots("c", "c", PAIRS_WITHIN),
     )
-    forms = materialize(present.join(inner, form_keys, "left"), "forms")
+    forms = materialize(present.join(inner, form, "left"), "forms")
 
     within = forms.select(
         *form_keys,
@@ -184,25 +240,25 @@ def pair_scores(
         F.explode(_pair_rows(PAIRS_WITHIN, "n", "n", "h", "h")).alias("p"),
     )
 
-    source_vectors = vectors.filter(F.col("family") == "source").select(
-        *task_keys, "iteration", "feature", *[F.col(f"c{r}").alias(f"s{r}") for r in range(REPEATS)]
+    source_vectors = vectors.filter("_source").select(
+        *task, "iteration", "feature", *[F.col(f"c{r}").alias(f"s{r}") for r in range(REPEATS)]
     )
     across = (
-        vectors.filter(F.col("family") != "source")
-        .join(source_vectors, [*task_keys, "iteration", "feature"])
-        .groupBy(*form_keys)
+        vectors.filter("NOT _source")
+        .join(source_vectors, [*task, "iteration", "feature"])
+        .groupBy(*form)
         .agg(*_dots("s", "c", PAIRS_ACROSS))
     )
     source = forms.filter(F.col("family") == "source").select(
-        *task_keys,
+        *task,
         *[F.col(f"n{r}").alias(f"sn{r}") for r in range(REPEATS)],
         *[F.col(f"h{r}").alias(f"sh{r}") for r in range(REPEATS)],
     )
     variant = (
         forms.filter(F.col("family") != "source")
         .drop(*[f"d{i}{j}" for i, j in PAIRS_WITHIN])
-        .join(source, list(task_keys))
-        .join(across, form_keys, "left")
+        .join(source, task)
+        .join(across, form, "left")
         .select(
             *form_keys,
             F.lit("source_variant").alias("comparison"),

@@ -35,8 +35,9 @@ def tool_graph(spark: SparkSession, sf_dir: str):
 
 def run_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, nodes, edges = tool_graph(spark, sf_dir)
-    features = kernel.wl_features(nodes, edges, RUN_KEYS)
-    vectors = kernel.form_vectors(features, [*TASK_KEYS, "family", "form"])
+    vectors = kernel.shared_vectors(
+        *kernel.shared_features(nodes, edges, RUN_KEYS), [*TASK_KEYS, "family", "form"]
+    )
     return kernel.pair_scores(vectors, base.select(*RUN_KEYS), TASK_KEYS)
 
 
@@ -305,6 +306,27 @@ def wl_features(spark, sf_dir):
     )
 
 
+@query(
+    "distinct_graphs",
+    f"""WITH {SIGNATURES},
+    shared AS (SELECT *, count(*) OVER (PARTITION BY signature) AS n_equal FROM sig)
+    SELECT model, task_id, family, form, count(*) AS n_runs, count(DISTINCT signature) AS n_contents,
+           sum(n_equal)::BIGINT AS n_equal, count(*) FILTER (n_equal = 1) AS n_alone FROM shared GROUP BY ALL""",
+)
+def distinct_graphs(spark, sf_dir):
+    """How many graphs of the whole study share the content of a form's runs."""
+    _, nodes, edges = tool_graph(spark, sf_dir)
+    found = kernel.distinct_graphs(nodes, edges, RUN_KEYS)
+    equal = found.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.count_if("stands").alias("standing"))
+    one = F.when(F.col("standing") == 1, F.col("n")).otherwise(F.raise_error(F.lit("not one stands for all")))
+    return found.join(equal.select("g1", "g2", one.alias("n")), ["g1", "g2"]).groupBy("model", "task_id", "family", "form").agg(
+        F.count("*").alias("n_runs"),
+        F.count_distinct("g1", "g2").alias("n_contents"),
+        F.sum("n").alias("n_equal"),
+        F.count_if(F.col("n") == 1).alias("n_alone"),
+    )
+
+
 @query(
     "wl_similarity_pairs",
     f"""WITH {S.PAIRS} SELECT model, task_id, family, form, comparison, left_repeat, right_repeat, round(similarity, 9) AS similarity FROM pairs""",
@@ -347,7 +369,7 @@ def footprint_vs_trajectory(spark, sf_dir):
     )
     keys = [*RUN_KEYS, "view"]
     task = [*TASK_KEYS, "view"]
-    vectors = kernel.form_vectors(kernel.wl_features(vn, ve, keys), [*task, "family", "form"])
+    vectors = kernel.shared_vectors(*kernel.shared_features(vn, ve, keys), [*task, "family", "form"])
     runs = base.select(*RUN_KEYS).withColumn("view", F.explode(views))
     pairs = kernel.pair_scores(vectors, runs, task)
     view = lambda v: F.max(F.when(F.col("view") == v, F.col("similarity")))
@@ -383,8 +405,8 @@ def behavioral_similarity(spark, sf_dir):
     nodes, edges = graphs.sandbox_graph(sandbox_log(base), RUN_KEYS)
     pn, pe = graphs.project(nodes, edges, RUN_KEYS)
     task = [*TASK_KEYS, "dimension"]
-    features = kernel.wl_features(pn, pe, [*RUN_KEYS, "dimension"])
-    vectors = kernel.form_vectors(features, [*task, "family", "form"])
+    shared = kernel.shared_features(pn, pe, [*RUN_KEYS, "dimension"])
+    vectors = kernel.shared_vectors(*shared, [*task, "family", "form"])
     dims = F.array(*[F.lit(d) for d in graphs.DIMENSIONS])
     runs = base.select(*RUN_KEYS).withColumn("dimension", F.explode(dims))
     return (

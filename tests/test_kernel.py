@@ -118,3 +118,21 @@ def test_signatures_see_labels_and_parallel_edges(spark):
     edges = spark.createDataFrame([("a", "x", "x", "r"), ("b", "x", "x", "r"), ("b", "x", "x", "r")], "g string, src string, dst string, relation string")
     sig = {r.g: r.signature for r in graphs.signatures(nodes, edges, ["g"]).collect()}
     assert len(set(sig.values())) == 3
+
+
+def test_equal_graphs_share_their_features(spark):
+    keys = ["task_id", "repeat"]
+    rows = [("t", 0), ("t", 1), ("u", 0), ("u", 1)]
+    label = {("u", 1): "op:other"}
+    nodes = [(*k, f"op:{i}", label.get(k, f"op:{i % 2}")) for k in rows for i in range(3)]
+    edges = [(*k, f"op:{i}", f"op:{i + 1}", "USES") for k in rows for i in range(2)]
+    edges.append(("t", 1, "op:0", "op:1", "USES"))  # a parallel edge makes another graph
+    n = spark.createDataFrame(nodes, "task_id string, repeat int, node_id string, label string")
+    e = spark.createDataFrame(edges, "task_id string, repeat int, src string, dst string, relation string")
+    shared, features = kernel.shared_features(n, e, keys)
+    content = {(r.task_id, r.repeat): (r.g1, r.g2) for r in shared.collect()}
+    assert content["t", 0] == content["u", 0] and len(set(content.values())) == 3
+    assert shared.where("stands").count() == 3 and features.select("g1", "g2").distinct().count() == 3
+    whole = shared.join(features, ["g1", "g2"]).select(*keys, "iteration", "feature", "n")
+    each = kernel.wl_features(n, e, keys).groupBy(*keys, "iteration", "feature").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, each.collect()))
