@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,21 +38,38 @@ def map_slices(
     fn: Callable[[pa.RecordBatch], dict],
     schema: T.StructType,
     size_of: str | None = None,
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
-    """``mapInArrow`` with ``fn`` applied to slices; it returns a dict of columns by name."""
+    """``mapInArrow`` with ``fn`` applied to slices; it returns a dict of columns by name.
+
+    ``after`` is called when a task's input has ended: workers outlive their tasks, and so would
+    what they hold.
+    """
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, size_of):
-                columns = fn(part)
-                yield pa.RecordBatch.from_arrays(
-                    [_array(columns[f.name], f.type) for f in arrow], schema=arrow
-                )
+        try:
+            for batch in batches:
+                for part in slices(batch, size_of):
+                    columns = fn(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [_array(columns[f.name], f.type) for f in arrow], schema=arrow
+                    )
+        finally:
+            if after:
+                after()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system, where it has a way to."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentrace.llm.batches import fields, map_slices
+from agentrace.llm.batches import fields, give_back, map_slices
 from agentrace.llm.registry import query, table
 from agentrace.llm.wordhash import U64, Words, mixed
+from agentrace.session import materialize
 
 #: Bounds of the samples that are learned from: labelled toxic, labelled clean (for calibration
 #: only) and unlabelled documents. Each is drawn by a hash of the id over the whole table.
@@ -89,15 +90,45 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def telling(toxic: Rows, other: Rows) -> np.ndarray:
-    """Features that are clearly likelier in toxic texts."""
-    size = 1 << BITS
-    seen = np.bincount(toxic.flat, minlength=size)
-    share = seen / len(toxic)
-    base = (np.bincount(other.flat, minlength=size) + 1) / (len(other) + 2)
-    error = np.sqrt(base * (1 - base) * (1 / len(toxic) + 1 / max(len(other), 1)))
-    least = max(LEAST_COUNT, LEAST_SHARE * len(toxic))
-    return np.flatnonzero((seen >= least) & (share - base >= LEAST_Z * error))
+def tallied(rows: DataFrame) -> DataFrame:
+    """``name`` and, per part, how many toxic (``t0``, …) and unlabelled (``u0``, …) sets hold it."""
+    names = [f"{kind}{part}" for kind in "tu" for part in range(MEMBERS)]
+
+    def tally(batches):
+        total = np.zeros((len(names), 1 << BITS), np.int64)
+        for batch in batches:
+            lists = batch.column("found")
+            kind = np.where(batch.column("toxic").to_numpy() == 1, 0, MEMBERS) + batch.column("part").to_numpy()
+            row = np.repeat(kind, lists.value_lengths().to_numpy())
+            flat = lists.flatten().to_numpy()
+            for i in np.unique(kind):
+                total[i] += np.bincount(flat[row == i], minlength=1 << BITS)
+        seen = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(seen), *map(pa.array, total[:, seen])], ["name", *names])
+
+    learned = rows.where("toxic != 0").select("toxic", "part", "found")
+    counted = learned.mapInArrow(tally, "name long, " + ", ".join(f"{n} long" for n in names))
+    return counted.groupBy("name").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def telling(counts: DataFrame, sizes: dict[tuple[int, int], int]) -> list[np.ndarray]:
+    """Per member, sorted, the features that are clearly likelier in the toxic texts it learns from.
+
+    ``sizes`` are numbers of sets by (toxic, part); a member learns from all parts but its own.
+    """
+    flags = []
+    for member in range(MEMBERS):
+        parts = [p for p in range(MEMBERS) if p != member]
+        n_toxic, n_other = (sum(sizes.get((kind, p), 0) for p in parts) for kind in (1, -1))
+        seen = sum((F.col(f"t{p}") for p in parts), F.lit(0))
+        base = (sum((F.col(f"u{p}") for p in parts), F.lit(0)) + 1) / F.lit(float(n_other + 2))
+        error = F.sqrt(base * (1 - base) * (1 / max(n_toxic, 1) + 1 / max(n_other, 1)))
+        least = max(LEAST_COUNT, LEAST_SHARE * n_toxic)
+        flags.append((seen >= least) & (seen / F.lit(float(max(n_toxic, 1))) - base >= LEAST_Z * error))
+    named = counts.select("name", F.array(*flags).alias("of")).where(F.exists("of", lambda x: x)).toArrow()
+    names = named.column("name").to_numpy()
+    of = np.array(named.column("of").to_pylist(), bool).reshape(-1, MEMBERS)
+    return [np.sort(names[of[:, m]]) for m in range(MEMBERS)]
 
 
 def nnpu(toxic: Rows, other: Rows, prior: float, size: int, seed: int) -> np.ndarray:
@@ -192,9 +223,10 @@ def train(docs: DataFrame, labels: DataFrame, held: int = 2) -> Model:
     """Learn from documents whose fold isn't ``held``; their labels are the only ones read.
 
     The prior is the share of toxic ones of all labelled documents there; an id labelled both ways
-    is toxic. Three bounded samples of ids, smallest hashes first, are joined with the texts; each
-    of the members trains in a task of its own, without a third of the rows, on whose labelled part
-    the common calibration is then fitted. With no toxic document to learn from, the model scores
+    is toxic. Three bounded samples of ids, smallest hashes first, are joined with the texts (one text
+    of an id, the one of the smallest hash). Features are counted by label where the sets are, and
+    only telling ones go on; each of the members trains in a task of its own, without a third of the
+    rows, on whose labelled part the common calibration is then fitted. With no toxic document to learn from, the model scores
     every text with the prior (0 without labels).
     """
     fold = crc_fold(F.col("doc_id"))
@@ -208,53 +240,73 @@ def train(docs: DataFrame, labels: DataFrame, held: int = 2) -> Model:
     if not total.toxic:
         return Model(prior)
     pick = lambda df, n: df.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(n)
-    open_ids = docs.where(F.col("doc_id").isNotNull() & (fold != held)).select("doc_id")
+    open_ids = docs.where(F.col("doc_id").isNotNull() & (fold != held)).select("doc_id").distinct()
     sample = (
         pick(known.where("toxic = 1"), TOXIC)
         .unionByName(pick(known.where("toxic = 0"), CLEAN))
-        .unionByName(pick(open_ids, UNLABELLED).distinct().withColumn("toxic", F.lit(-1)))
+        .unionByName(pick(open_ids, UNLABELLED).withColumn("toxic", F.lit(-1)))
     )
     texts = docs.where(F.col("doc_id").isNotNull()).select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text")
     )
-    chosen = texts.join(F.broadcast(sample), "doc_id")
-    schema = fields(chosen, "doc_id", "toxic", found="array<int>")
+    one = F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")
+    chosen = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(one)
+    schema = fields(chosen, "doc_id", "toxic", digest="bigint", found="array<int>")
 
     def sets(batch):
         text, feature = features(batch.column("text"))
         pairs = np.unique(text * np.int64(1 << BITS) + feature)
         start = np.searchsorted(pairs, np.arange(batch.num_rows + 1) << BITS)
-        flat = pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32))
-        found = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), flat)
-        return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "found": found}
-
-    rows = map_slices(chosen, sets, schema, "text").select(
-        "toxic",
-        "found",
-        F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(MEMBERS)).cast("int").alias("part"),
-        F.explode(F.array(*map(F.lit, range(MEMBERS)))).alias("member"),
+        flat = (pairs & ((1 << BITS) - 1)).astype(np.int32)
+        return {
+            "doc_id": batch.column("doc_id"),
+            "toxic": batch.column("toxic"),
+            "digest": checks(Rows(start, flat)).view(np.int64),
+            "found": pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(flat)),
+        }
+
+    part = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(MEMBERS)).cast("int").alias("part")
+    rows = map_slices(chosen, sets, schema, "text", give_back)
+    rows = materialize(rows.select("toxic", "digest", "found", part), "toxicity-sets")
+    sizes = {(r.toxic, r.part): r["count"] for r in rows.groupBy("toxic", "part").count().collect()}
+    chosen_names = telling(tallied(rows), sizes)
+    every = np.unique(np.concatenate(chosen_names))
+    schema = fields(rows, "toxic", "digest", "part", "found")
+
+    def narrow(batch):
+        lists = batch.column("found")
+        start = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+        flat = lists.flatten().to_numpy()
+        kept = np.isin(flat, every)
+        ends = np.concatenate(([0], np.cumsum(kept)))[start].astype(np.int32)
+        columns = {name: batch.column(name) for name in ("toxic", "digest", "part")}
+        return columns | {"found": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[kept]))}
+
+    # Only telling features travel to the three tasks that learn.
+    member_rows = map_slices(rows, narrow, schema).withColumn(
+        "member", F.explode(F.array(*map(F.lit, range(MEMBERS))))
     )
     out = pa.schema([("member", pa.int32()), ("kind", pa.int32()), ("name", pa.int32()), ("value", pa.float64())])
 
     def learn(data: pa.Table) -> pa.Table:
         data = data.combine_chunks()
-        toxic, part = (data.column(c).to_numpy() for c in ("toxic", "part"))
+        toxic, part, digest = (data.column(c).to_numpy() for c in ("toxic", "part", "digest"))
         member = data.column("member")[0].as_py()
         lists = data.column("found").combine_chunks()
         start = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-        sets = Rows(start, lists.flatten().to_numpy())
+        names = chosen_names[member]
+        place = np.full(1 << BITS, -1, np.int32)
+        place[names] = np.arange(len(names))
+        sets = Rows(start, lists.flatten().to_numpy()).narrowed(place)
         # Rows come in any order: sorted by content, a member learns the same from equal data.
-        order = np.lexsort((sets.start[:-1] * 0 + np.diff(sets.start), checks(sets), toxic))
+        order = np.lexsort((np.diff(start), digest, toxic))
         apart = order[(part[order] == member) & (toxic[order] >= 0)]
         mine = order[part[order] != member]
         positive, other = sets.pick(mine[toxic[mine] == 1]), sets.pick(mine[toxic[mine] == -1])
         if not len(positive):
             return out.empty_table()
-        names = telling(positive, other)
-        place = np.full(1 << BITS, -1, np.int32)
-        place[names] = np.arange(len(names))
-        weights = nnpu(positive.narrowed(place), other.narrowed(place), prior, len(names), member)
-        z = sets.pick(apart).narrowed(place).logits(weights)
+        weights = nnpu(positive, other, prior, len(names), member)
+        z = sets.pick(apart).logits(weights)
         kinds = [np.full(len(weights), 2), toxic[apart]]
         labels_of = [np.append(names, -1), np.zeros(len(apart))]
         kind, name, value = map(np.concatenate, (kinds, labels_of, [weights, z]))
@@ -263,7 +315,7 @@ def train(docs: DataFrame, labels: DataFrame, held: int = 2) -> Model:
             schema=out,
         )
 
-    learned = rows.groupBy("member").applyInArrow(learn, "member int, kind int, name int, value double")
+    learned = member_rows.groupBy("member").applyInArrow(learn, "member int, kind int, name int, value double")
     got = learned.toArrow()
     member, kind, name, value = (got.column(c).to_numpy() for c in got.column_names)
     members = []
@@ -313,7 +365,7 @@ def with_scores(source: DataFrame, model: Model) -> DataFrame:
         columns = {name: batch.column(name) for name in names}
         return columns | {"score": model.scores(batch.column("text"))}
 
-    return map_slices(source, score, schema, "text")
+    return map_slices(source, score, schema, "text", give_back)
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
