@@ -12,14 +12,14 @@ both sides.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
+from functools import lru_cache, partial
 from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentrace.llm.batches import fields, map_slices
+from agentrace.llm.batches import fields, give_back, map_slices
 from agentrace.llm.packing import ROW, packed_texts, rows_of, unpacked
 from agentrace.llm.registry import query, table
 
@@ -113,7 +113,8 @@ class Encoder:
         if new := list({w for w in words if w not in memo}):
             ids = self.encoded(new)
             memo.update(zip(new, ids))
-            self.held += sum(map(len, new)) + sum(map(len, ids)) + 150 * len(new)
+            # Besides their contents, two bytes objects and an entry of the dict.
+            self.held += sum(map(len, new)) + sum(map(len, ids)) + 200 * len(new)
         out = list(map(memo.__getitem__, words))
         if self.held > MEMO_BYTES:
             self.memo, self.held = {}, 0
@@ -129,6 +130,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget(path: str) -> None:
+    """At a task's end its words go; the tokenizer stays for the worker's next task."""
+    encoder(path).memo, encoder(path).held = {}, 0
+    give_back()
+
+
 def joined(text: bytes, lent: dict[int, bytes], words: list[bytes]) -> list[bytes | int]:
     """A text as pieces in order: lent ids, and counts of words appended to ``words``."""
     pieces: list[bytes | int] = []
@@ -201,7 +208,8 @@ def lent_chunks(source: DataFrame, packed: DataFrame, tokenizer: str) -> DataFra
             ids.append([b"".join(narrow(n)) for n in counts])
         return {"digests": digests, "ids": ids}
 
-    published = map_slices(packed.join(owners, [*ROW]), publish, schema, "packed")
+    done = partial(forget, tokenizer)
+    published = map_slices(packed.join(owners, [*ROW]), publish, schema, "packed", done)
     return (
         published.select(F.explode(F.arrays_zip("digests", "ids")).alias("c"))
         .select(F.col("c.digests").alias("digest"), F.col("c.ids").alias("ids"))
@@ -265,7 +273,8 @@ def encode_documents(
             **({"decoded": coder.decode(ids)} if decode else {}),
         }
 
-    return map_slices(packed.join(lent, [*ROW], "left"), assemble, schema, "packed")
+    done = partial(forget, tokenizer)
+    return map_slices(packed.join(lent, [*ROW], "left"), assemble, schema, "packed", done)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
