@@ -33,6 +33,10 @@ jv AS (SELECT o.model, o.task_id, o.family, o.form, o.outputs, s.source_outputs,
   FROM outs o JOIN src s USING (model, task_id) WHERE o.family <> 'source' AND o.complete)"""
 
 
+#: How often the responses of a task are repeated to make long ones.
+LONG_SQL = "200 + 60 * (ascii(right(task_id, 1)) - 48)"
+
+
 def prompts(base: DataFrame) -> DataFrame:
     return base.select("task_id").distinct().withColumn("prompt", F.concat(F.lit("Do "), F.col("task_id")))
 
@@ -54,9 +58,8 @@ def three_run_outputs(spark, sf_dir):
     return out.withColumn("outputs", F.array_join("outputs", "|"))
 
 
-@query(
-    "judge_job_packing",
-    f"""WITH RECURSIVE {OUTPUTS},
+def packing_sql(outputs: str) -> str:
+    return f"""WITH RECURSIVE {outputs},
     ord AS (SELECT *, row_number() OVER (PARTITION BY model, task_id, family ORDER BY form) AS rn, max(header_chars) OVER (PARTITION BY model, task_id, family) + {J.FOOTER_CHARS} AS fixed FROM jv),
     pk AS (SELECT model, task_id, family, form, rn, 0 AS chunk, variant_chars + 1 AS used FROM ord WHERE rn = 1
       UNION ALL SELECT o.model, o.task_id, o.family, o.form, o.rn,
@@ -64,12 +67,29 @@ def three_run_outputs(spark, sf_dir):
         CASE WHEN o.fixed + p.used + o.variant_chars + 1 > {BUDGET} THEN o.variant_chars + 1 ELSE p.used + o.variant_chars + 1 END
       FROM ord o JOIN pk p ON o.model = p.model AND o.task_id = p.task_id AND o.family = p.family AND o.rn = p.rn + 1),
     n AS (SELECT *, max(chunk) OVER (PARTITION BY model, task_id, family) + 1 AS chunk_count FROM pk)
-    SELECT model, task_id, family, form, chunk, chunk_count, model || '|' || task_id || '|' || family || CASE WHEN chunk_count > 1 THEN '|chunk' || lpad(chunk::VARCHAR, 2, '0') ELSE '' END AS job_id FROM n""",
-)
+    SELECT model, task_id, family, form, chunk, chunk_count, model || '|' || task_id || '|' || family || CASE WHEN chunk_count > 1 THEN '|chunk' || lpad(chunk::VARCHAR, 2, '0') ELSE '' END AS job_id FROM n"""
+
+
+@query("judge_job_packing", packing_sql(OUTPUTS))
 def judge_job_packing(spark, sf_dir):
     return J.pack_jobs(variant_table(runs_base(spark, sf_dir)), BUDGET)
 
 
+LONG_OUTPUTS = OUTPUTS.replace(
+    "outs AS (", f"longer AS (SELECT * REPLACE (repeat(final_response, {LONG_SQL}) AS final_response) FROM res),\nouts AS ("
+).replace("FROM res GROUP BY ALL", "FROM longer GROUP BY ALL")
+
+
+@query("judge_job_packing_long", packing_sql(LONG_OUTPUTS))
+def judge_job_packing_long(spark, sf_dir):
+    """Responses of some thousand characters, so that a family's variants fill several prompts."""
+    base = runs_base(spark, sf_dir)
+    last = F.ascii(F.right("task_id", F.lit(1))) - 48
+    longer = results(base).withColumn("final_response", F.repeat("final_response", 200 + 60 * last))
+    variants = J.job_variants(J.three_outputs(longer, FORM_KEYS), prompts(base))
+    return J.pack_jobs(variants, BUDGET)
+
+
 @query(
     "prompt_cost",
     f"""WITH {OUTPUTS}, j AS (SELECT model, task_id, family, max(header_chars) + sum(variant_chars + 1) + {J.FOOTER_CHARS} AS chars FROM jv GROUP BY ALL)
