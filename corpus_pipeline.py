@@ -48,7 +48,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per emitted document its tokens' number and digest, and that of the decoded text."""
-    return bpe.round_trip_digests(docs.select(*COLUMNS), bpe.default_tokenizer())
+    return bpe.round_trip_digests(docs.select(*COLUMNS), bpe.default_tokenizer(), keep_words=False)
 
 
 STAGES = [
