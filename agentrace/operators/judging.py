@@ -211,6 +211,14 @@ def output_means(variants: DataFrame, baseline: DataFrame, group: Sequence[str])
     )
 
 
+def task_deltas(variants: DataFrame, baseline: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Source-variant mean of each task and group minus the task's baseline."""
+    per_task = variants.groupBy(*group, "task_id").agg(F.avg("output_sv").alias("_sv"))
+    return per_task.join(baseline, ["model", "task_id"]).select(
+        *group, "task_id", (F.col("_sv") - F.col("output_baseline")).alias("delta")
+    )
+
+
 def quadrants(joined: DataFrame, keys: Sequence[str], slack: float = 0.1) -> DataFrame:
     """Shares of variants that are consistent in structure and in output."""
     s = F.col("graph_sv") >= F.col("graph_baseline") - slack

@@ -11,6 +11,13 @@ from agentrace.operators.ordered import dense_index, with_compact_key
 
 PRIME = 2147483647
 DRAWS_PER_ROW = 4096
+#: Units of a group that one array holds.
+SLICE = 4096
+#: Replicates that one copy of such an array serves.
+REPLICATES_A_BLOCK = 512
+# Offsets that set the draws of slices, and those of units in each slice, apart.
+OUTER = 715827883
+INNER = 104729
 
 
 def group_start(keys: Sequence[str]) -> Column:
@@ -34,45 +41,88 @@ def draw_index(start: Column, replicate: Column, draw: Column, seed: int, n: Col
 
 
 def bootstrap_means(
-    values: DataFrame, keys: Sequence[str], unit: str, value: str, replicates: int, seed: int = 0
+    values: DataFrame,
+    keys: Sequence[str],
+    unit: str,
+    value: str,
+    replicates: int,
+    seed: int = 0,
+    slice_size: int = SLICE,
 ) -> DataFrame:
     """Means of ``replicates`` resamples of the units of each group.
 
-    Draws are generated in bounded slices from (group, replicate) rows that are spread over
-    the cluster, then joined to the values by position: no group is ever held in one row.
-    While the values are small, adaptive execution broadcasts them and the draws are neither
-    shuffled nor stored.
+    A group's units lie in slices of ``slice_size``. For each replicate every draw first picks a
+    slice, which only counts, and the draws of a slice then pick units inside it: together each unit
+    is equally likely, as in one step. A slice's values are one bounded array, from which its draws
+    are summed where it stands; what is shuffled are counts and sums, one row for each (slice,
+    replicate), not the draws. NULL values are drawn, but don't count in the mean.
     """
     group = ["_k1", "_k2"]
-    indexed = with_compact_key(dense_index(values.select(*keys, unit, value), keys, unit, "_j"), keys).select(
-        *group, F.col("_j").cast("long").alias("_j"), value
-    )
+    n, b, part = F.col("_n"), F.col("_b"), F.col("_slice")
+    # Rows are few and small but each stands for many draws, so tasks aren't merged by their bytes.
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = with_compact_key(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
     slots = sizes.select(
-        *group, "_n", group_start(keys).alias("_start"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b")
-    )
-    slots = slots.repartition(*group, "_b").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / DRAWS_PER_ROW)))
+        *group,
+        "_n",
+        group_start(keys).alias("_start"),
+        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b"),
+    ).repartition(tasks, *group, "_b")
+    # All draws of a group of one slice fall into it: one row of weight n stands for them.
+    single = n <= slice_size
+    first = F.col("_run") * DRAWS_PER_ROW
+    last = F.when(single, first).otherwise(F.least(first + DRAWS_PER_ROW, n) - 1)
+    slice_of_draw = F.floor(draw_index(F.col("_start") + OUTER, b, F.col("_i"), seed, n) / slice_size)
+    dealt = (
+        slots.withColumn(
+            "_run", F.explode(F.sequence(F.lit(0), F.when(single, 0).otherwise(F.floor((n - 1) / DRAWS_PER_ROW))))
+        )
+        .withColumn("_i", F.explode(F.sequence(first, last)))
+        .select(
+            *group,
+            "_start",
+            "_b",
+            F.when(single, 0).otherwise(slice_of_draw).alias("_slice"),
+            F.when(single, n).otherwise(1).alias("_draws"),
+        )
+        .groupBy(*group, "_start", "_b", "_slice")
+        .agg(F.sum("_draws").alias("_draws"))
+        .withColumn("_block", F.floor(b / REPLICATES_A_BLOCK))
+        .repartition(tasks, *group, "_slice", "_block")
     )
-    first = F.col("_slice") * DRAWS_PER_ROW
-    last = F.least(first + DRAWS_PER_ROW, F.col("_n")) - 1
-    draws = slots.withColumn("_i", F.explode(F.sequence(first, last))).select(
-        *group, "_b", draw_index(F.col("_start"), F.col("_b"), F.col("_i"), seed, F.col("_n")).alias("_j")
+    indexed = with_compact_key(dense_index(values.select(*keys, unit, value), keys, unit, "_j"), keys)
+    blocks = (replicates - 1) // REPLICATES_A_BLOCK
+    slices = (
+        indexed.select(
+            *group, F.floor(F.col("_j") / slice_size).alias("_slice"), "_j", F.col(value).cast("double").alias("_v")
+        )
+        .groupBy(*group, "_slice")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", "_v"))), lambda s: s["_v"]).alias("_values"))
+        .withColumns({"_m": F.size("_values").cast("long"), "_block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks).cast("long")))})
     )
+    inner = draw_index(F.col("_start") + part * INNER, b, F.col("_t"), seed, F.col("_m"))
     return (
-        draws.join(indexed, [*group, "_j"])
+        dealt.join(slices, [*group, "_slice", "_block"])
+        .withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_draws") - 1)))
+        .select(*group, "_b", F.get("_values", inner.cast("int")).alias("_v"))
         .groupBy(*group, "_b")
-        .agg(F.avg(value).alias("estimate"))
+        .agg(F.avg("_v").alias("estimate"))
         .join(sizes.select(*keys, *group), group)
         .select(*keys, F.col("_b").alias("replicate"), "estimate")
     )
 
 
 def bootstrap_ci_percentile(
-    values: DataFrame, keys: Sequence[str], unit: str, value: str, replicates: int = 10000, seed: int = 0
+    values: DataFrame,
+    keys: Sequence[str],
+    unit: str,
+    value: str,
+    replicates: int = 10000,
+    seed: int = 0,
+    slice_size: int = SLICE,
 ) -> DataFrame:
     """95% interval by linear interpolation; a single unit gives its own value."""
-    est = bootstrap_means(values, keys, unit, value, replicates, seed)
+    est = bootstrap_means(values, keys, unit, value, replicates, seed, slice_size)
     return est.groupBy(*keys).agg(
         F.percentile("estimate", F.lit(0.025)).alias("ci_low"),
         F.percentile("estimate", F.lit(0.975)).alias("ci_high"),
@@ -80,11 +130,17 @@ def bootstrap_ci_percentile(
 
 
 def bootstrap_ci_order_stat(
-    values: DataFrame, keys: Sequence[str], unit: str, value: str, replicates: int = 2000, seed: int = 0
+    values: DataFrame,
+    keys: Sequence[str],
+    unit: str,
+    value: str,
+    replicates: int = 2000,
+    seed: int = 0,
+    slice_size: int = SLICE,
 ) -> DataFrame:
     """95% interval by picking the sorted estimates at int(.025 B) and int(.975 B) - 1; NULL
     with fewer than two units."""
-    est = bootstrap_means(values, keys, unit, value, replicates, seed)
+    est = bootstrap_means(values, keys, unit, value, replicates, seed, slice_size)
     lo, hi = int(0.025 * replicates), int(0.975 * replicates) - 1
     picked = est.groupBy(*keys).agg(F.array_sort(F.collect_list("estimate")).alias("_e"))
     sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_units"))

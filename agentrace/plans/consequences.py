@@ -282,6 +282,32 @@ draws AS (SELECT {keys}, b, ((x2 * x2 + y0) % {p}) % n AS j FROM d2),
 est AS (SELECT {keys}, b, avg(v) AS e FROM draws JOIN bidx USING ({keys}, j) GROUP BY ALL)"""
 
 
+def sliced_boot_sql(values: str, keys: str, unit: str, value: str, replicates: int, size: int) -> str:
+    """Means of resamples whose draws pick a slice of ``size`` units first and a unit of it then."""
+    p = stats.PRIME
+
+    def steps(name: str, source: str, kept: str, start: str, draw: str, n: str) -> str:
+        return f"""
+{name}0 AS (SELECT {keys}, b, {kept}, {n} AS _n, {draw} AS _t, (b * 2654435 + {start}) % {p} AS y0 FROM {source}),
+{name}1 AS (SELECT *, (y0 * y0 + 12345) % {p} AS y1 FROM {name}0),
+{name}2 AS (SELECT *, (((y1 * 48271 + b) % {p}) + _t * 40503) % {p} AS x0 FROM {name}1),
+{name}3 AS (SELECT *, (x0 * x0 + y1) % {p} AS x1 FROM {name}2),
+{name}4 AS (SELECT *, (x1 * 48271 + x0) % {p} AS x2 FROM {name}3),
+{name} AS (SELECT {keys}, b, {kept}, ((x2 * x2 + y0) % {p}) % _n AS j FROM {name}4)"""
+
+    start = f"('0x' || substr(md5(concat_ws('|', {keys})), 1, 7))::BIGINT"
+    return f"""
+bidx AS (SELECT {keys}, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY substr(md5({unit}), 1, 2), {unit}) - 1 AS j,
+              count(*) OVER (PARTITION BY {keys}) AS n FROM {values}),
+slots AS (SELECT {keys}, any_value(n) AS n FROM bidx GROUP BY ALL),
+bslots AS (SELECT {keys}, n, b, unnest(range(n)) AS i FROM slots, range({replicates}) r(b)),{steps("bouter", "bslots", "n", f"{start} + {stats.OUTER}", "i", "n")},
+dealt AS (SELECT {keys}, b, CASE WHEN n <= {size} THEN 0 ELSE j // {size} END AS s, count(*) AS c FROM bouter GROUP BY ALL),
+bslice AS (SELECT {keys}, j // {size} AS s, count(*) AS m FROM bidx GROUP BY ALL),
+bdraws AS (SELECT {keys}, b, s, m, unnest(range(c)) AS t FROM dealt JOIN bslice USING ({keys}, s)),{steps("binner", "bdraws", "s", f"{start} + s * {stats.INNER}", "t", "m")},
+drawn AS (SELECT {keys}, b, s * {size} + j AS j FROM binner),
+est AS (SELECT {keys}, b, avg(v) AS e FROM drawn JOIN bidx USING ({keys}, j) GROUP BY ALL)"""
+
+
 @query(
     "bootstrap_ci_percentile",
     f"""WITH {RATES}, {boot_sql("ptask", "dataset, model, family", "task_id", "delta", 10000)}

@@ -165,6 +165,28 @@ def output_similarity_means(spark, sf_dir):
     return J.output_means(keyed, baseline, ["dataset", "model"])
 
 
+OUTPUT_DELTAS = f"""{JUDGED}, pt AS (SELECT model, task_id, family, avg(output_sv) - any_value(output_baseline) AS delta FROM jscore GROUP BY ALL)"""
+UNITS_A_SLICE = 8
+
+
+@query(
+    "output_delta_intervals",
+    f"""WITH {OUTPUT_DELTAS}, {CQ.sliced_boot_sql("pt", "model, family", "task_id", "delta", 10000, UNITS_A_SLICE)},
+    ends AS (SELECT model, family, (list_sort(list(e)))[251] AS lo, (list_sort(list(e)))[9750] AS hi FROM est GROUP BY ALL)
+    SELECT model, family, n AS n_units, CASE WHEN n >= 2 THEN round(lo, 9) END AS ci_low, CASE WHEN n >= 2 THEN round(hi, 9) END AS ci_high,
+      n >= 2 AND (lo > 0 OR hi < 0) AS significant FROM ends JOIN slots USING (model, family)""",
+)
+def output_delta_intervals(spark, sf_dir):
+    """Interval of variant minus baseline over 10,000 resamples of the tasks, in slices of eight."""
+    scores, baseline = score_tables(runs_base(spark, sf_dir))
+    deltas = J.task_deltas(scores, baseline, ["model", "family"])
+    ci = stats.bootstrap_ci_order_stat(
+        deltas, ["model", "family"], "task_id", "delta", 10000, slice_size=UNITS_A_SLICE
+    )
+    significant = F.coalesce(stats.excludes_zero(F.col("ci_low"), F.col("ci_high")), F.lit(False))
+    return ci.withColumn("significant", significant)
+
+
 GRAPH_OUTPUT = f"""{S.VARIANTS}, {JUDGED.split(S.BASE + ",", 1)[1].replace("src AS", "jsrc AS").replace("JOIN src s", "JOIN jsrc s")},
 go AS (SELECT {S.DATASET} AS dataset, model, task_id, family, form, round(source_internal_mean, 9) AS graph_baseline, round(source_variant_mean, 9) AS graph_sv,
    round(output_baseline, 9) AS output_baseline, round(output_sv, 9) AS output_sv, round(output_vv, 9) AS output_vv

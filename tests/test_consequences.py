@@ -1,5 +1,6 @@
 """Closed forms against pair enumeration, phrases across payloads, statistics."""
 
+import hashlib
 import itertools
 import random
 import statistics
@@ -123,3 +124,41 @@ def test_quantiles_and_ranks(spark):
     rank = lambda xs: [sum(o < x for o in xs) + (sum(o == x for o in xs) + 1) / 2 for x in xs]
     ys = [1 - v if i % 3 else v for i, v in enumerate(values)]
     assert abs(rho - statistics.correlation(rank(values), rank(ys))) < 1e-9
+
+
+def drawn(start, replicate, draw, n):
+    p = stats.PRIME
+    y0 = (replicate * 2654435 + start) % p
+    y1 = (y0 * y0 + 12345) % p
+    y2 = (y1 * 48271 + replicate) % p
+    x0 = (y2 + draw * 40503) % p
+    x1 = (x0 * x0 + y1) % p
+    x2 = (x1 * 48271 + x0) % p
+    return ((x2 * x2 + y0) % p) % n
+
+
+def test_bootstrap_over_several_slices(spark):
+    units = {"g": [float(i * i) for i in range(23)], "h": [1.0, None, 5.0], "none": [None]}
+    rows = [(g, f"u{i}", v) for g, vs in units.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "g string, u string, v double")
+    size, replicates = 5, 600
+    got = {
+        (r.g, r.replicate): r.estimate
+        for r in stats.bootstrap_means(df.repartition(3), ["g"], "u", "v", replicates, slice_size=size).collect()
+    }
+    assert len(got) == len(units) * replicates
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    for g, vs in units.items():
+        order = sorted(range(len(vs)), key=lambda i: (md5(f"u{i}")[:2], f"u{i}"))
+        placed, start, n = [vs[i] for i in order], int(md5(g)[:7], 16), len(vs)
+        for b in range(replicates):
+            parts = [drawn(start + stats.OUTER, b, i, n) // size if n > size else 0 for i in range(n)]
+            sample = []
+            for s in set(parts):
+                values = placed[s * size : (s + 1) * size]
+                sample += [values[drawn(start + s * stats.INNER, b, t, len(values))] for t in range(parts.count(s))]
+            present = [v for v in sample if v is not None]
+            want = statistics.fmean(present) if present else None
+            assert got[g, b] == want or abs(got[g, b] - want) < 1e-9
+    empty = df.filter("false")
+    assert stats.bootstrap_means(empty, ["g"], "u", "v", 10).count() == 0
