@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A character of a word, and any other character.
+WORD = r"[\p{L}\p{N}_]"
+NO_WORD = r"[^\p{L}\p{N}_]"
+
 
 def slug(value: Column) -> Column:
     """Lower-case identifier with every other run of characters turned into one underscore."""

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import statistics
 
 from pyspark.sql import functions as F
@@ -55,8 +56,8 @@ def test_phrases_may_span_payloads(spark):
     )
     items = ["to ann lee", "Ann Lee", "item 5", "lee now item 55", "nn", "send to"]
     ann = spark.createDataFrame([("t", items)], "task_id string, items array<string>")
-    for chunk in (1, 2, 100):
-        got = {r.item for r in C.phrase_hits(texts, ann, "items", ["task_id"], "payload", chunk=chunk).collect()}
+    for parts in (1, 3, 100):
+        got = {r.item for r in C.phrase_hits(texts, ann, "items", ["task_id"], "payload", parts=parts).collect()}
         assert got == {"to ann lee", "Ann Lee", "lee now item 55", "send to"}
 
 
@@ -68,16 +69,49 @@ def test_phrases_end_where_long_payloads_are_cut(spark):
     # 'to ann lee' is the longest: heads end after 'call up ann', before 'exe'.
     found = ["to ann lee", "hi call up", "or lee will", "more words"]
     missing = ["ann or", "up ann", "call up ann", "ann o", "up ann or"]
-    for chunk in (1, 2, 100):
+    for parts in (1, 3, 100):
         for items in (["ann call", "to ann lee", *missing[:2]], found + missing):
             ann = spark.createDataFrame([("t", items)], "task_id string, items array<string>")
-            got = {r.item for r in C.phrase_hits(texts, ann, "items", ["task_id"], "payload", chunk=chunk).collect()}
+            got = {r.item for r in C.phrase_hits(texts, ann, "items", ["task_id"], "payload", parts=parts).collect()}
             assert got == set(items) & set(found)
     # Lower case is longer than the item as given.
     ann = spark.createDataFrame([("t", ["x İİİİİİ"])], "task_id string, items array<string>")
     assert C.phrase_hits(texts, ann, "items", ["task_id"], "payload").count() == 1
 
 
+def test_phrase_index_equals_patterns(spark):
+    """Random texts and items of words and marks, against a pattern over the joined texts of a run."""
+    rng = random.Random(11)
+    words = ["a", "b", "ab", "A", "5", "é", "_x"]
+    marks = [" ", "  ", ".", "-", "+", ". ", " .", "\t", "\u0301"]
+    piece = lambda n: "".join(rng.choice(words) + rng.choice(marks) if rng.random() < 0.8 else rng.choice(marks) for _ in range(n))
+    rows, notes = [], []
+    for task in range(4):
+        notes.append((f"t{task}", [piece(rng.randrange(1, 5)) for _ in range(60)] + ["", " ", ".", "a", "absent word"]))
+        for run in range(3):
+            rows += [(f"t{task}", run, at * 7, piece(rng.randrange(0, 9))) for at in range(rng.randrange(1, 8))]
+    rows.append(("t0", 0, 10**6, None))
+    texts = spark.createDataFrame(rows, "task_id string, repeat int, event_id long, payload string")
+    notes.append(("no texts", ["a"]))
+    ann = spark.createDataFrame([*notes, ("no items", []), ("null items", None)], "task_id string, items array<string>")
+    squash = lambda t: re.sub(r"\s+", " ", t).strip().lower()
+    want = set()
+    for task, items in notes:
+        for run in range(3):
+            mine = sorted((e, p) for t, r, e, p in rows if t == task and r == run and p)
+            whole = " ".join(t for t in (squash(p) for _, p in mine) if t)
+            for item in items:
+                plain = re.escape(squash(item))
+                if plain and re.search(rf"(?<!\w){plain}(?!\w)", whole):
+                    want.add((task, run, item))
+    assert len(want) > 100
+    for parts in (1, 7):
+        got = C.phrase_hits(texts, ann, "items", ["task_id", "repeat"], "payload", parts=parts).collect()
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
+    assert C.phrase_hits(texts.filter("false"), ann, "items", ["task_id", "repeat"], "payload").count() == 0
+    assert C.phrase_hits(texts, ann.filter("false"), "items", ["task_id", "repeat"], "payload").count() == 0
+
+
 def test_permission_indicators_without_requests(spark):
     keys = ["task_id", "repeat"]
     runs = spark.createDataFrame([("t", 0, "ok"), ("t", 1, "ok")], "task_id string, repeat int, status string")
