@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agentrace.operators.ordered import global_rank
-
 SUCCESS = ("success", "successful", "ok")
 FAILED = r"^(?:error:|error |failed:|execution failed)"
 SEARCH_TOKEN = r"-?[0-9]+(?:\.[0-9]+)?|[\p{L}\p{N}]+"
@@ -173,14 +171,78 @@ def token_search(records: DataFrame, queries: DataFrame, record_id: str, text: s
     )
 
 
+#: Stands for "no arguments" in the postings of arguments; no search token is empty.
+BARE = ""
+
+
+def call_search(tools: DataFrame, calls: DataFrame, queries: DataFrame) -> DataFrame:
+    """Recorded calls (query_id, call_id) whose tool and arguments hold all tokens of both fields.
+
+    ``tools`` has tool_id and text, ``calls`` call_id, tool_id and arguments (JSON), ``queries`` query_id,
+    query and argument_query; ids are unique. A call without arguments meets any argument query, an
+    empty or NULL field asks for nothing; a query that asks for nothing at all matches every call, which
+    the caller gets by reading them.
+
+    Tools are searched first. Arguments are then looked up by the rarest token of a query, counted
+    within each tool it found, or over all calls where it names no tool; only what is found there is
+    checked for the other tokens.
+    """
+    asked_tokens = lambda c: F.array_distinct(search_tokens(F.coalesce(F.col(c), F.lit(""))))
+    asked = queries.select(
+        "query_id", "query", asked_tokens("query").alias("_named"), asked_tokens("argument_query").alias("_wanted")
+    )
+    names_tool, names_arguments = F.size("_named") > 0, F.size("_wanted") > 0
+    bare = F.coalesce(F.btrim("arguments").isin("", "{}"), F.lit(True))
+    none = F.array().cast("array<string>")
+    words = calls.select(
+        "call_id",
+        "tool_id",
+        bare.alias("_bare"),
+        F.when(bare, none).otherwise(F.array_distinct(search_tokens(F.col("arguments")))).alias("_words"),
+    )
+    postings = words.select(
+        "call_id", "tool_id", F.explode(F.when(F.col("_bare"), F.array(F.lit(BARE))).otherwise(F.col("_words"))).alias("token")
+    )
+    tool_hits = token_search(tools, asked.filter(names_tool), "tool_id", "text").join(
+        asked.select("query_id", "_wanted"), "query_id"
+    )
+    of_tools = tool_hits.filter(~names_arguments).join(words, "tool_id").select("query_id", "call_id")
+
+    def by_arguments(wanted: DataFrame, scope: list[str]) -> DataFrame:
+        counts = postings.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("_calls"))
+        rarest = (
+            wanted.select("query_id", *scope, F.explode("_wanted").alias("token"))
+            .join(counts, [*scope, "token"], "left")
+            .groupBy("query_id", *scope)
+            .agg(F.min_by("token", F.struct(F.coalesce("_calls", F.lit(0)), "token")).alias("token"))
+        )
+        anchors = rarest.select("query_id", *scope, F.explode(F.array("token", F.lit(BARE))).alias("token"))
+        return anchors.join(postings, [*scope, "token"]).select("query_id", "call_id")
+
+    candidates = by_arguments(tool_hits.filter(names_arguments), ["tool_id"]).unionAll(
+        by_arguments(asked.filter(~names_tool & names_arguments), [])
+    )
+    checked = (
+        candidates.join(words.drop("tool_id"), "call_id")
+        .join(asked.select("query_id", "_wanted"), "query_id")
+        .filter(F.col("_bare") | (F.size(F.array_except("_wanted", "_words")) == 0))
+        .select("query_id", "call_id")
+    )
+    return of_tools.unionAll(checked)
+
+
 def search_page(matches: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFrame:
-    """One page of sorted matches of a single query, with the total number of matches."""
+    """One page of sorted matches of a single query, with the total number of matches.
+
+    Every task keeps its first ``offset + limit`` rows only, so the matches are neither sorted nor stored
+    as a whole. ``order`` must be total.
+    """
     if offset < 0 or limit < 1:
         raise ValueError("offset must not be negative and limit must be positive")
-    ranked = global_rank(matches, [F.asc(c) for c in order], "position")
+    first = matches.orderBy(*order).limit(offset + limit)
+    ranked = first.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
     total = matches.agg(F.count(F.lit(1)).alias("total"))
-    page = ranked.filter((F.col("position") > offset) & (F.col("position") <= offset + limit))
-    return page.withColumn("total", total.scalar())
+    return ranked.filter(F.col("position") > offset).withColumn("total", total.scalar())
 
 
 def manifest_counters(calls: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agentrace.operators import library as LB
@@ -36,7 +36,7 @@ def tools_table(spark, sf_dir) -> DataFrame:
     )
 
 
-def calls_table(spark, sf_dir) -> DataFrame:
+def calls_table(spark, sf_dir, *more: Column) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     order, part = F.col("l_orderkey"), F.col("l_partkey")
     required = F.array(F.struct(F.lit("unit").alias("name"), F.lit("0").alias("value")))
@@ -63,6 +63,7 @@ def calls_table(spark, sf_dir) -> DataFrame:
         LB.canonical_map(LB.flat_parameters(required, optional)).alias("args"),
         output.alias("output"),
         F.when(order % 10 == 7, "FAILED").when(order % 10 == 6, "Success").alias("status"),
+        *more,
     ).withColumn("usable", LB.usable_response(F.col("output"), F.col("status")))
 
 
@@ -180,6 +181,62 @@ def search_page(spark, sf_dir):
     return LB.search_page(tools.select("tool_name", "record", "description"), ["tool_name", "record"], 15, 15)
 
 
+# Each part is a tool, its lines' distinct arguments are calls of it; every 13th order's calls have no arguments. Each name is asked
+# for with a quantity or none, each size as a quantity, with a flag, of any tool.
+ASKED = f"""tl AS MATERIALIZED (SELECT p_partkey AS tool_id, {TOK.format(x="'tool ' || (p_partkey % 7) || ' ' || p_name")} AS words FROM part),
+cl AS MATERIALIZED (SELECT *, sha256(tool_id || '|' || arguments) AS call_id, {TOK.format(x="arguments")} AS words FROM (
+  SELECT DISTINCT l_partkey AS tool_id, CASE WHEN l_orderkey % 13 = 0 THEN '{{}}' ELSE '{{"qty":' || l_quantity::INTEGER || ',"unit":"' || l_returnflag || '"}}' END AS arguments FROM lineitem)),
+q AS MATERIALIZED (SELECT query_id, {TOK.format(x="coalesce(query, '')")} AS named, {TOK.format(x="argument_query")} AS wanted FROM (
+  SELECT 'n' || p_name AS query_id, p_name AS query, CASE WHEN min(p_size) % 3 = 0 THEN '' ELSE min(p_size) || ' QTY' END AS argument_query FROM part GROUP BY p_name
+  UNION ALL SELECT DISTINCT 's' || p_size, NULL, p_size || ' r' FROM part)),
+qt AS MATERIALIZED (SELECT query_id, tool_id, wanted FROM q JOIN tl ON list_has_all(tl.words, named)),
+found AS (SELECT query_id, call_id, tool_id, arguments FROM qt JOIN cl USING (tool_id) WHERE arguments = '{{}}' OR list_has_all(cl.words, wanted))"""
+
+
+def asked_library(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tools, their recorded calls, and two-field queries, from parts and lines."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    part = table(spark, sf_dir, "part")
+    tools = part.select(
+        key.alias("tool_id"), F.concat_ws(" ", F.lit("tool"), (key % 7).cast("string"), "p_name").alias("text")
+    )
+    arguments = F.when(F.col("l_orderkey") % 13 == 0, "{}").otherwise(F.col("args")).alias("arguments")
+    calls = (
+        calls_table(spark, sf_dir, F.col("l_partkey").alias("tool_id"))
+        .select("tool_id", arguments)
+        .distinct()
+        .withColumn("call_id", LB.call_key(F.col("tool_id").cast("string"), F.col("arguments")))
+    )
+    least = F.min("p_size")
+    of_name = part.groupBy("p_name").agg(
+        F.when(least % 3 == 0, "").otherwise(F.concat(least.cast("string"), F.lit(" QTY"))).alias("argument_query")
+    ).select(F.concat(F.lit("n"), "p_name").alias("query_id"), F.col("p_name").alias("query"), "argument_query")
+    of_size = part.select("p_size").distinct().select(
+        F.concat(F.lit("s"), size).alias("query_id"),
+        F.lit(None).cast("string").alias("query"),
+        F.concat(size, F.lit(" r")).alias("argument_query"),
+    )
+    return tools, calls, of_name.unionByName(of_size)
+
+
+@query("call_argument_search", f"WITH {ASKED} SELECT query_id, call_id FROM found")
+def call_argument_search(spark, sf_dir):
+    return LB.call_search(*asked_library(spark, sf_dir))
+
+
+@query(
+    "call_argument_page",
+    f"""WITH {ASKED}, one AS (SELECT arguments, call_id, tool_id FROM found WHERE query_id = 's7')
+    SELECT *, row_number() OVER (ORDER BY arguments, call_id) AS position, count(*) OVER () AS total FROM one
+    QUALIFY position > 30 AND position <= 60""",
+)
+def call_argument_page(spark, sf_dir):
+    """The second page of thirty calls that a query finds, by their arguments."""
+    tools, calls, queries = asked_library(spark, sf_dir)
+    matches = LB.call_search(tools, calls, queries.filter("query_id = 's7'")).join(calls, "call_id")
+    return LB.search_page(matches.select("arguments", "call_id", "tool_id"), ["arguments", "call_id"], 30, 30)
+
+
 @query(
     "reference_overlap",
     f"""WITH {CALLS}, e AS (SELECT l_orderkey, tool_name || args AS item, count(*) AS e FROM us WHERE l_linenumber <= 4 GROUP BY ALL),

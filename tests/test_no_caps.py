@@ -1,6 +1,7 @@
 """Nothing is cut off: sentences, paths, calls of a step, repeats, long logs."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,26 @@ def test_rarest_token_search(spark):
     queries = spark.createDataFrame([(1, "common t3"), (2, "r7 common"), (3, "absent common")], "query_id long, query string")
     got = {(r.query_id, r.record) for r in library.token_search(records, queries, "record", "text").collect()}
     assert got == {(1, i) for i in range(3, 50, 5)} | {(2, 7)}
+
+
+def test_calls_are_found_by_both_fields(spark):
+    tools = spark.createDataFrame([(1, "mail Send"), (2, "mail read"), (3, "")], "tool_id long, text string")
+    bodies = ['{"to":"ann","n":-5}', '{"to":"bob"}', "{}", None, '{"":""}', '{"to":"ann"}']
+    rows = [(f"c{t}{i}", t, b) for t in (1, 2, 3) for i, b in enumerate(bodies)]
+    calls = spark.createDataFrame(rows, "call_id string, tool_id long, arguments string")
+    asked = [("a", "MAIL", "to ann"), ("b", "mail send", None), ("c", None, "-5 n"), ("d", "", "to to absent"),
+             ("e", "absent", "to"), ("f", "", ""), ("g", "read", "5")]
+    queries = spark.createDataFrame(asked, "query_id string, query string, argument_query string")
+    words = lambda x: set(re.findall(r"-?\d+|[a-z]+", (x or "").lower()))
+    texts = {1: "mail Send", 2: "mail read", 3: ""}
+    want = {
+        (q, c) for q, named, args in asked for c, t, b in rows
+        if (words(named) or words(args)) and words(named) <= words(texts[t])
+        and (b in (None, "{}") or words(args) <= words(b))
+    }
+    got = [tuple(r) for r in library.call_search(tools, calls, queries).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    assert library.call_search(tools, calls.filter("false"), queries).count() == 0
+    page = library.search_page(calls, ["arguments", "call_id"], 4, 3).orderBy("position").collect()
+    order = sorted(rows, key=lambda r: (r[2] is not None, r[2] or "", r[0]))
+    assert [(r.call_id, r.position, r.total) for r in page] == [(order[i][0], i + 1, 18) for i in (4, 5, 6)]
