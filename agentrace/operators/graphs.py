@@ -11,6 +11,7 @@ once, because nodes, edges and every kernel iteration read them again.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from agentrace.operators.logs import (
     invocations,
     operations,
 )
-from agentrace.operators.ordered import running
+from agentrace.operators.ordered import running, with_compact_key
 from agentrace.session import materialize
 
 PRECEDES = "DIRECTLY_PRECEDES"
@@ -256,6 +257,52 @@ def project(
     return kept_nodes, kept
 
 
+def project_views(
+    nodes: DataFrame, edges: DataFrame, keys: Sequence[str], dimensions: Sequence[str] = DIMENSIONS
+) -> tuple[DataFrame, DataFrame]:
+    """The projections of ``project`` as views of one graph: bit i of ``views`` is ``dimensions[i]``.
+
+    Edges and nodes stay single rows. What an edge needs to know of its ends are the bits of the
+    dimensions that select them, looked up once for either end.
+    """
+    own = ["_k1", "_k2"]
+    bit = {dim: 1 << i for i, dim in enumerate(dimensions)}
+    mask = lambda parts: reduce(Column.bitwiseOR, parts, F.lit(0))
+    primary = mask(F.when(primary_relation(F.col("relation"), d), bit[d]).otherwise(0) for d in dimensions)
+    tool = F.lit(bit.get("tool", 0))
+    edges = with_compact_key(edges, keys).withColumn("_primary", primary)
+    nodes = with_compact_key(nodes, keys)
+
+    ends = F.explode(F.array("src", "dst"))
+    endpoints = edges.select(*own, "_primary", ends.alias("_op")).filter(F.col("_op").startswith("op:"))
+    every_op = nodes.filter(F.col("label").startswith("op:")).select(*own, tool.alias("_m"), F.col("node_id").alias("_op"))
+    selected = (
+        endpoints.select(*own, F.col("_primary").bitwiseAND(F.bitwise_not(tool)).alias("_m"), "_op")
+        .filter("_m <> 0")
+        .unionByName(every_op)
+        .groupBy(*own, "_op")
+        .agg(F.bit_or("_m").alias("_m"))
+    )
+    end = lambda c: selected.select(*own, F.col("_op").alias(c), F.col("_m").alias(f"_{c}"))
+    bits = lambda c: F.coalesce(F.col(c), F.lit(0))
+    context = F.when(F.col("relation") == "USES", bits("_src")).when(
+        F.col("relation") == PRECEDES, bits("_src").bitwiseAND(bits("_dst"))
+    )
+    kept = (
+        edges.join(end("src"), [*own, "src"], "left")
+        .join(end("dst"), [*own, "dst"], "left")
+        .withColumn("views", F.col("_primary").bitwiseOR(F.coalesce(context, F.lit(0))))
+        .filter("views <> 0")
+        .select(*keys, *own, "src", "dst", "relation", "views")
+    )
+    kept = materialize(kept, "projection")
+    touched = kept.select(*own, "views", ends.alias("node_id"))
+    ops = every_op.filter("_m <> 0").select(*own, F.col("_m").alias("views"), F.col("_op").alias("node_id"))
+    of_nodes = touched.unionByName(ops).groupBy(*own, "node_id").agg(F.bit_or("views").alias("views"))
+    kept_nodes = nodes.join(of_nodes, [*own, "node_id"]).select(*keys, "node_id", "label", "views")
+    return kept_nodes, kept.drop(*own)
+
+
 def validation_report(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Graphs that break the structural rules: a node with two labels, an edge without node."""
     conflicts = (

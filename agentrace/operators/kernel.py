@@ -32,37 +32,55 @@ PAIRS_ACROSS = tuple((i, j) for i in range(REPEATS) for j in range(REPEATS))
 
 
 def _half_edges(edges: DataFrame, graph: Sequence[str]) -> DataFrame:
-    """Both directions of every edge: ``_node`` gets a message of ``_nbr``."""
+    """Both directions of every edge: ``_node`` gets a message of ``_nbr``; ``views`` stay if there are any."""
     end = lambda c: F.xxhash64(c)
     one = lambda node, nbr, tag: F.struct(
         end(node).alias("_node"), end(nbr).alias("_nbr"), F.xxhash64(F.lit(tag), "relation").alias("tag")
     )
-    return edges.select(*graph, F.inline(F.array(one("src", "dst", "OUT"), one("dst", "src", "IN"))))
+    kept = [c for c in (*graph, "views") if c in edges.columns]
+    return edges.select(*kept, F.inline(F.array(one("src", "dst", "OUT"), one("dst", "src", "IN"))))
 
 
-def _relabelled(nodes: DataFrame, half: DataFrame, graph: Sequence[str], keep: Sequence[str], h: int) -> DataFrame:
+def _in_view(masks: Column, view: int) -> Column:
+    return masks.bitwiseAND(F.lit(1 << view)) != 0
+
+
+def _label(view: int, i: int) -> str:
+    """All views of a graph begin with the same label."""
+    return f"l{i}_{view}" if i and view else f"l{i}"
+
+
+def _relabelled(
+    nodes: DataFrame, half: DataFrame, graph: Sequence[str], keep: Sequence[str], h: int, views: int = 1
+) -> DataFrame:
     """Labels ``l0 … lh`` of ``nodes``, which have the columns of ``graph``, ``keep``, ``_node`` and ``l0``.
 
     Only longs travel along edges; the labels of a round come out dealt by (graph, node), which is
-    how the next round needs them on both sides.
+    how the next round needs them on both sides. With several views, nodes and half-edges tell by
+    the bits of ``views`` which of them they belong to; a message then carries the labels of all
+    views, so that a round costs one exchange of the edges whatever the number of views.
     """
     graph, labels = list(graph), nodes
+    masks = ["views"] if views > 1 else []
     for i in range(1, h + 1):
-        prev = f"l{i - 1}"
-        message = F.xxhash64("tag", prev)
-        sums = (
-            half.join(labels.select(*graph, F.col("_node").alias("_nbr"), prev), [*graph, "_nbr"])
-            .groupBy(*graph, "_node")
-            .agg(
-                F.sum(F.shiftrightunsigned(message, 32)).alias("hi"),
-                F.sum(message.bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo"),
-                F.count(F.lit(1)).alias("deg"),
-            )
-        )
-        new = F.xxhash64(prev, *[F.coalesce(c, F.lit(0)) for c in ("hi", "lo", "deg")])
-        labels = labels.join(sums, [*graph, "_node"], "left").select(
-            *keep, *graph, "_node", *[f"l{j}" for j in range(i)], new.alias(f"l{i}")
-        )
+        prev = list(dict.fromkeys(_label(v, i - 1) for v in range(views)))
+        sent = labels.select(*graph, F.col("_node").alias("_nbr"), *prev, *[F.col(m).alias("_of") for m in masks])
+        sums = []
+        for v in range(views):
+            along = _in_view(F.col("views").bitwiseAND(F.col("_of")), v) if masks else F.lit(True)
+            message = F.xxhash64("tag", _label(v, i - 1))
+            sums += [
+                F.sum(F.when(along, F.shiftrightunsigned(message, 32))).alias(f"hi{v}"),
+                F.sum(F.when(along, message.bitwiseAND(F.lit(0xFFFFFFFF)))).alias(f"lo{v}"),
+                F.count_if(along).alias(f"deg{v}"),
+            ]
+        received = half.join(sent, [*graph, "_nbr"]).groupBy(*graph, "_node").agg(*sums)
+        new = [
+            F.xxhash64(_label(v, i - 1), *[F.coalesce(c, F.lit(0)) for c in (f"hi{v}", f"lo{v}", f"deg{v}")]).alias(_label(v, i))
+            for v in range(views)
+        ]
+        known = dict.fromkeys(_label(v, j) for j in range(i) for v in range(views))
+        labels = labels.join(received, [*graph, "_node"], "left").select(*keep, *graph, *masks, "_node", *known, *new)
     return labels
 
 
@@ -73,7 +91,7 @@ def wl_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], h: int =
     shuffles carry four longs per half-edge; the key columns stay with the node rows.
     """
     graph = ["_k1", "_k2"]
-    half = _half_edges(with_compact_key(edges, keys), graph)
+    half = _half_edges(with_compact_key(edges, keys).drop("views"), graph)
     first = with_compact_key(nodes, keys).select(
         *keys, *graph, F.xxhash64("node_id").alias("_node"), F.xxhash64("label").alias("l0")
     )
@@ -98,21 +116,24 @@ def wl_features(
     return _listed(wl_labels(nodes, edges, keys, h), keys, h)
 
 
-def distinct_graphs(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+def distinct_graphs(
+    nodes: DataFrame, edges: DataFrame, keys: Sequence[str], also: Sequence[str] = ()
+) -> DataFrame:
     """One row per graph: its key, its content ``g1, g2``, and whether it ``stands`` for that content.
 
     The content is 128 bits of sums of hashes of all nodes and edges, so it needs no order and its
     parts are combined before the shuffle. Of graphs with equal content, one stands for all.
+    ``also`` names columns that nodes and edges have and that count as content.
     """
     part = lambda *c: [f for seed in (1, 2) for f in _lanes(F.lit(seed), *c)]
     lanes = [f"_s{i}" for i in range(4)]
     named = lambda hashes: [x.alias(n) for x, n in zip(hashes, lanes)]
     name = F.struct(*keys)
     of_nodes = with_compact_key(nodes, keys).select(
-        "_k1", "_k2", name.alias("_key"), F.lit(1).alias("_n"), *named(part(F.lit("n"), "node_id", "label"))
+        "_k1", "_k2", name.alias("_key"), F.lit(1).alias("_n"), *named(part(F.lit("n"), "node_id", "label", *also))
     )
     of_edges = with_compact_key(edges, keys).select(
-        "_k1", "_k2", name.alias("_key"), F.lit(0).alias("_n"), *named(part(F.lit("e"), "src", "dst", "relation"))
+        "_k1", "_k2", name.alias("_key"), F.lit(0).alias("_n"), *named(part(F.lit("e"), "src", "dst", "relation", *also))
     )
     summed = (
         of_nodes.unionByName(of_edges)
@@ -136,11 +157,42 @@ def shared_features(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], h:
     content, own = ["g1", "g2"], ["_k1", "_k2"]
     stands = lambda df: with_compact_key(df, keys).join(first, own)
     labels = stands(nodes).select(*content, F.xxhash64("node_id").alias("_node"), F.xxhash64("label").alias("l0"))
-    labels = _relabelled(labels, _half_edges(stands(edges), content), content, [], h)
+    labels = _relabelled(labels, _half_edges(stands(edges).drop("views"), content), content, [], h)
     features = _listed(labels, content, h).groupBy(*content, "iteration", "feature").agg(F.count("*").alias("n"))
     return graphs, materialize(features, "features")
 
 
+def view_features(
+    nodes: DataFrame, edges: DataFrame, keys: Sequence[str], views: Sequence[str], name: str = "view", h: int = 2
+) -> tuple[DataFrame, DataFrame]:
+    """The content of every graph, and ``iteration, feature, n`` of every content and view.
+
+    A view is a part of a graph: bit i of the integer ``views`` of a node or edge tells whether it
+    belongs to ``views[i]``, whose name is in column ``name`` of the features. All views of a graph
+    are labelled by one run of the kernel, each with the labels that it would have alone: a
+    message counts for a view if the edge and the node it comes from belong to it.
+    """
+    masked = lambda df: df.withColumn("views", F.col("views").cast("int"))
+    nodes, edges = masked(nodes), masked(edges)
+    graphs = materialize(distinct_graphs(nodes, edges, keys, ["views"]), "graphs")
+    first = graphs.where("stands").select("_k1", "_k2", "g1", "g2")
+    content = ["g1", "g2"]
+    stands = lambda df: with_compact_key(df, keys).join(first, ["_k1", "_k2"])
+    labels = stands(nodes).select(*content, "views", F.xxhash64("node_id").alias("_node"), F.xxhash64("label").alias("l0"))
+    labels = _relabelled(labels, _half_edges(stands(edges), content), content, [], h, len(views))
+    listed = [
+        F.when(
+            _in_view(F.col("views"), v),
+            F.struct(F.lit(view).alias(name), F.lit(i).alias("iteration"), F.col(_label(v, i)).alias("feature")),
+        )
+        for v, view in enumerate(views)
+        for i in range(h + 1)
+    ]
+    rows = labels.select(*content, F.inline(F.array_compact(F.array(*listed))))
+    features = rows.groupBy(*content, name, "iteration", "feature").agg(F.count("*").alias("n"))
+    return graphs, materialize(features, "features")
+
+
 def form_vectors(features: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Feature counts of the (at most three) repeats of a form, side by side in one row.
 
@@ -151,8 +203,8 @@ def form_vectors(features: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def shared_vectors(graphs: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same from the tables of ``shared_features``."""
-    forms = graphs.select(*keys, "repeat", "g1", "g2")
+    """The same from the tables of ``shared_features``, or of ``view_features`` with the view as a key."""
+    forms = graphs.select(*[k for k in keys if k in graphs.columns], "repeat", "g1", "g2")
     return _vectors(forms.join(features, ["g1", "g2"]), keys)
 
 

@@ -360,17 +360,18 @@ FOOTPRINT = (
     FROM pairs_f f JOIN pairs_t t USING (model, task_id, family, form, comparison, left_repeat, right_repeat)""",
 )
 def footprint_vs_trajectory(spark, sf_dir):
-    """Order-free and order-aware similarity from one pass over graphs tagged by view."""
+    """Order-free and order-aware similarity: two views of each graph, labelled by one run of the kernel."""
     base, nodes, edges = tool_graph(spark, sf_dir)
-    views = F.array(F.lit("footprint"), F.lit("trajectory"))
-    vn = nodes.withColumn("view", F.explode(views))
-    ve = edges.withColumn("view", F.explode(views)).filter(
-        (F.col("view") == "trajectory") | (F.col("relation") != graphs.PRECEDES)
-    )
-    keys = [*RUN_KEYS, "view"]
+    views = ("trajectory", "footprint")
     task = [*TASK_KEYS, "view"]
-    vectors = kernel.shared_vectors(*kernel.shared_features(vn, ve, keys), [*task, "family", "form"])
-    runs = base.select(*RUN_KEYS).withColumn("view", F.explode(views))
+    shared = kernel.view_features(
+        nodes.withColumn("views", F.lit(3)),
+        edges.withColumn("views", F.when(F.col("relation") == graphs.PRECEDES, 1).otherwise(3)),
+        RUN_KEYS,
+        views,
+    )
+    vectors = kernel.shared_vectors(*shared, [*task, "family", "form"])
+    runs = base.select(*RUN_KEYS).withColumn("view", F.explode(F.array(*[F.lit(v) for v in views])))
     pairs = kernel.pair_scores(vectors, runs, task)
     view = lambda v: F.max(F.when(F.col("view") == v, F.col("similarity")))
     return pairs.groupBy(*TASK_KEYS, "family", "form", "comparison", "left_repeat", "right_repeat").agg(
@@ -403,9 +404,9 @@ DIM_PROJECTION = PROJECTION.replace(S.SANDBOX_EDGES, "").replace("user_id", "rid
 def behavioral_similarity(spark, sf_dir):
     base = stored_runs(spark, sf_dir)
     nodes, edges = graphs.sandbox_graph(sandbox_log(base), RUN_KEYS)
-    pn, pe = graphs.project(nodes, edges, RUN_KEYS)
+    pn, pe = graphs.project_views(nodes, edges, RUN_KEYS)
     task = [*TASK_KEYS, "dimension"]
-    shared = kernel.shared_features(pn, pe, [*RUN_KEYS, "dimension"])
+    shared = kernel.view_features(pn, pe, RUN_KEYS, graphs.DIMENSIONS, "dimension")
     vectors = kernel.shared_vectors(*shared, [*task, "family", "form"])
     dims = F.array(*[F.lit(d) for d in graphs.DIMENSIONS])
     runs = base.select(*RUN_KEYS).withColumn("dimension", F.explode(dims))

@@ -136,3 +136,45 @@ def test_equal_graphs_share_their_features(spark):
     whole = shared.join(features, ["g1", "g2"]).select(*keys, "iteration", "feature", "n")
     each = kernel.wl_features(n, e, keys).groupBy(*keys, "iteration", "feature").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, each.collect()))
+
+
+def masked(df, views, name):
+    bits = F.array(*[F.struct(F.lit(v).alias(name), F.lit(1 << i).alias("_b")) for i, v in enumerate(views)])
+    rows = df.select("*", F.inline(bits)).filter(F.col("views").bitwiseAND(F.col("_b")) != 0)
+    return rows.drop("views", "_b")
+
+
+def sorted_rows(df):
+    return sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+
+
+def test_views_have_the_labels_they_have_alone(sample):
+    """Members of a view are drawn by hash, so edges also lead to nodes outside of their view."""
+    _, nodes, edges, _ = sample
+    views = ("a", "b", "c")
+    n = nodes.withColumn("views", F.pmod(F.xxhash64(*nodes.columns), F.lit(8)))
+    e = edges.withColumn("views", F.pmod(F.xxhash64(*edges.columns), F.lit(8)))
+    graphs_, features = kernel.view_features(n, e, KEYS, views)
+    got = graphs_.join(features, ["g1", "g2"]).select(*KEYS, "view", "iteration", "feature", "n")
+    alone = kernel.wl_features(masked(n, views, "view"), masked(e, views, "view"), [*KEYS, "view"])
+    want = alone.groupBy(*KEYS, "view", "iteration", "feature").agg(F.count("*").alias("n"))
+    assert want.count() > 0 and sorted_rows(got) == sorted_rows(want)
+
+
+def test_projection_views_equal_projections(spark):
+    keys = ["g"]
+    nodes = [("x", f"op:{i}", f"op:t{i}|outcome:ok") for i in range(5)]
+    nodes += [("x", n, n) for n in ("tool:t", "info:f", "perm:p", "alone:z")] + [("y", "op:0", "op:t|outcome:ok")]
+    edges = [("x", f"op:{i}", f"op:{i + 1}", graphs.PRECEDES) for i in range(4)]
+    edges += [("x", f"op:{i}", "tool:t", "USES") for i in range(5)]
+    edges += [("x", "op:0", "perm:p", "REQUESTS:once"), ("x", "op:1", "info:f", "READS"), ("x", "op:1", "info:f", "READS")]
+    edges += [("x", "op:2", "info:f", "DISCLOSES_TO"), ("x", "info:f", "perm:p", "ACCESSES"), ("x", "op:3", "alone:z", "OTHER")]
+    n = spark.createDataFrame(nodes, "g string, node_id string, label string")
+    e = spark.createDataFrame(edges, "g string, src string, dst string, relation string")
+    for dims in (graphs.DIMENSIONS, ("information",)):
+        vn, ve = graphs.project_views(n, e, keys, dims)
+        pn, pe = graphs.project(n, e, keys, dims)
+        assert sorted_rows(masked(ve, dims, "dimension")) == sorted_rows(pe)
+        assert sorted_rows(masked(vn, dims, "dimension")) == sorted_rows(pn)
+    empty = graphs.project_views(n.limit(0), e.limit(0), keys)
+    assert empty[0].count() == 0 and empty[1].count() == 0
