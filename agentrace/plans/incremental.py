@@ -26,22 +26,38 @@ def table_stream(spark, sf_dir: str, name: str):
     )
 
 
+ARRIVALS = 3
+
+
+def in_arrivals(spark, sf_dir: str, name: str, key: list[str], run) -> None:
+    """Let a table arrive in three parts, each of them followed by ``run(stream of the table)``.
+
+    Parts are drawn by a hash of ``key``, so rows come in another order than the table's.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    folder = new_folder(spark, name)
+    for part in range(ARRIVALS):
+        arrived = rows.filter(F.pmod(F.xxhash64(*key), F.lit(ARRIVALS)) == part)
+        arrived.write.mode("append").parquet(folder)
+        run(spark.readStream.schema(rows.schema).parquet(folder))
+
+
 UNFILTERED = CP.PHRASES.replace(f" HAVING count(*) >= {CP.MIN_COUNT}", "")
 
 
 @query("streaming_phrase_counts", f"WITH {UNFILTERED} SELECT * FROM pc")
 def streaming_phrase_counts(spark, sf_dir):
     folder = new_folder(spark, "phrases")
-    turns = CP.decorate(table_stream(spark, sf_dir, "conversations"))
-    phrases.run_phrase_counts(turns, f"{folder}/checkpoint", f"{folder}/counts")
+    count = lambda t: phrases.run_phrase_counts(CP.decorate(t), f"{folder}/checkpoint", f"{folder}/counts")
+    in_arrivals(spark, sf_dir, "conversations", ["conv_id", "turn"], count)
     return phrases.latest_version(spark, f"{folder}/counts")
 
 
 @query("streaming_partial_counts", f"WITH {UNFILTERED} SELECT * FROM pc")
 def streaming_partial_counts(spark, sf_dir):
     folder = new_folder(spark, "partials")
-    turns = CP.decorate(table_stream(spark, sf_dir, "conversations"))
-    phrases.run_partial_counts(turns, f"{folder}/checkpoint", f"{folder}/counts")
+    count = lambda t: phrases.run_partial_counts(CP.decorate(t), f"{folder}/checkpoint", f"{folder}/counts")
+    in_arrivals(spark, sf_dir, "conversations", ["conv_id", "turn"], count)
     return phrases.merged_versions(spark, f"{folder}/counts", phrases.PHRASE, "turn_count")
 
 
@@ -50,11 +66,15 @@ def streaming_partial_counts(spark, sf_dir):
     f"WITH {S.TOOL_OPS} SELECT model, task_id, family, form, repeat, op_ord, tool, outcome FROM ops",
 )
 def streaming_operations(spark, sf_dir):
+    """Logs that grow in three parts, whose events therefore aren't stored in log order."""
     folder = new_folder(spark, "logs")
     from agentrace.sources.tables import keyed_events
 
-    events = tool_log(keyed_events(table_stream(spark, sf_dir, "events")))
-    logs.follow_logs(events, f"{folder}/checkpoint", f"{folder}/log", f"{folder}/ops", RUN_KEYS)
+    def follow(events):
+        log = tool_log(keyed_events(events))
+        logs.follow_logs(log, f"{folder}/checkpoint", f"{folder}/log", f"{folder}/ops", RUN_KEYS)
+
+    in_arrivals(spark, sf_dir, "events", ["event_id"], follow)
     ops = logs.current_operations(spark.read.parquet(f"{folder}/ops"), RUN_KEYS)
     return ops.select(*RUN_KEYS, "op_ord", "tool", "outcome")
 

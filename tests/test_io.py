@@ -9,7 +9,8 @@ from agentrace.functions.jsontree import leaves, resolve_pointer
 from agentrace.operators import corpus, coding
 from agentrace.operators import judging as J
 from agentrace.sources import readers, sinks
-from agentrace.streaming import phrases
+from agentrace.operators.logs import invocations
+from agentrace.streaming import logs, phrases
 
 
 def test_archive_to_events_results_graphs(spark, tmp_path):
@@ -72,8 +73,11 @@ def test_stream_equals_batch_over_several_arrivals(spark, tmp_path):
     schema = "conv_id long, turn long, role string, language string, text string"
     texts = ["Please help me now.", "please  HELP me now.", "Write a poem", "Please help me again", "", "Write a poem"]
     rows = [(i, 0, "user", "en", t) for i, t in enumerate(texts)] + [(9, 1, "assistant", "en", "no")]
+    # Earlier places of known texts come later, in another language, in the same and in no language.
+    rows += [(-1, 0, "user", "de", "WRITE a poem"), (-2, 0, "user", "de", "write a poem"), (None, 3, "user", None, "Please help me now.")]
+    rows += [(7, 0, "user", "fr", "Write a poem")] * 2
     src = f"{tmp_path}/in"
-    for chunk in (rows[:2], rows[2:5], rows[5:]):
+    for chunk in (rows[:2], rows[2:5], rows[5:8], rows[8:]):
         spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
         phrases.run_phrase_counts(stream, f"{tmp_path}/c1", f"{tmp_path}/o1")
@@ -89,6 +93,25 @@ def test_stream_equals_batch_over_several_arrivals(spark, tmp_path):
         assert batch.select(*cols).exceptAll(got).count() == 0
 
 
+def test_growing_logs_read_touched_buckets_only(spark, tmp_path):
+    keys = ["model", "task_id", "family", "form", "repeat"]
+    schema = "model string, task_id string, family string, form string, repeat int, event_id long, type string, tool_id string, tool_name string, arguments string"
+    event = lambda t, i: ("m", t, "tone", "p01", 0, i, "tool_invocation", f"x{i}", f"x{i}", "{}")
+    src, log, ops = f"{tmp_path}/in", f"{tmp_path}/log", f"{tmp_path}/ops"
+    arrivals = ([event(f"t{i}", 5) for i in range(40)], [event("t3", 9), event("t3", 1)], [event("new", 2)])
+    for rows in arrivals:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        logs.follow_logs(spark.readStream.schema(schema).parquet(src), f"{tmp_path}/c", log, ops, keys, 16)
+    got = logs.current_operations(spark.read.parquet(ops), keys).select("task_id", "op_ord", "tool")
+    whole = invocations(spark.createDataFrame(sum(arrivals, []), schema), keys).select("task_id", "op_ord", "tool")
+    assert got.count() == 43 and got.exceptAll(whole).count() == 0 and whole.exceptAll(got).count() == 0
+    assert spark.read.parquet(ops).filter("batch = 1").count() == 3
+    touched = logs.stored_events(spark.createDataFrame(arrivals[1], schema), log, 1, keys)
+    filters = touched._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket#" in filters and "batch#" in filters
+    assert sorted(r.event_id for r in touched.collect()) == [1, 5, 9]
+
+
 def test_packing_never_splits_or_reorders(spark):
     rows = [("m", "t", "tone", f"f{i}", 100, s) for i, s in enumerate([50, 60, 500, 10, 10])]
     df = spark.createDataFrame(rows, "model string, task_id string, family string, form string, header_chars int, variant_chars int")
