@@ -11,6 +11,7 @@ THEMES = (
     "campaign",
     "library",
     "incremental",
+    "experiment",
 )
 
 
