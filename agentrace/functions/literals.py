@@ -148,10 +148,12 @@ def shield_literals(text: Column, literals: Column) -> Column:
 
 
 def restore_literals(shielded: Column, literals: Column) -> Column:
+    """Placeholders replaced by their literals, in whatever case they came back."""
+    quoted = lambda v: F.regexp_replace(v, r"([\\$])", r"\\$1")
     return F.aggregate(
         F.reverse(_indexed_by_length(literals)),
         shielded,
-        lambda acc, s: F.replace(acc, _placeholder(s["i"]), s["v"]),
+        lambda acc, s: F.regexp_replace(acc, F.concat(F.lit("(?i)"), _placeholder(s["i"])), quoted(s["v"])),
     )
 
 

@@ -48,7 +48,22 @@ ERROR = r"(Traceback|No such file|command not found|Permission denied|Error:|err
 
 BALANCED = r"""^(?:[^"'\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')*$"""
 TOKEN = r"""(?:[^\s"'\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')+"""
-UNQUOTE = r""""((?:[^"\\]|\\.)*)"|'([^']*)'|\\(.)"""
+PIECE = r"""(?:[^"'\\]+|\\.|"(?:[^"\\]|\\.)*"|'[^']*')"""
+
+
+def unquoted(token: Column) -> Column:
+    """What a shell makes of a token: between double quotes only quotes and backslashes are escaped."""
+
+    def meant(piece: Column) -> Column:
+        inner = F.substring(piece, F.lit(2), F.char_length(piece) - 2)
+        return (
+            F.when(piece.startswith('"'), F.regexp_replace(inner, r"""\\(["\\])""", "$1"))
+            .when(piece.startswith("'"), inner)
+            .when(piece.startswith("\\"), F.substring(piece, 2, 1))
+            .otherwise(piece)
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(token, F.lit(PIECE), F.lit(0)), meant), "")
 
 
 def shell_commands(command: Column) -> Column:
@@ -56,10 +71,7 @@ def shell_commands(command: Column) -> Column:
     parts = F.split(F.replace(command, F.lit("\n"), F.lit(" ; ")), r"\s*(?:&&|\|\||;|\|)\s*")
 
     def tokens(part: Column) -> Column:
-        quoted = F.transform(
-            F.regexp_extract_all(part, F.lit(TOKEN), F.lit(0)),
-            lambda t: F.regexp_replace(t, UNQUOTE, "$1$2$3"),
-        )
+        quoted = F.transform(F.regexp_extract_all(part, F.lit(TOKEN), F.lit(0)), unquoted)
         plain = F.filter(F.split(part, r"\s+"), lambda t: t != "")
         return F.when(F.regexp_like(part, F.lit(BALANCED)), quoted).otherwise(plain)
 

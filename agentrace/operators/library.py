@@ -49,17 +49,25 @@ def flat_parameters(required: Column, optional: Column) -> Column:
     )
 
 
+def json_text(value: Column) -> Column:
+    """A text as JSON writes it, quoted and escaped; null is the word null."""
+    member = F.to_json(F.struct(value.alias("k")))
+    return F.when(value.isNull(), "null").otherwise(F.substring(member, F.lit(6), F.char_length(member) - 6))
+
+
 def canonical_map(values: Column) -> Column:
-    """Compact JSON of a flat map of raw JSON scalars, keys sorted."""
+    """JSON of a flat map of raw JSON scalars, keys sorted, with a space after each mark."""
     entries = F.transform(
-        F.array_sort(F.map_entries(values)),
-        lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"]),
+        F.array_sort(F.map_entries(values)), lambda e: F.concat(json_text(e["key"]), F.lit(": "), e["value"])
     )
-    return F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}"))
 
 
 def call_key(tool_id: Column, canonical_arguments: Column) -> Column:
-    return F.sha2(F.concat_ws("|", tool_id, canonical_arguments), 256)
+    """Digest of the canonical record of tool and arguments; a missing part is null there."""
+    arguments = F.coalesce(canonical_arguments, F.lit("null"))
+    record = F.concat(F.lit('{"arguments": '), arguments, F.lit(', "tool_id": '), json_text(tool_id), F.lit("}"))
+    return F.sha2(record, 256)
 
 
 def schema_routes(tools: DataFrame, route: Sequence[str]) -> DataFrame:
@@ -75,36 +83,36 @@ def schema_routes(tools: DataFrame, route: Sequence[str]) -> DataFrame:
 
 
 def resolve_schemas(calls: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Schema of each call: same name, agreeing parent tool where the call has one, schemas of
-    the call's own domain preferred, and only if exactly one remains.
+    """Schema of each call: same name, agreeing in every attribute that the call has, schemas of
+    the call's own ``domain`` preferred, and only if exactly one remains.
 
-    Aliases are counted per name with each attribute either given or left open; a call then
-    needs two key lookups, and no call is ever paired with all schemas of its name.
+    Attributes are ``parent_tool`` and, where calls have these columns, ``api`` and ``tool_domain``
+    (the domain that the call itself names); null and empty ones are left open. Aliases are counted
+    per name with each attribute either given or left open; a call then needs two key lookups, and no
+    call is ever paired with all schemas of its name.
     """
     any_ = F.lit("*")
-    options = (
-        aliases.select(
-            "tool_name",
-            "tool_id",
-            F.explode(F.array(F.col("domain"), any_)).alias("_domain"),
-            "parent_tool",
-        )
-        .withColumn("_parent", F.explode(F.array(F.col("parent_tool"), any_)))
-        .groupBy("tool_name", "_domain", "_parent")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("tool_id").alias("_tool"))
+    given = lambda c: F.struct(F.lit(1).alias("is"), F.col(c).alias("v"))
+    left_open = F.struct(F.lit(0).alias("is"), F.lit("").alias("v"))
+    attributes = ["parent_tool"] + [c for c in ("api",) if c in calls.columns]
+    options = aliases.select("tool_name", "tool_id", F.explode(F.array(F.col("domain"), any_)).alias("_domain"), *attributes)
+    for c in attributes:
+        options = options.withColumn(f"_{c}", F.explode(F.array(given(c), left_open)))
+    asked = [f"_{c}" for c in attributes]
+    options = options.groupBy("tool_name", "_domain", *asked).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("tool_id").alias("_tool")
     )
-    parent = F.coalesce(F.nullif("parent_tool", F.lit("")), any_)
+    named = F.nullif("tool_domain", F.lit("")) if "tool_domain" in calls.columns else F.lit(None).cast("string")
+    rows = calls.withColumns(
+        {f"_{c}": F.when(F.coalesce(F.col(c), F.lit("")) != "", given(c)).otherwise(left_open) for c in attributes}
+    ).withColumns({"_named": F.coalesce(named, any_), "_clash": F.coalesce(named != F.col("domain"), F.lit(False))})
     own = options.withColumnsRenamed({"_domain": "domain", "_n": "_n_own", "_tool": "_tool_own"})
-    other = options.filter(F.col("_domain") == "*").drop("_domain")
-    found = (
-        calls.withColumn("_parent", parent)
-        .join(own, ["tool_name", "domain", "_parent"], "left")
-        .join(other, ["tool_name", "_parent"], "left")
-    )
-    chosen = F.when(F.col("_n_own") == 1, F.col("_tool_own")).when(
-        F.col("_n_own").isNull() & (F.col("_n") == 1), F.col("_tool")
+    found = rows.join(own, ["tool_name", "domain", *asked], "left").join(
+        options.withColumnRenamed("_domain", "_named"), ["tool_name", "_named", *asked], "left"
     )
-    return found.withColumn("tool_id", chosen).drop("_parent", "_n_own", "_tool_own", "_n", "_tool")
+    in_own = F.when(~F.col("_clash"), F.col("_n_own"))
+    chosen = F.when(in_own == 1, F.col("_tool_own")).when(in_own.isNull() & (F.col("_n") == 1), F.col("_tool"))
+    return found.withColumn("tool_id", chosen).drop(*asked, "_named", "_clash", "_n_own", "_tool_own", "_n", "_tool")
 
 
 def response_mode(calls: DataFrame) -> DataFrame:

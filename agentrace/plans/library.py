@@ -15,7 +15,7 @@ TOOLS = """tools AS (SELECT p_brand AS domain, 'pt' || (p_size % 5) AS parent_to
   p_name AS description, p_partkey AS record FROM part)"""
 CALLS = """calls AS (SELECT l_orderkey * 8 + l_linenumber AS call_id, l_orderkey, l_linenumber, 'tool ' || (l_partkey % 7) AS tool_name, 'Brand#' || (l_suppkey % 5 + 1) || (l_partkey % 5 + 1) AS domain,
   CASE WHEN l_partkey % 3 = 0 THEN 'pt' || (l_partkey % 5) END AS parent_tool,
-  '{"qty":' || l_quantity::INTEGER || ',"unit":"' || l_returnflag || '"}' AS args, CASE l_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'Error: bad' WHEN 3 THEN '{"error": "x"}'
+  '{"qty": ' || l_quantity::INTEGER || ', "unit": "' || l_returnflag || '"}' AS args, CASE l_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'Error: bad' WHEN 3 THEN '{"error": "x"}'
     WHEN 4 THEN '{"error": null, "v": "' || l_linestatus || '"}' ELSE l_linestatus || (l_orderkey % 2) END AS output,
   CASE WHEN l_orderkey % 10 = 7 THEN 'FAILED' WHEN l_orderkey % 10 = 6 THEN 'Success' END AS status FROM lineitem),
 us AS (SELECT *, l_orderkey % 9 NOT IN (0, 1, 2, 3) AND coalesce(status, '') <> 'FAILED' AS usable FROM calls)"""
@@ -111,6 +111,45 @@ def schema_resolution(spark, sf_dir):
     )
 
 
+# Several APIs share a name; some calls name the API, some a domain, which may be another than their own.
+ATTRIBUTES = f"""{ROUTES},
+al AS (SELECT domain, parent_tool, api, domain || '/' || parent_tool || '/' || api AS tool_id, 'tool ' || (substr(api, 4)::INTEGER % 3) AS tool_name FROM routes WHERE NOT ambiguous),
+ac AS (SELECT 'tool ' || ((l_partkey % 7) % 3) AS tool_name, 'Brand#' || (l_suppkey % 6 + 1) || (l_partkey % 6 + 1) AS domain,
+  CASE WHEN l_partkey % 3 = 0 THEN 'pt' || (l_partkey % 5) WHEN l_partkey % 3 = 1 THEN '' END AS parent_tool,
+  CASE WHEN l_orderkey % 2 = 0 THEN 'api' || (l_partkey % 7) END AS api,
+  CASE WHEN l_orderkey % 5 = 1 THEN 'Brand#' || (l_suppkey % 6 + 1) || (l_partkey % 6 + 1) WHEN l_orderkey % 5 = 2 THEN 'Brand#11' WHEN l_orderkey % 5 = 3 THEN '' END AS tool_domain FROM lineitem),
+sg AS (SELECT *, count(*) AS n FROM ac GROUP BY ALL),
+ok AS (SELECT sg.*, al.domain AS ad, al.tool_id FROM sg LEFT JOIN al ON sg.tool_name = al.tool_name AND coalesce(sg.parent_tool, '') IN ('', al.parent_tool)
+  AND coalesce(sg.api, '') IN ('', al.api) AND coalesce(sg.tool_domain, '') IN ('', al.domain)),
+ch AS (SELECT tool_name, domain, parent_tool, api, tool_domain, n, count(tool_id) AS n_all, count(*) FILTER (ad = domain) AS n_own, min(tool_id) AS t_all, min(tool_id) FILTER (ad = domain) AS t_own FROM ok GROUP BY ALL)"""
+
+
+@query(
+    "schema_resolution_by_attributes",
+    f"""WITH {ATTRIBUTES} SELECT tool_name, domain, parent_tool, api, tool_domain, n, CASE WHEN n_own = 1 THEN t_own WHEN n_own = 0 AND n_all = 1 THEN t_all END AS tool_id FROM ch""",
+)
+def schema_resolution_by_attributes(spark, sf_dir):
+    """Calls that may name parent tool, API and domain, resolved once per combination of names."""
+    aliases = routes(spark, sf_dir).filter(~F.col("ambiguous")).select(
+        "domain",
+        "parent_tool",
+        "api",
+        F.concat_ws("/", "domain", "parent_tool", "api").alias("tool_id"),
+        F.concat(F.lit("tool "), (F.substring("api", 4, 9).cast("int") % 3).cast("string")).alias("tool_name"),
+    )
+    order, part = F.col("l_orderkey"), F.col("l_partkey")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    domain = F.concat(text("Brand#", F.col("l_suppkey") % 6 + 1), (part % 6 + 1).cast("string"))
+    calls = table(spark, sf_dir, "lineitem").select(
+        text("tool ", (part % 7) % 3).alias("tool_name"),
+        domain.alias("domain"),
+        F.when(part % 3 == 0, text("pt", part % 5)).when(part % 3 == 1, "").alias("parent_tool"),
+        F.when(order % 2 == 0, text("api", part % 7)).alias("api"),
+        F.when(order % 5 == 1, domain).when(order % 5 == 2, "Brand#11").when(order % 5 == 3, "").alias("tool_domain"),
+    )
+    return LB.resolve_schemas(calls.groupBy(*calls.columns).agg(F.count(F.lit(1)).alias("n")), aliases)
+
+
 @query(
     "library_manifest",
     f"""WITH {RESOLVED} SELECT count(*) AS observed_calls, count(*) FILTER (NOT usable) AS excluded_missing_or_error_response,
@@ -120,7 +159,7 @@ def library_manifest(spark, sf_dir):
     return LB.manifest_counters(resolved(spark, sf_dir))
 
 
-MODE = f"""{CALLS}, kc AS (SELECT sha256(tool_name || '|' || args) AS call_key, sha256(output) AS response_hash, output AS response, count(*) AS n FROM us WHERE usable GROUP BY ALL),
+MODE = f"""{CALLS}, kc AS (SELECT sha256('{{"arguments": ' || args || ', "tool_id": "' || tool_name || '"}}') AS call_key, sha256(output) AS response_hash, output AS response, count(*) AS n FROM us WHERE usable GROUP BY ALL),
 mode AS (SELECT call_key, response, response_hash, n, count(*) OVER (PARTITION BY call_key) AS alternatives, sum(n) OVER (PARTITION BY call_key)::BIGINT AS observations
   FROM kc QUALIFY row_number() OVER (PARTITION BY call_key ORDER BY n DESC, response_hash) = 1)"""
 
@@ -141,13 +180,13 @@ def response_mode(spark, sf_dir):
 
 @query(
     "call_lookup",
-    f"""WITH {MODE}, rq AS (SELECT call_id, sha256(tool_name || '|' || CASE WHEN call_id % 4 = 0 THEN replace(args, '"qty":', '"qty":9') ELSE args END) AS call_key FROM us)
+    f"""WITH {MODE}, rq AS (SELECT call_id, sha256('{{"arguments": ' || CASE WHEN call_id % 4 = 0 THEN replace(args, '"qty": ', '"qty": 9') ELSE args END || ', "tool_id": "' || tool_name || '"}}') AS call_key FROM us)
     SELECT call_id, response, response IS NULL AS coverage_gap FROM rq LEFT JOIN mode USING (call_key)""",
 )
 def call_lookup(spark, sf_dir):
     calls = calls_table(spark, sf_dir)
     asked = F.when(
-        F.col("call_id") % 4 == 0, F.replace(F.col("args"), F.lit('"qty":'), F.lit('"qty":9'))
+        F.col("call_id") % 4 == 0, F.replace(F.col("args"), F.lit('"qty": '), F.lit('"qty": 9'))
     ).otherwise(F.col("args"))
     requests = keyed(calls.withColumn("args", asked)).select("call_id", "call_key")
     return LB.lookup_calls(requests, library(spark, sf_dir)).select("call_id", "response", "coverage_gap")
@@ -184,8 +223,8 @@ def search_page(spark, sf_dir):
 # Each part is a tool, its lines' distinct arguments are calls of it; every 13th order's calls have no arguments. Each name is asked
 # for with a quantity or none, each size as a quantity, with a flag, of any tool.
 ASKED = f"""tl AS MATERIALIZED (SELECT p_partkey AS tool_id, {TOK.format(x="'tool ' || (p_partkey % 7) || ' ' || p_name")} AS words FROM part),
-cl AS MATERIALIZED (SELECT *, sha256(tool_id || '|' || arguments) AS call_id, {TOK.format(x="arguments")} AS words FROM (
-  SELECT DISTINCT l_partkey AS tool_id, CASE WHEN l_orderkey % 13 = 0 THEN '{{}}' ELSE '{{"qty":' || l_quantity::INTEGER || ',"unit":"' || l_returnflag || '"}}' END AS arguments FROM lineitem)),
+cl AS MATERIALIZED (SELECT *, sha256('{{"arguments": ' || arguments || ', "tool_id": "' || tool_id || '"}}') AS call_id, {TOK.format(x="arguments")} AS words FROM (
+  SELECT DISTINCT l_partkey AS tool_id, CASE WHEN l_orderkey % 13 = 0 THEN '{{}}' ELSE '{{"qty": ' || l_quantity::INTEGER || ', "unit": "' || l_returnflag || '"}}' END AS arguments FROM lineitem)),
 q AS MATERIALIZED (SELECT query_id, {TOK.format(x="coalesce(query, '')")} AS named, {TOK.format(x="argument_query")} AS wanted FROM (
   SELECT 'n' || p_name AS query_id, p_name AS query, CASE WHEN min(p_size) % 3 = 0 THEN '' ELSE min(p_size) || ' QTY' END AS argument_query FROM part GROUP BY p_name
   UNION ALL SELECT DISTINCT 's' || p_size, NULL, p_size || ' r' FROM part)),

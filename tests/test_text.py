@@ -1,6 +1,9 @@
 """Text functions on hand-written prompts, shell lines and requests."""
 
 import difflib
+import hashlib
+import json
+import shlex
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from agentrace.functions import literals as L
 from agentrace.functions import phrases as P
 from agentrace.functions import requests as R
 from agentrace.functions.text import ascii_ratio, contains_phrase, slug, squash
-from agentrace.operators import coding, variants
+from agentrace.operators import coding, library, variants
 
 
 def one(spark, column, **values):
@@ -78,6 +81,8 @@ def test_literals(spark):
     assert "$1,200" in spans and "1,200" not in spans and "all" in spans
     lits = L.protected_literals(F.col("t"))
     assert one(spark, L.restore_literals(L.shield_literals(F.col("t"), lits), lits), t=text) == text
+    lower = F.lower(L.shield_literals(F.col("t"), lits))
+    assert one(spark, L.restore_literals(lower, lits), t="Pay $1,200 on \\n10") == "pay $1,200 on \\n10"
     code = "Run `a b` with --fast on /etc/x.conf, my_fn() and $HOME"
     masked = L.mask_text(F.col("t"))
     assert one(spark, masked, t=code) == "Run ⟦0⟧ with ⟦1⟧ on ⟦2⟧, ⟦3⟧() and ⟦4⟧"
@@ -108,6 +113,18 @@ def test_shell_commands(spark):
     assert kinds == ["install", "write", "read", "vcs", "read"]
     assert one(spark, coding.paths(F.col("t")), t="a/b.py 1.5 /x/y, z.txt") == ["/x/y", "a/b.py", "z.txt"]
     assert one(spark, coding.shell_commands(F.col("t")), t="cd x") == []
+    for line in (r'echo "a \"b\" \\ \n" \"x\" y\ z', "p 'a \\\" b'\"c\"\\'d", 'e "" f'):
+        assert one(spark, coding.shell_commands(F.col("t")), t=line) == [shlex.split(line)]
+
+
+def test_call_keys_are_digests_of_canonical_records(spark):
+    records = [("t", {"b": "1", 'a"\\': '"x"'}), (None, {}), ("ü|", {"é": "null"}), ("", {"k": "1.5"})]
+    rows = spark.createDataFrame(records, "tool string, args map<string,string>")
+    got = rows.select("tool", library.call_key(F.col("tool"), library.canonical_map(F.col("args"))).alias("key")).collect()
+    for (tool, args), row in zip(records, got):
+        record = {"tool_id": tool, "arguments": {k: json.loads(v) for k, v in args.items()}}
+        text = json.dumps(record, sort_keys=True, ensure_ascii=False)
+        assert row.key == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_surface_guards(spark):
