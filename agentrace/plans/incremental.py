@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from agentrace.plans import corpus as CP
 from agentrace.plans import fixture_sql as S
 from agentrace.plans.registry import query
-from agentrace.session import checkpoint_dir
+from agentrace.session import new_folder
 from agentrace.sources.tables import RUN_KEYS, runs_base, tool_log
 from agentrace.streaming import logs, phrases
 
 
-def new_folder(spark, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}")
-
-
 def table_stream(spark, sf_dir: str, name: str):
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     # The pattern matches a table of one file as well as the part files of a folder.

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from agentrace.operators import library as LB
 from agentrace.plans.registry import query
+from agentrace.session import new_folder
+from agentrace.sources import readers
 from agentrace.sources.tables import pick, table
 
 # Tools come from ``part`` (one published record per row), recorded calls from ``lineitem``.
@@ -380,3 +382,57 @@ def task_id_builder(spark, sf_dir):
     return li.select(F.format_string("%s-%03d", prefix, "l_linenumber").alias("task_id")).groupBy("task_id").agg(
         F.count(F.lit(1)).alias("n")
     )
+
+
+# An archive of traces, written from ``lineitem``: a record an order, a file per mode, slice and domain.
+# Some records are no object or have no tool list; they count as rows and give no call.
+TRACES = """li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS tool_index FROM lineitem),
+od AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey % 2, l_orderkey % 5, l_orderkey % 3 ORDER BY l_orderkey) - 1 AS "row" FROM (SELECT DISTINCT l_orderkey FROM lineitem)),
+tr AS (SELECT CASE l_orderkey % 2 WHEN 0 THEN 'parallel' ELSE 'sequential' END AS mode, l_orderkey % 5 AS slice, 'Domain ' || (l_orderkey % 3) AS domain, "row", tool_index,
+  'tool ' || (l_partkey % 7) AS tool_name, CASE WHEN l_partkey % 3 = 0 THEN 'pt' || (l_partkey % 5) END AS parent_tool, 'api' || (l_suppkey % 4) AS api,
+  '{"qty": ' || l_quantity::INTEGER || ', "unit": "' || l_returnflag || '"}' AS args,
+  CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN 'said "' || l_linestatus || '"' ELSE '{"v":' || l_suppkey || '}' END AS output, CASE WHEN l_linenumber % 2 = 0 THEN 'Success' END AS status
+  FROM li JOIN od USING (l_orderkey) WHERE l_orderkey % 17 <> 0 AND l_orderkey % 19 <> 0)"""
+
+
+def trace_archive(spark, sf_dir) -> str:
+    li = table(spark, sf_dir, "lineitem")
+    part, line, order = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_orderkey")
+    text = lambda c: c.cast("string")
+    quoted = F.to_json(F.struct(F.concat(F.lit('said "'), "l_linestatus", F.lit('"')).alias("executed_output")))
+    nested = F.concat(F.lit('{"executed_output":{"v":'), text(F.col("l_suppkey")), F.lit("}}"))
+    rest = F.struct(
+        F.concat(F.lit("tool "), text(part % 7)).alias("tool name"),
+        F.when(part % 3 == 0, F.concat(F.lit("pt"), text(part % 5))).alias("parent tool name"),
+        F.concat(F.lit("api"), text(F.col("l_suppkey") % 4)).alias("API name"),
+        F.when(line % 2 == 0, "Success").alias("execution_status"),
+        F.array(F.struct(F.lit("unit").alias("name"), F.col("l_returnflag").alias("value"))).alias("required parameters"),
+        F.array(F.struct(F.lit("qty").alias("name"), F.col("l_quantity").cast("int").alias("value"))).alias("optional parameters"),
+    )
+    output = F.when(line % 3 == 0, '{"executed_output":null}').when(line % 3 == 1, quoted).otherwise(nested)
+    tool = F.concat(F.expr("left(_o, length(_o) - 1)"), F.lit(","), F.expr("substring(_j, 2)"))
+    calls = li.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("_at"), output.alias("_o"), F.to_json(rest).alias("_j"))
+    records = calls.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("_at", tool.alias("tool")))).alias("_t"))
+    listed = F.concat(F.lit('{"tool list":['), F.array_join(F.transform("_t", lambda t: t["tool"]), ","), F.lit("]}"))
+    value = F.when(order % 17 == 0, "7").when(order % 19 == 0, '{"tool list":"none"}').otherwise(listed)
+    place = {
+        "mode": F.when(order % 2 == 0, "parallel").otherwise("sequential"),
+        "slice": order % 5,
+        "domain": F.concat(F.lit("Domain "), text(order % 3)),
+    }
+    folder = new_folder(spark, "traces")
+    rows = records.select("l_orderkey", value.alias("value")).withColumns(place)
+    files = rows.repartition(*place).sortWithinPartitions(*place, "l_orderkey").drop("l_orderkey")
+    files.write.partitionBy(*place).text(folder)
+    return folder
+
+
+@query("trace_calls", f"""WITH {TRACES} SELECT * FROM tr""")
+def trace_calls(spark, sf_dir):
+    """Calls of an archive with mode and slice from the path, and the record and place in it."""
+    found = readers.tool_traces(spark, trace_archive(spark, sf_dir))
+    part = lambda name: F.regexp_extract("file", f"/{name}=([^/]+)/", 1)
+    return found.select(
+        part("mode").alias("mode"), part("slice").cast("long").alias("slice"), "domain", "row", "tool_index",
+        "tool_name", "parent_tool", "api", "args", "output", "status",
+    )

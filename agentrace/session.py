@@ -45,6 +45,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared checkpoint folder."""
+    return os.path.join(checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate to the shared checkpoint folder and read it back.
 
@@ -52,6 +57,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     loss of executors, and every branch then prunes columns on a plain Parquet scan.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}")
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

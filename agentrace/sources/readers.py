@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENT = (
@@ -181,11 +181,76 @@ def labelled_corpus(spark: SparkSession, path: str, source: str) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, path: str, skipped: str) -> DataFrame:
+    """Lines of text files with their ``file`` and their zero-based ``row`` in it.
+
+    Lines that match ``skipped`` have no number. Files are read in blocks, by many tasks where they
+    are large; lines are numbered within each block, and a block begins where the counts of those
+    before it in the file end. Only these counts, one row a block, meet by file.
+    """
+    block = ["file", "_block"]
+    lines = (
+        spark.read.text(path)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_at"),
+            F.btrim("value").alias("line"),
+        )
+        .filter(~F.regexp_like("line", F.lit(skipped)))
+    )
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    begins = lines.groupBy(*block).agg(F.count("*").alias("_n")).select(*block, F.coalesce(before, F.lit(0)).alias("_begins"))
+    within = F.row_number().over(Window.partitionBy(*block).orderBy("_at")) - 1
+    return (
+        lines.withColumn("_within", within)
+        .join(begins, block)
+        .select("file", (F.col("_begins") + F.col("_within")).alias("row"), "line")
+    )
+
+
+PARAMETERS = "array<struct<name string, value variant>>"
+
+
 def tool_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Published tool traces with the place each call came from."""
-    schema = "array<struct<`tool list`:array<struct<`tool name`:string,executed_output:string,execution_status:string>>>>"
-    raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    rows = raw.select("file", F.posexplode(F.from_json("value", schema)).alias("row", "r"))
-    return rows.select("file", "row", F.posexplode("r.`tool list`").alias("tool_index", "t")).select(
-        "file", "row", "tool_index", F.col("t.`tool name`").alias("tool_name"), "t.executed_output", "t.execution_status"
+    """Calls of published traces with the place each came from.
+
+    A file has one record a line, as JSON lines or as an array with its marks at the ends of lines;
+    ``row`` counts records, also those that are no object or have no tool list, which give no call.
+    ``domain`` is the folder of the file; ``tool_domain``, ``parent_tool`` and ``api`` are what the call
+    itself names, NULL where it doesn't. ``args`` is canonical JSON, optional parameters before required
+    ones of the same name; a response that is no text stays JSON.
+    """
+    from agentrace.operators.library import canonical_map, flat_parameters
+
+    get = lambda c, name, kind="string": F.try_variant_get(c, f"$['{name}']", kind)
+    records = numbered_lines(spark, path, r"^[\[\],]?$").select(
+        "file", "row", F.try_parse_json(F.regexp_replace("line", r"^\[|,$", "")).alias("_r")
+    )
+    folder = F.regexp_extract("file", r"(?:^|/)(?:[^/=]+=)?([^/]+)/[^/]+$", 1)
+    folder = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+    tools = records.select(
+        "file", "row", folder.alias("domain"), F.posexplode(get(F.col("_r"), "tool list", "array<variant>")).alias("tool_index", "_t")
+    )
+    tool = F.col("_t")
+    raw = lambda name: F.transform(
+        F.coalesce(get(tool, name, PARAMETERS), F.array().cast(PARAMETERS)),
+        lambda p: F.struct(p["name"].alias("name"), F.coalesce(F.to_json(p["value"]), F.lit("null")).alias("value")),
+    )
+    given = F.filter(raw("optional parameters"), lambda p: p["name"].isNotNull())
+    needed = F.filter(raw("required parameters"), lambda p: p["name"].isNotNull())
+    output = get(tool, "executed_output", "variant")
+    is_text = F.schema_of_variant(output) == "STRING"
+    return tools.select(
+        "file",
+        "row",
+        "tool_index",
+        "domain",
+        get(tool, "tool name").alias("tool_name"),
+        get(tool, "domain name").alias("tool_domain"),
+        get(tool, "parent tool name").alias("parent_tool"),
+        get(tool, "API name").alias("api"),
+        canonical_map(flat_parameters(needed, given)).alias("args"),
+        F.when(is_text, get(tool, "executed_output")).otherwise(F.nullif(F.to_json(output), F.lit("null"))).alias("output"),
+        get(tool, "execution_status").alias("status"),
     )

@@ -112,6 +112,35 @@ def test_growing_logs_read_touched_buckets_only(spark, tmp_path):
     assert sorted(r.event_id for r in touched.collect()) == [1, 5, 9]
 
 
+def test_traces_keep_their_place(spark, tmp_path):
+    call = {
+        "tool name": "t", "executed_output": {"a": [1]}, "domain name": "d", "API name": "x",
+        "required parameters": [{"name": "q", "value": None}, {"name": 'k"', "value": "v"}],
+        "optional parameters": [{"name": "q", "value": True}, {"value": 1}],
+    }
+    folder = tmp_path / "parallel" / "Some+a place"
+    folder.mkdir(parents=True)
+    lines = ["[", json.dumps({"tool list": [call, {"tool name": "u", "executed_output": "text"}]}) + ",", "null,", "",
+             "{broken,", json.dumps({"tool list": [5, {}]}), "]"]
+    (folder / "a.json").write_text("\n".join(lines))
+    many = [json.dumps({"tool list": [{"tool name": str(i)}]}) for i in range(3000)]
+    (folder / "b.json").write_text("\n".join(many))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = readers.tool_traces(spark, f"{tmp_path}/*/*")
+        assert spark.read.text(f"{tmp_path}/*/*").rdd.getNumPartitions() > 2
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    first = {(r.row, r.tool_index): r for r in rows if r.file.endswith("a.json")}
+    assert sorted(first) == [(0, 0), (0, 1), (3, 0), (3, 1)]
+    r = first[0, 0]
+    assert (r.domain, r.tool_name, r.tool_domain, r.parent_tool, r.api, r.output) == ("Some+a place", "t", "d", None, "x", '{"a":[1]}')
+    assert json.loads(r.args) == {"q": True, 'k"': "v"} and first[0, 1].output == "text"
+    assert first[3, 1].tool_name is None and first[3, 1].args == "{}" and first[3, 1].output is None
+    assert sorted((r.row, r.tool_name) for r in rows if r.file.endswith("b.json")) == [(i, str(i)) for i in range(3000)]
+
+
 def test_packing_never_splits_or_reorders(spark):
     rows = [("m", "t", "tone", f"f{i}", 100, s) for i, s in enumerate([50, 60, 500, 10, 10])]
     df = spark.createDataFrame(rows, "model string, task_id string, family string, form string, header_chars int, variant_chars int")
