@@ -7,17 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentrace.operators import resampling
 from agentrace.operators.ordered import dense_index, with_compact_key
+from agentrace.operators.resampling import INNER, OUTER, PRIME  # noqa: F401
+from agentrace.session import materialize
 
-PRIME = 2147483647
-DRAWS_PER_ROW = 4096
-#: Units of a group that one array holds.
+#: Units of a group that one slice holds.
 SLICE = 4096
-#: Replicates that one copy of such an array serves.
+#: Replicates that one copy of a chunk's units serves, and whose draws of slices one row stands for.
 REPLICATES_A_BLOCK = 512
-# Offsets that set the draws of slices, and those of units in each slice, apart.
-OUTER = 715827883
-INNER = 104729
+REPLICATES_A_ROW = 64
 
 
 def group_start(keys: Sequence[str]) -> Column:
@@ -25,21 +24,6 @@ def group_start(keys: Sequence[str]) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *keys)), 1, 7), 16, 10).cast("long")
 
 
-def draw_index(start: Column, replicate: Column, draw: Column, seed: int, n: Column) -> Column:
-    """Deterministic pseudo-random index in [0, n): quadratic mixing modulo a prime below 2^31,
-    so every product stays within 64 bits and any SQL engine can repeat it. Group and replicate
-    are mixed first and enter every later step, so no replicate is another one's shifted copy."""
-    p = F.lit(PRIME).cast("long")
-    b = replicate.cast("long")
-    y0 = (b * 2654435 + start + F.lit(seed)) % p
-    y1 = (y0 * y0 + 12345) % p
-    y2 = (y1 * 48271 + b) % p
-    x0 = (y2 + draw.cast("long") * 40503) % p
-    x1 = (x0 * x0 + y1) % p
-    x2 = (x1 * 48271 + x0) % p
-    return ((x2 * x2 + y0) % p) % n
-
-
 def bootstrap_means(
     values: DataFrame,
     keys: Sequence[str],
@@ -53,60 +37,44 @@ def bootstrap_means(
 
     A group's units lie in slices of ``slice_size``. For each replicate every draw first picks a
     slice, which only counts, and the draws of a slice then pick units inside it: together each unit
-    is equally likely, as in one step. A slice's values are one bounded array, from which its draws
-    are summed where it stands; what is shuffled are counts and sums, one row for each (slice,
-    replicate), not the draws. NULL values are drawn, but don't count in the mean.
+    is equally likely, as in one step. Tasks make draws as arrays. What is shuffled are a replicate's
+    counts, packed by chunk of slices, and each chunk's units once a block of replicates, not the
+    draws and no row for each slice. NULL values are drawn, but don't count in the mean.
     """
     group = ["_k1", "_k2"]
-    n, b, part = F.col("_n"), F.col("_b"), F.col("_slice")
     # Rows are few and small but each stands for many draws, so tasks aren't merged by their bytes.
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = materialize(values.select(*keys, unit, value), "units")
     sizes = with_compact_key(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
-    slots = sizes.select(
-        *group,
-        "_n",
-        group_start(keys).alias("_start"),
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b"),
-    ).repartition(tasks, *group, "_b")
-    # All draws of a group of one slice fall into it: one row of weight n stands for them.
-    single = n <= slice_size
-    first = F.col("_run") * DRAWS_PER_ROW
-    last = F.when(single, first).otherwise(F.least(first + DRAWS_PER_ROW, n) - 1)
-    slice_of_draw = F.floor(draw_index(F.col("_start") + OUTER, b, F.col("_i"), seed, n) / slice_size)
-    dealt = (
-        slots.withColumn(
-            "_run", F.explode(F.sequence(F.lit(0), F.when(single, 0).otherwise(F.floor((n - 1) / DRAWS_PER_ROW))))
-        )
-        .withColumn("_i", F.explode(F.sequence(first, last)))
-        .select(
-            *group,
-            "_start",
-            "_b",
-            F.when(single, 0).otherwise(slice_of_draw).alias("_slice"),
-            F.when(single, n).otherwise(1).alias("_draws"),
-        )
-        .groupBy(*group, "_start", "_b", "_slice")
-        .agg(F.sum("_draws").alias("_draws"))
-        .withColumn("_block", F.floor(b / REPLICATES_A_BLOCK))
-        .repartition(tasks, *group, "_slice", "_block")
+    first = F.explode(F.array(*[F.lit(b).cast("long") for b in range(0, replicates, REPLICATES_A_ROW)]))
+    slots = (
+        sizes.select(*group, "_n", group_start(keys).alias("_start"), first.alias("_first"))
+        .withColumn("_last", F.least(F.col("_first") + REPLICATES_A_ROW, F.lit(replicates)) - 1)
+        .repartition(tasks, *group, "_first")
     )
-    indexed = with_compact_key(dense_index(values.select(*keys, unit, value), keys, unit, "_j"), keys)
-    blocks = (replicates - 1) // REPLICATES_A_BLOCK
-    slices = (
-        indexed.select(
-            *group, F.floor(F.col("_j") / slice_size).alias("_slice"), "_j", F.col(value).cast("double").alias("_v")
-        )
-        .groupBy(*group, "_slice")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", "_v"))), lambda s: s["_v"]).alias("_values"))
-        .withColumns({"_m": F.size("_values").cast("long"), "_block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks).cast("long")))})
+    cogroup = [*group, "_chunk", "_block"]
+    dealt = (
+        slots.mapInArrow(resampling.count_draws(slice_size, seed), resampling.COUNTS)
+        .withColumn("_block", F.floor(F.col("_b") / REPLICATES_A_BLOCK))
+        .repartition(tasks, *cogroup)
     )
-    inner = draw_index(F.col("_start") + part * INNER, b, F.col("_t"), seed, F.col("_m"))
+    indexed = with_compact_key(dense_index(values, keys, unit, "_j"), keys)
+    blocks = F.sequence(F.lit(0).cast("long"), F.lit((replicates - 1) // REPLICATES_A_BLOCK).cast("long"))
+    a_chunk = max(1, resampling.UNITS_A_CHUNK // slice_size) * slice_size
+    units = indexed.select(
+        *group,
+        F.floor(F.col("_j") / a_chunk).alias("_chunk"),
+        F.explode(blocks).alias("_block"),
+        F.col("_j").cast("long").alias("_j"),
+        F.col(value).cast("double").alias("_v"),
+    ).repartition(tasks, *cogroup)
+    total, present = F.sum("_total"), F.sum("_present")
     return (
-        dealt.join(slices, [*group, "_slice", "_block"])
-        .withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_draws") - 1)))
-        .select(*group, "_b", F.get("_values", inner.cast("int")).alias("_v"))
+        dealt.groupBy(*cogroup)
+        .cogroup(units.groupBy(*cogroup))
+        .applyInArrow(resampling.sum_draws(slice_size, seed), resampling.SUMS)
         .groupBy(*group, "_b")
-        .agg(F.avg("_v").alias("estimate"))
+        .agg(F.when(present > 0, total / present).alias("estimate"))
         .join(sizes.select(*keys, *group), group)
         .select(*keys, F.col("_b").alias("replicate"), "estimate")
     )

@@ -6,10 +6,11 @@ import random
 import re
 import statistics
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from agentrace.operators import consequences as C
-from agentrace.operators import stats
+from agentrace.operators import resampling, stats
 
 
 def test_disagreement_equals_enumeration(spark):
@@ -196,3 +197,23 @@ def test_bootstrap_over_several_slices(spark):
             assert got[g, b] == want or abs(got[g, b] - want) < 1e-9
     empty = df.filter("false")
     assert stats.bootstrap_means(empty, ["g"], "u", "v", 10).count() == 0
+
+
+def test_draws_of_many_slices_travel_as_one_row_a_replicate_and_chunk(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "UNITS_A_CHUNK", 12)
+    values = [float(i) if i % 7 else None for i in range(100)]
+    rows = [("g", f"u{i}", v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, u string, v double")
+    size, replicates = 2, 70
+    slot = {"_k1": 1, "_k2": 2, "_start": 5, "_n": 100, "_first": 0, "_last": 69}
+    batches = list(resampling.count_draws(size, 0)([pa.RecordBatch.from_pylist([slot])]))
+    assert sum(b.num_rows for b in batches) == replicates * 9  # 50 slices, six a chunk
+    for b in (0, 69):
+        counts = [0] * 50
+        for i in range(100):
+            counts[drawn(5 + stats.OUTER, b, i, 100) // size] += 1
+        assert counts == [c for batch in batches for c in batch.column("_counts")[b].as_py()]
+    got = {r.replicate: r.estimate for r in stats.bootstrap_means(df, ["g"], "u", "v", replicates, slice_size=size).collect()}
+    monkeypatch.setattr(resampling, "UNITS_A_CHUNK", 1 << 16)
+    whole = {r.replicate: r.estimate for r in stats.bootstrap_means(df, ["g"], "u", "v", replicates, slice_size=size).collect()}
+    assert len(got) == replicates and all(abs(got[b] - whole[b]) < 1e-9 for b in got)
