@@ -113,7 +113,9 @@ def trajectory_graph(
     )
     empty = F.expr("cast(array() as array<struct<src: string, dst: string, relation: string>>)")
     extra = F.coalesce(F.transform(scalar, argument), empty)
-    return assemble(operation_nodes(ops, keys), operation_edges(ops, keys, extra), keys)
+    # Arguments are parsed once; nodes and every use of the edges read what is written.
+    edges = materialize(operation_edges(ops, keys, extra), "edges")
+    return assemble(operation_nodes(ops, keys), edges, keys)
 
 
 def permission_graph(

@@ -152,6 +152,7 @@ def shared_features(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], h:
 
     Graphs of equal content share their features, which are computed for one of them.
     """
+    nodes = materialize(nodes, "nodes")
     graphs = materialize(distinct_graphs(nodes, edges, keys), "graphs")
     first = graphs.where("stands").select("_k1", "_k2", "g1", "g2")
     content, own = ["g1", "g2"], ["_k1", "_k2"]
@@ -173,7 +174,7 @@ def view_features(
     message counts for a view if the edge and the node it comes from belong to it.
     """
     masked = lambda df: df.withColumn("views", F.col("views").cast("int"))
-    nodes, edges = masked(nodes), masked(edges)
+    nodes, edges = materialize(masked(nodes), "nodes"), masked(edges)
     graphs = materialize(distinct_graphs(nodes, edges, keys, ["views"]), "graphs")
     first = graphs.where("stands").select("_k1", "_k2", "g1", "g2")
     content = ["g1", "g2"]
@@ -199,13 +200,18 @@ def form_vectors(features: DataFrame, keys: Sequence[str]) -> DataFrame:
     ``keys`` are the form keys, without the repeat. The table is written once: norms, internal
     pairs and both sides of the source-variant join all read it.
     """
-    return _vectors(features.withColumn("n", F.lit(1)), keys)
+    return _vectors(_form_ids(features, keys).withColumn("n", F.lit(1)))
 
 
 def shared_vectors(graphs: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same from the tables of ``shared_features``, or of ``view_features`` with the view as a key."""
-    forms = graphs.select(*[k for k in keys if k in graphs.columns], "repeat", "g1", "g2")
-    return _vectors(forms.join(features, ["g1", "g2"]), keys)
+    content = ["g1", "g2"]
+    if set(keys) <= set(graphs.columns):
+        # A graph is one row here and many in the join, so its form is hashed before it.
+        forms = _form_ids(graphs, keys).select("_k1", "_k2", "_t1", "_t2", "family", "repeat", *content)
+        return _vectors(forms.join(features, content))
+    forms = graphs.select(*[k for k in keys if k in graphs.columns], "repeat", *content)
+    return _vectors(_form_ids(forms.join(features, content), keys))
 
 
 def _form_ids(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -215,8 +221,8 @@ def _form_ids(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return with_compact_key(tasks, keys)
 
 
-def _vectors(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    ids = _form_ids(rows, keys).withColumn("_source", F.col("family") == "source")
+def _vectors(rows: DataFrame) -> DataFrame:
+    ids = rows.withColumn("_source", F.col("family") == "source")
     counted = ids.groupBy("_k1", "_k2", "_t1", "_t2", "_source", "iteration", "feature").agg(
         *[F.sum(F.when(repeat_column() == r, F.col("n")).otherwise(0)).cast("double").alias(f"c{r}") for r in range(REPEATS)]
     )

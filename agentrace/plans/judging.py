@@ -15,7 +15,7 @@ from agentrace.plans.registry import query
 from agentrace.plans.similarity import TASK_KEYS as TASK_TUPLE
 from agentrace.plans.similarity import variants
 from agentrace.session import materialize
-from agentrace.sources.tables import RUN_KEYS, results, runs_base, sandbox_log
+from agentrace.sources.tables import RUN_KEYS, results, runs_base, sandbox_log, stored_runs
 
 BUDGET = J.MAX_PROMPT_CHARS
 TASK_KEYS = list(TASK_TUPLE)
@@ -101,13 +101,14 @@ def prompt_cost(spark, sf_dir):
 
 def judged_variants(base: DataFrame) -> DataFrame:
     """Variants with judge scores 0–4 derived from the two runs of each pair."""
-    ks = results(base).groupBy(*FORM_KEYS).agg(
+    done = materialize(results(base), "results")
+    ks = done.groupBy(*FORM_KEYS).agg(
         F.array(*[F.max(F.when(F.col("repeat") == r, F.col("sum_k"))) for r in range(3)]).alias("ks")
     )
     source = ks.filter(F.col("family") == "source").select("model", "task_id", F.col("ks").alias("source_ks"))
     score = lambda a, i, b, j: F.pmod(F.col(a)[i] + F.col(b)[j], F.lit(5)).cast("int")
     return (
-        variant_table(base)
+        J.job_variants(J.three_outputs(done, FORM_KEYS), prompts(done))
         .join(ks, FORM_KEYS)
         .join(source, TASK_KEYS)
         .withColumns(
@@ -195,12 +196,13 @@ go AS (SELECT {S.DATASET} AS dataset, model, task_id, family, form, round(source
 
 def graph_and_output(spark, sf_dir) -> DataFrame:
     """Graph and output similarity of each judged variant, rounded so that ties are exact."""
-    graph = variants(spark, sf_dir).select(
+    base = stored_runs(spark, sf_dir)
+    graph = variants(spark, sf_dir, base).select(
         *FORM_KEYS,
         F.col("source_internal_mean").alias("graph_baseline"),
         F.col("source_variant_mean").alias("graph_sv"),
     )
-    scores, baseline = score_tables(runs_base(spark, sf_dir))
+    scores, baseline = score_tables(base)
     joined = (
         graph.filter(F.col("graph_baseline").isNotNull())
         .join(scores.drop("n_fixed"), FORM_KEYS)

@@ -27,22 +27,22 @@ def long_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sandbox_log(runs_base(spark, sf_dir))
 
 
-def tool_graph(spark: SparkSession, sf_dir: str):
-    base = stored_runs(spark, sf_dir)
+def tool_graph(spark: SparkSession, sf_dir: str, base: DataFrame | None = None):
+    base = base or stored_runs(spark, sf_dir)
     nodes, edges = graphs.trajectory_graph(tool_log(base), RUN_KEYS)
     return base, nodes, edges
 
 
-def run_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, nodes, edges = tool_graph(spark, sf_dir)
+def run_pairs(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    base, nodes, edges = tool_graph(spark, sf_dir, base)
     vectors = kernel.shared_vectors(
         *kernel.shared_features(nodes, edges, RUN_KEYS), [*TASK_KEYS, "family", "form"]
     )
     return kernel.pair_scores(vectors, base.select(*RUN_KEYS), TASK_KEYS)
 
 
-def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.variant_scores(run_pairs(spark, sf_dir), TASK_KEYS)
+def variants(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    return summaries.variant_scores(run_pairs(spark, sf_dir, base), TASK_KEYS)
 
 
 def task_family(spark: SparkSession, sf_dir: str) -> DataFrame:
