@@ -31,6 +31,8 @@ LEAF = 16
 #: Points of one tree; sets, and shingles of them, that one task verifies against as many others.
 TREE_ROWS, BLOCK, BLOCK_SHINGLES = 1 << 15, 1024, 1 << 19
 COLUMNS = 4096
+#: Shingles, of sets in large components, that one task looks for twins of.
+BUCKET_SHINGLES = 1 << 21
 
 
 def shingle_sets(
@@ -398,6 +400,86 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
     return spread.groupBy("label", "i", "j").applyInArrow(verify, "a binary, b binary")
 
 
+def blocks_of(sets: DataFrame) -> DataFrame:
+    """Rows with columns label and n, and the number of ``blocks`` that their component is dealt into."""
+    blocks = F.greatest(
+        F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))
+    )
+    return sets.join(sets.groupBy("label").agg(blocks.cast("int").alias("blocks")), "label")
+
+
+def twins(texts: DataFrame, width: int, buckets: int) -> DataFrame:
+    """``set, shared``: how many shingles of every set stand in another set, too, or seem to.
+
+    Every shingle is sent once, to the task of its bucket, as 32 bits and its set's place in the slice that
+    it comes from. Shingles that agree in these bits count as shared, so a number may be too large, never
+    too small.
+    """
+    schema = fields(texts, bucket="int", sets="binary", owner="binary", value="binary")
+
+    def deal(batch):
+        names = np.array(batch.column("set").to_pylist(), "S16").view("V16")
+        found = shingle_sets(pa.array([t.decode() for t in unpacked(batch)], pa.string()), width)[0]
+        owner = np.repeat(np.arange(len(found), dtype="<u4"), [len(s) for s in found])
+        flat = mixed(np.concatenate(found))
+        bucket = (flat >> U64(32)) % U64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        out = {"bucket": [], "sets": [], "owner": [], "value": []}
+        for at in np.split(order, cuts) if len(order) else ():
+            own, place = np.unique(owner[at], return_inverse=True)
+            out["bucket"].append(int(bucket[at[0]]))
+            out["sets"].append(names[own].tobytes())
+            out["owner"].append(place.astype("<u2" if len(own) <= 1 << 16 else "<u4").tobytes())
+            out["value"].append(flat[at].astype("<u4").tobytes())
+        return out
+
+    def count(group: pa.Table) -> pa.Table:
+        sets, owner, value, before = [], [], [], 0
+        for names, at, v in zip(*(group.column(c).to_pylist() for c in ("sets", "owner", "value"))):
+            value.append(np.frombuffer(v, "<u4"))
+            sets.append(np.frombuffer(names, "V16"))
+            owner.append(np.frombuffer(at, f"<u{len(at) // len(value[-1])}").astype(np.int64) + before)
+            before += len(sets[-1])
+        _, kind, times = np.unique(np.concatenate(value), return_inverse=True, return_counts=True)
+        shared = np.bincount(np.concatenate(owner)[times[kind] > 1], minlength=before)
+        some = np.flatnonzero(shared)
+        names = pa.array([n.tobytes() for n in np.concatenate(sets)[some]], pa.binary())
+        return pa.table({"set": names, "shared": pa.array(shared[some], pa.int64())})
+
+    dealt = map_slices(texts, deal, schema, "packed")
+    found = dealt.groupBy("bucket").applyInArrow(count, "set binary, shared long")
+    return found.groupBy("set").agg(F.sum("shared").alias("shared"))
+
+
+def to_verify(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """What ``verified`` takes, from written rows label, set, n and packed, one per set.
+
+    Two sets that link share percent of each at least. So a set of a component of several blocks leaves
+    here if fewer of its shingles stand in any other set of such components, and is sent once instead
+    of once a block; the others are dealt into as many blocks as they need.
+    """
+    sized = blocks_of(texts.select("label", "set", "n"))
+    wide = materialize(sized.where("blocks > 1").select("set", "n"), "wide")
+    total = wide.agg(F.sum("n").alias("n")).first()["n"]
+    if total:
+        long = texts.select("set", "packed").join(wide.hint("merge"), "set")
+        shared = twins(long.select("set", "packed"), width, -(-total // BUCKET_SHINGLES))
+        enough = F.coalesce("shared", F.lit(0)) * 100 >= F.col("n") * percent
+        alone = materialize(wide.join(shared, "set", "left").where(~enough).select("set"), "alone")
+        texts = texts.join(alone, "set", "left_anti")
+    rows = blocks_of(texts.select("label", "set", "n")).select("set", "label", "blocks")
+    rows = texts.select("set", "packed").join(rows.hint("merge"), "set")
+    schema = fields(rows, "set", "label", "blocks", shingles="binary")
+
+    def fetch(batch):
+        columns = {name: batch.column(name) for name in ("set", "label", "blocks")}
+        found = shingle_sets(pa.array([t.decode() for t in unpacked(batch)], pa.string()), width)[0]
+        return columns | {"shingles": [s.astype("<u8").tobytes() for s in found]}
+
+    return map_slices(rows, fetch, schema, "packed")
+
+
 def linked(members: list[np.ndarray], percent: int) -> Union:
     """All links between sets: those shingles that occur more than once, as columns of a matrix."""
     union = Union(len(members))
@@ -449,9 +531,6 @@ def jaccard_components(
     source = rows_of(docs, id_col, text_col)
     described = materialize(points(source, width, percent), "jaccard-points")
     maybe = materialize(components(candidates(described, percent)), "jaccard-maybe")
-    blocks = F.greatest(
-        F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))
-    )
     chosen = (
         described.groupBy("set")
         .agg(F.min(F.struct(*ROW)).alias("row"), F.first("n").alias("n"))
@@ -459,19 +538,10 @@ def jaccard_components(
         .select("row.*", "set", "label", "n")
     )
     chosen = materialize(chosen, "jaccard-chosen")
-    per = chosen.groupBy("label").agg(blocks.cast("int").alias("blocks"))
-    chosen = chosen.join(per, "label").select(*ROW, "set", "label", "blocks")
-    schema = fields(chosen, "set", "label", "blocks", shingles="binary")
-
-    def fetch(batch):
-        texts = pa.array([t.decode() for t in unpacked(batch)], pa.string())
-        columns = {name: batch.column(name) for name in ("set", "label", "blocks")}
-        found = [s.astype("<u8").tobytes() for s in shingle_sets(texts, width)[0]]
-        return columns | {"shingles": found}
-
-    # A merge join at every size, so that small and large inputs move their texts alike.
-    meeting = packed_texts(source).join(chosen.hint("merge"), [*ROW])
-    whole = map_slices(meeting, fetch, schema, "packed")
+    # A merge join at every size, so that small and large inputs move their texts alike. Rows may repeat.
+    meeting = packed_texts(source).join(chosen.hint("merge"), [*ROW]).dropDuplicates(["set"])
+    texts = materialize(meeting.select("label", "set", "n", "packed"), "jaccard-texts")
+    whole = to_verify(texts, width, percent)
     labels = materialize(components(verified(whole, percent)), "jaccard-labels")
     salt = lambda c: F.xxhash64(c).alias("salt")
     member = (

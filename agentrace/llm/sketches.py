@@ -20,7 +20,7 @@ from agentrace.llm.batches import SLICE_BYTES, fields, map_slices
 from agentrace.llm.components import components
 from agentrace.llm.packing import ROW, packed_texts, row_keys, rows_of, unpacked
 from agentrace.llm.registry import query, table
-from agentrace.llm.similarity import BLOCK, BLOCK_SHINGLES, digest, shingle_sets, verified
+from agentrace.llm.similarity import digest, shingle_sets, to_verify, verified
 from agentrace.llm.wordhash import U64, mixed
 from agentrace.session import materialize
 
@@ -162,21 +162,6 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -
     return map_slices(meeting, verify, schema, "text_b")
 
 
-def sized_blocks(clusters: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Sets of clusters, with their shingles and the number of blocks of their cluster."""
-    rows = clusters.select(F.col("node").alias("set"), "label").join(texts.hint("merge"), "set")
-    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)))
-    per = rows.groupBy("label").agg(blocks.cast("int").alias("blocks"))
-    rows = rows.join(per, "label")
-    schema = fields(rows, "set", "label", "blocks", shingles="binary")
-
-    def fetch(batch):
-        columns = {name: batch.column(name) for name in ("set", "label", "blocks")}
-        return columns | {"shingles": [s.astype("<u8").tobytes() for s in sets_of(unpacked(batch), width)]}
-
-    return map_slices(rows, fetch, schema, "packed")
-
-
 def near_duplicates(
     docs: DataFrame,
     width: int = WIDTH,
@@ -221,7 +206,9 @@ def near_duplicates(
     )
     rest = materialize(unconnected(rest), "sketch-rest")
     clusters = materialize(components(rest, "pivot", "set"), "sketch-clusters")
-    every = links.union(verified(sized_blocks(clusters, texts, width), percent))
+    rows = clusters.select(F.col("node").alias("set"), "label").join(texts.hint("merge"), "set")
+    rows = materialize(rows.select("label", "set", "n", "packed"), "sketch-clustered")
+    every = links.union(verified(to_verify(rows, width, percent), percent))
     labels = materialize(components(every), "sketch-components")
     labels = labels.withColumnRenamed("node", "set")
     member = described.select(*ROW, "doc_id", "n", "set").join(labels, "set", "left")

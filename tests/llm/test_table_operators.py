@@ -6,7 +6,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import SCHEMA, awkward, awkward_texts, empty, prose, rows_of, smallest_linked, words
+import zstandard
+from helpers import SCHEMA, awkward, awkward_texts, empty, prose, rows_of, shingles, smallest_linked, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -116,6 +117,21 @@ def test_jaccard_components(spark, monkeypatch, width, percent, small):
         assert r.stays == (r.doc_id == expected[r.doc_id])
 
 
+def test_sets_without_twins_are_not_dealt_to_blocks(spark, monkeypatch):
+    """Sets of a large component that can link with none are sent once, not once a block."""
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    monkeypatch.setattr(similarity, "BUCKET_SHINGLES", 300)
+    base = prose(1, 200, 10**6)
+    near = [base, base + " tail", "head " + base]
+    texts = [*near, *[prose(10 + i, 200, 10**6) for i in range(20)], "few words", "few words more"]
+    sets = [(int(i > 22), bytes([i] * 16), len(shingles(t, 3)), zstandard.compress(t.encode())) for i, t in enumerate(texts)]
+    rows = spark.createDataFrame(sets, "label int, set binary, n long, packed binary")
+    left = {r["set"][0]: r for r in similarity.to_verify(rows, 3, 90).collect()}
+    assert sorted(left) == [0, 1, 2, 23, 24]
+    assert {r["blocks"] for r in left.values()} == {1}
+    assert all(len(r["shingles"]) == 8 * sets[i][2] for i, r in left.items())
+
+
 def test_jaccard_of_awkward_rows(spark):
     docs = awkward(spark)
     rows = similarity.jaccard_components(docs).collect()
