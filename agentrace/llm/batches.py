@@ -15,8 +15,10 @@ SLICE_BYTES = 1 << 20
 SLICE_ROWS = 2000
 
 
-def slices(batch: pa.RecordBatch, size_of: str | None = None) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch of about a megabyte of column ``size_of``, one row at least."""
+def slices(
+    batch: pa.RecordBatch, size_of: str | None = None, most: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch of about ``most`` bytes of column ``size_of``, one row at least."""
     if not batch.num_rows:
         return
     if size_of is None:
@@ -26,7 +28,7 @@ def slices(batch: pa.RecordBatch, size_of: str | None = None) -> Iterator[pa.Rec
     lengths = pc.fill_null(pc.binary_length(batch.column(size_of)), 0).to_numpy()
     at = size = 0
     for i, n in enumerate(lengths):
-        if i > at and (size + n > SLICE_BYTES or i - at >= SLICE_ROWS):
+        if i > at and (size + n > most or i - at >= SLICE_ROWS):
             yield batch.slice(at, i - at)
             at, size = i, 0
         size += int(n)
@@ -39,18 +41,19 @@ def map_slices(
     schema: T.StructType,
     size_of: str | None = None,
     after: Callable[[], None] | None = None,
+    most: int = SLICE_BYTES,
 ) -> DataFrame:
     """``mapInArrow`` with ``fn`` applied to slices; it returns a dict of columns by name.
 
     ``after`` is called when a task's input has ended: workers outlive their tasks, and so would
-    what they hold.
+    what they hold; memory that a task has freed goes back to the system then.
     """
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         try:
             for batch in batches:
-                for part in slices(batch, size_of):
+                for part in slices(batch, size_of, most):
                     columns = fn(part)
                     yield pa.RecordBatch.from_arrays(
                         [_array(columns[f.name], f.type) for f in arrow], schema=arrow
@@ -58,6 +61,7 @@ def map_slices(
         finally:
             if after:
                 after()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

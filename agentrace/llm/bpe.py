@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentrace.llm.batches import fields, give_back, map_slices
+from agentrace.llm.batches import fields, map_slices
 from agentrace.llm.packing import ROW, packed_texts, rows_of, unpacked
 from agentrace.llm.registry import query, table
 
@@ -28,10 +28,10 @@ STEPS, CUT_BITS = (1, 2, 4, 8), 9
 #: Where no content cuts (long repeats), a chunk ends after so many bytes.
 LONGEST = 16384
 MULTIPLIER = 0x9E3779B1
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: The memory of a worker's word memo, in bytes of words and ids.
 MEMO_BYTES = 64 << 20
+#: Compressed bytes of the texts that are split, encoded and decoded at a time.
+PACKED_BYTES = 1 << 18
 
 
 @lru_cache(1)
@@ -48,9 +48,7 @@ def chunks(text: bytes) -> list[bytes]:
     data = np.frombuffer(text, np.uint8)
     rolled = byte_values()[data]
     for step in STEPS:
-        scaled = rolled[:-step] * np.uint32(pow(MULTIPLIER, step, 1 << 32))
-        rolled = rolled.copy()
-        rolled[step:] += scaled
+        rolled[step:] += rolled[:-step] * np.uint32(pow(MULTIPLIER, step, 1 << 32))
     at = np.flatnonzero(rolled >> np.uint32(32 - CUT_BITS) == 0) + 1
     at = np.concatenate(([0], at[at > sum(STEPS)], [n]))
     if (gaps := np.diff(at)).max() > LONGEST:
@@ -66,8 +64,10 @@ def chunks(text: bytes) -> list[bytes]:
 
 def body(chunk: bytes) -> tuple[int, int]:
     """Where the first white space of a chunk is and where its last one ends; (-1, -1) if none."""
-    space = np.flatnonzero(SPACE[np.frombuffer(chunk, np.uint8)])
-    return (int(space[0]), int(space[-1]) + 1) if space.size else (-1, -1)
+    first = 0 if chunk[:1].isspace() else len(chunk.split(None, 1)[0]) if chunk else 0
+    if first == len(chunk):
+        return -1, -1
+    return first, len(chunk) if chunk[-1:].isspace() else len(chunk) - len(chunk.rsplit(None, 1)[-1])
 
 
 class Encoder:
@@ -93,6 +93,9 @@ class Encoder:
             ),
             None,
         )
+        #: Without a decoder, a text is its tokens with spaces between them.
+        names = self.tokenizer.get_vocab() if self.tokenizer.decoder is None else {}
+        self.names = {i: token for token, i in names.items()}
 
     def encoded(self, words: list[bytes]) -> list[bytes]:
         """Ids of words, each by itself; special tokens between them spare a call per word."""
@@ -110,7 +113,7 @@ class Encoder:
     def words(self, words: list[bytes]) -> list[bytes]:
         """Ids (little-endian, 32 bits) of words between white space."""
         memo = self.memo
-        if new := list({w for w in words if w not in memo}):
+        if new := list(set(words).difference(memo)):
             ids = self.encoded(new)
             memo.update(zip(new, ids))
             self.held += sum(map(len, new)) + sum(map(len, ids)) + 150 * len(new)
@@ -121,6 +124,8 @@ class Encoder:
 
     def decode(self, ids: list[bytes]) -> list[str]:
         rows = [np.frombuffer(i, "<u4").tolist() for i in ids]
+        if names := self.names:
+            return [" ".join([names[i] for i in row if i in names]) for row in rows]
         return self.tokenizer.decode_batch(rows, skip_special_tokens=False)
 
 
@@ -132,7 +137,6 @@ def encoder(path: str) -> Encoder:
 def forget(path: str) -> None:
     """At a task's end its words go; the tokenizer stays for the worker's next task."""
     encoder(path).memo, encoder(path).held = {}, 0
-    give_back()
 
 
 def joined(text: bytes, lent: dict[int, bytes], words: list[bytes]) -> list[bytes | int]:
@@ -275,7 +279,7 @@ def encode_documents(
             **({"decoded": coder.decode(ids)} if decode else {}),
         }
 
-    return map_slices(packed.join(lent, [*ROW], "left"), assemble, schema, "packed", done)
+    return map_slices(packed.join(lent, [*ROW], "left"), assemble, schema, "packed", done, PACKED_BYTES)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
