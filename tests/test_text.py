@@ -140,3 +140,12 @@ def test_surface_guards(spark):
     assert got[2].passed
     want = difflib.SequenceMatcher(None, "please send to ann today", "please send to ann this day").ratio()
     assert abs(got[2].surface_similarity - want) < 1e-12
+
+
+def test_outputs_with_escaped_error_members_are_not_usable(spark):
+    from agentrace.operators.library import usable_response
+
+    texts = ['{"\\u0065rror": "x"}', '{"err\\u006frs": [1]}', '{"error": null}', '{"v": "error"}', "plain", '{"v": 1}', None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = rows.select("i", usable_response(F.col("t"), F.lit(None).cast("string")).alias("u")).collect()
+    assert {r.i: r.u for r in found} == {0: False, 1: False, 2: True, 3: True, 4: True, 5: True, 6: False}
