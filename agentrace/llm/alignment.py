@@ -34,6 +34,10 @@ FREQUENT = 1 << 18
 HELD = 1 << 20
 #: Longer runs of white space overflow the stack of tiktoken's pattern.
 LONG_SPACE = re.compile(r"\s{512}")
+#: Every 128th character of such a run, which is far less to search.
+SPARSE_SPACE = re.compile(r"\s{4}")
+#: Tokens whose bytes are compared at a time.
+COMPARED = 1 << 16
 
 
 @lru_cache(1)
@@ -44,6 +48,10 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def has_long_space(text: str) -> bool:
+    return bool(SPARSE_SPACE.search(text[::128]) and LONG_SPACE.search(text))
+
+
 class ByteLevel:
     """A byte-level BPE file of the tokenizers library.
 
@@ -96,7 +104,7 @@ class ByteLevel:
         if self.fast is None:
             return self.slow([" " + t for t in texts])
         one = lambda t: self.fast.encode_to_numpy(" " + t, disallowed_special=())
-        return [self.slow([" " + t])[0] if LONG_SPACE.search(t) else one(t) for t in texts]
+        return [self.slow([" " + t])[0] if has_long_space(t) else one(t) for t in texts]
 
     def slow(self, texts: list[str]) -> list[np.ndarray]:
         coded = self.exact.encode_batch_fast(texts, add_special_tokens=False)
@@ -127,14 +135,33 @@ class Side:
         self.encode, self.bytes = coder.encode, coder.bytes
         self.size = len(self.bytes)
         self.length = np.array(list(map(len, self.bytes)), np.int64)
-        names = [str(i).encode() for i in range(self.size)]
-        self.digits = np.array(list(map(len, names)), np.int64)
-        wide = max(self.digits)
-        self.names = np.frombuffer(b"".join(n.ljust(wide) for n in names), np.uint8).reshape(-1, wide)
-
-    def spells(self, ids: np.ndarray, text: bytes) -> bool:
-        """Whether the tokens' bytes are those of a space and the text."""
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())) == text
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.at = np.cumsum(self.length) - self.length
+        names = [b"%d," % i for i in range(self.size)]
+        self.signs = np.array(list(map(len, names)), np.int64)
+        #: The id and a comma, padded to whole words of eight bytes.
+        wide = -(-max(self.signs) // 8) * 8
+        self.names = np.frombuffer(b"".join(n.ljust(wide) for n in names), np.dtype((np.void, wide)))
+
+    def spells(self, ids: list[np.ndarray], whole: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each text's tokens are its part of ``whole``, which has ``size`` bytes."""
+        tokens = np.concatenate([np.zeros(0, np.int64), *ids])
+        ends = np.cumsum(np.concatenate(([0], self.length[tokens])))
+        made = np.diff(ends[np.cumsum([0, *map(len, ids)])])
+        same = made == size
+        if not same.all():
+            some = [x for x, fits in zip(ids, same) if fits]
+            same[same] = self.spells(some, whole[np.repeat(same, size)], size[same])
+            return same
+        for low in range(0, len(tokens), COMPARED):
+            part = tokens[low : low + COMPARED]
+            start, length = ends[low], self.length[part]
+            shift = (self.at[part] - (ends[low : low + len(part)] - start)).astype(np.int32)
+            source = np.repeat(shift, length)
+            source += np.arange(len(source), dtype=np.int32)
+            wrong = np.flatnonzero(self.flat[source] != whole[start : start + len(source)])
+            same[np.searchsorted(np.cumsum(size), start + wrong, side="right")] = False
+        return same
 
 
 @lru_cache(2)
@@ -148,9 +175,12 @@ def encoded(texts: list[str], a: Side, b: Side) -> tuple[list[np.ndarray], list[
     ids_a, ids_b = [none] * len(texts), [none] * len(texts)
     full = [i for i, t in enumerate(texts) if t]
     own = [texts[i] for i in full]
-    for i, text, one, two in zip(full, own, a.encode(own), b.encode(own)):
-        whole = b" " + text.encode()
-        if a.spells(one, whole) and b.spells(two, whole):
+    found_a, found_b = a.encode(own), b.encode(own)
+    parts = [b" " + t.encode() for t in own]
+    whole, size = np.frombuffer(b"".join(parts), np.uint8), np.array(list(map(len, parts)), np.int64)
+    good = a.spells(found_a, whole, size) & b.spells(found_b, whole, size)
+    for i, one, two, fits in zip(full, found_a, found_b, good):
+        if fits:
             ids_a[i], ids_b[i] = one, two
     return ids_a, ids_b
 
@@ -203,7 +233,7 @@ def merged(end_a: np.ndarray, end_b: np.ndarray, first: np.ndarray, stop: np.nda
 
 @dataclass
 class Aligned:
-    """Tokens of several texts, their links (in order of both tokens) and the tokens that end groups."""
+    """Tokens of several texts, their links (in order of both tokens if asked for) and the tokens that end groups."""
 
     a: np.ndarray
     b: np.ndarray
@@ -215,15 +245,17 @@ class Aligned:
     cuts_b: np.ndarray
 
 
-def align(texts: list[str], side_a: Side, side_b: Side, lane: int = LANE) -> Aligned:
+def align(texts: list[str], side_a: Side, side_b: Side, lane: int = LANE, ordered: bool = True) -> Aligned:
     ids_a, ids_b = encoded(texts, side_a, side_b)
     a, b = np.concatenate(ids_a).astype(np.int64), np.concatenate(ids_b).astype(np.int64)
     first_a = np.concatenate(([0], np.cumsum(list(map(len, ids_a)))))
     first_b = np.concatenate(([0], np.cumsum(list(map(len, ids_b)))))
     end_a, end_b = np.cumsum(side_a.length[a]), np.cumsum(side_b.length[b])
     links_a, links_b, cuts_a, cuts_b = merged(end_a, end_b, first_a[:-1], first_a[1:], lane)
-    order = np.argsort(links_a + links_b, kind="stable")
-    return Aligned(a, b, first_a, first_b, links_a[order], links_b[order], np.sort(cuts_a), np.sort(cuts_b))
+    if ordered:
+        order = np.argsort(links_a + links_b, kind="stable")
+        links_a, links_b = links_a[order], links_b[order]
+    return Aligned(a, b, first_a, first_b, links_a, links_b, np.sort(cuts_a), np.sort(cuts_b))
 
 
 def group_texts(found: Aligned, side_a: Side, side_b: Side) -> Iterator[memoryview]:
@@ -233,19 +265,19 @@ def group_texts(found: Aligned, side_a: Side, side_b: Side) -> Iterator[memoryvi
     # A group's tokens of the second side come after all of its own and earlier ones of the first.
     at_a = np.arange(len(found.a)) + np.repeat(stop_b - size_b, size_a)
     at_b = np.arange(len(found.b)) + np.repeat(stop_a, size_b)
-    wide = max(side_a.names.shape[1], side_b.names.shape[1])
+    wide = max(side_a.names.itemsize, side_b.names.itemsize)
     size = np.zeros(len(at_a) + len(at_b), np.int64)
-    sign = np.zeros((len(size), wide + 1), np.uint8)
+    sign = np.zeros(len(size), np.dtype((np.void, wide)))
+    byte = sign.view(np.uint8).reshape(-1, wide)
     for side, ids, at, cuts, mark in (
         (side_a, found.a, at_a, found.cuts_a, b"|"),
         (side_b, found.b, at_b, found.cuts_b, b";"),
     ):
-        size[at] = side.digits[ids]
-        sign[at, : side.names.shape[1]] = side.names[ids]
-        sign[at, size[at]] = ord(b",")
-        sign[at[cuts], size[at[cuts]]] = ord(mark)
-    flat = memoryview(sign[np.arange(wide + 1) <= size[:, None]])
-    ends = np.concatenate(([0], np.cumsum(size + 1)))
+        size[at] = side.signs[ids]
+        sign[at] = side.names.astype(sign.dtype, copy=False)[ids]
+        byte[at[cuts], size[at[cuts]] - 1] = ord(mark)
+    flat = memoryview(byte[np.arange(wide) < size[:, None]])
+    ends = np.concatenate(([0], np.cumsum(size)))
     bounds = ends[found.first_a + found.first_b].tolist()
     for low, high in zip(bounds, bounds[1:]):
         yield flat[low : max(low, high - 1)]
@@ -253,23 +285,24 @@ def group_texts(found: Aligned, side_a: Side, side_b: Side) -> Iterator[memoryvi
 
 def link_columns(texts: list[str], side_a: Side, side_b: Side) -> dict:
     """Per text the counts, the digest of its groups, and its links' pairs, sorted and packed."""
-    found = align(texts, side_a, side_b)
-    per = lambda places, first: np.diff(np.searchsorted(places, first))
-    by_text = np.sort(found.links_a)
-    text = np.searchsorted(found.first_a, found.links_a, side="right") - 1
-    pair = found.a[found.links_a] * side_b.size + found.b[found.links_b]
-    order = np.lexsort((pair, text))
-    starts = np.searchsorted(text[order], np.arange(len(texts) + 1)).tolist()
-    pair, squeeze = pair[order], ZstdCompressor(level=3).compress
+    found = align(texts, side_a, side_b, ordered=False)
+    text = np.repeat(np.arange(len(texts)), np.diff(found.first_a))[found.links_a]
+    n_links = np.bincount(text, minlength=len(texts))
+    width = side_a.size * side_b.size
+    pair = text * width + found.a[found.links_a] * side_b.size + found.b[found.links_b]
+    pair.sort()
+    pair -= np.repeat(np.arange(len(texts)) * width, n_links)
+    starts, squeeze = np.concatenate(([0], np.cumsum(n_links))), ZstdCompressor(level=1).compress
     step = np.diff(pair, prepend=0)
-    begins = [at for at in starts[:-1] if at < len(pair)]
+    begins = starts[:-1][n_links > 0]
     step[begins] = pair[begins]
-    packed = [squeeze(step[x:y].astype("<u8").tobytes()) if y > x else b"" for x, y in zip(starts, starts[1:])]
+    step, starts = step.astype("<u8"), starts.tolist()
+    packed = [squeeze(step[x:y].tobytes()) if y > x else b"" for x, y in zip(starts, starts[1:])]
     return {
         "n_a": np.diff(found.first_a),
         "n_b": np.diff(found.first_b),
-        "n_groups": per(found.cuts_a, found.first_a),
-        "n_links": per(by_text, found.first_a),
+        "n_groups": np.diff(np.searchsorted(found.cuts_a, found.first_a)),
+        "n_links": n_links,
         "groups_sha256": [sha256(g).hexdigest() if len(g) else "" for g in group_texts(found, side_a, side_b)],
         "links": packed,
     }

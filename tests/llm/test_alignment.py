@@ -107,3 +107,30 @@ def test_alignment_of_awkward_rows(spark):
     assert sorted(str(r.doc_id) for r in found.collect()) == sorted(str(r.doc_id) for r in docs.collect())
     found, pairs = alignment.aligned_tokens(empty(spark), *alignment.default_tokenizers())
     assert found.count() == 0 and pairs.count() == 0
+
+
+def test_spelling_is_compared_at_once_for_many_texts(monkeypatch):
+    class Coder:
+        bytes = [b"a", b"bc", "é".encode(), b"", b" "]
+        encode = None
+
+    def never(self, i):
+        raise AssertionError("the bytes of tokens are looked up one by one")
+
+    monkeypatch.setattr(alignment, "COMPARED", 2)
+    side = alignment.Side(Coder)
+    side.bytes = type("Bytes", (list,), {"__getitem__": never})(side.bytes)
+    texts = [" abc", " bca", "", " é", " ab", " aa", " ", " aaaa"]
+    ids = [[4, 0, 1], [4, 0, 1], [], [4, 2, 3], [4, 0], [4, 0, 0], [3, 4, 3], [4, 0, 1, 0]]
+    parts = [t.encode() for t in texts]
+    found = side.spells(
+        [np.array(x, np.uint32) for x in ids], np.frombuffer(b"".join(parts), np.uint8), np.array(list(map(len, parts)))
+    )
+    assert found.tolist() == [True, False, True, True, False, True, True, False]
+
+
+def test_long_white_space_is_found_at_any_place():
+    for lead in range(130):
+        assert alignment.has_long_space("x" * lead + " \n" * 256 + "x")
+        assert not alignment.has_long_space("x" * lead + " " * 511 + "x")
+        assert not alignment.has_long_space(" x" * 600)
