@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -181,12 +183,16 @@ def labelled_corpus(spark: SparkSession, path: str, source: str) -> DataFrame:
     )
 
 
-def numbered_lines(spark: SparkSession, path: str, skipped: str) -> DataFrame:
+def numbered_lines(
+    spark: SparkSession, path: str, skipped: str, of_file: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Lines of text files with their ``file`` and their zero-based ``row`` in it.
 
     Lines that match ``skipped`` have no number. Files are read in blocks, by many tasks where they
-    are large; lines are numbered within each block, and a block begins where the counts of those
-    before it in the file end. Only these counts, one row a block, meet by file.
+    are large, and a block's lines stand together in its task, so running ids number them without
+    a shuffle; a block begins where the counts of those before it in the file end. Only these counts
+    and first ids, one row a block, meet by file and are sent to all tasks. ``of_file`` names columns
+    made from ``file``, once a block instead of once a line.
     """
     block = ["file", "_block"]
     lines = (
@@ -194,63 +200,79 @@ def numbered_lines(spark: SparkSession, path: str, skipped: str) -> DataFrame:
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_at"),
             F.btrim("value").alias("line"),
         )
         .filter(~F.regexp_like("line", F.lit(skipped)))
+        .withColumn("_at", F.monotonically_increasing_id())
     )
     before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    begins = lines.groupBy(*block).agg(F.count("*").alias("_n")).select(*block, F.coalesce(before, F.lit(0)).alias("_begins"))
-    within = F.row_number().over(Window.partitionBy(*block).orderBy("_at")) - 1
-    return (
-        lines.withColumn("_within", within)
-        .join(begins, block)
-        .select("file", (F.col("_begins") + F.col("_within")).alias("row"), "line")
+    counts = lines.groupBy(*block).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    more = of_file or {}
+    made = [c.alias(name) for name, c in more.items()]
+    begins = counts.select(*block, F.coalesce(before, F.lit(0)).alias("_begins"), "_first", *made)
+    return lines.join(F.broadcast(begins), block).select(
+        "file", (F.col("_begins") + F.col("_at") - F.col("_first")).alias("row"), "line", *more
     )
 
 
 PARAMETERS = "array<struct<name string, value variant>>"
 
 
-def tool_traces(spark: SparkSession, path: str) -> DataFrame:
+def tool_traces(spark: SparkSession, path: str, of_file: Mapping[str, Column] | None = None) -> DataFrame:
     """Calls of published traces with the place each came from.
 
     A file has one record a line, as JSON lines or as an array with its marks at the ends of lines;
     ``row`` counts records, also those that are no object or have no tool list, which give no call.
     ``domain`` is the folder of the file; ``tool_domain``, ``parent_tool`` and ``api`` are what the call
     itself names, NULL where it doesn't. ``args`` is canonical JSON, optional parameters before required
-    ones of the same name; a response that is no text stays JSON.
+    ones of the same name; a response that is no text stays JSON. ``of_file`` names more columns, made
+    from ``file``, which come first.
     """
     from agentrace.operators.library import canonical_map, flat_parameters
 
     get = lambda c, name, kind="string": F.try_variant_get(c, f"$['{name}']", kind)
-    records = numbered_lines(spark, path, r"^[\[\],]?$").select(
-        "file", "row", F.try_parse_json(F.regexp_replace("line", r"^\[|,$", "")).alias("_r")
-    )
     folder = F.regexp_extract("file", r"(?:^|/)(?:[^/=]+=)?([^/]+)/[^/]+$", 1)
     folder = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+    more = {**(of_file or {}), "domain": folder}
+    records = numbered_lines(spark, path, r"^[\[\],]?$", more).select(
+        "file", "row", *more, F.try_parse_json(F.regexp_replace("line", r"^\[|,$", "")).alias("_r")
+    )
     tools = records.select(
-        "file", "row", folder.alias("domain"), F.posexplode(get(F.col("_r"), "tool list", "array<variant>")).alias("tool_index", "_t")
+        "file", "row", *more, F.posexplode(get(F.col("_r"), "tool list", "array<variant>")).alias("tool_index", "_t")
     )
     tool = F.col("_t")
     raw = lambda name: F.transform(
         F.coalesce(get(tool, name, PARAMETERS), F.array().cast(PARAMETERS)),
         lambda p: F.struct(p["name"].alias("name"), F.coalesce(F.to_json(p["value"]), F.lit("null")).alias("value")),
     )
-    given = F.filter(raw("optional parameters"), lambda p: p["name"].isNotNull())
-    needed = F.filter(raw("required parameters"), lambda p: p["name"].isNotNull())
-    output = get(tool, "executed_output", "variant")
-    is_text = F.schema_of_variant(output) == "STRING"
-    return tools.select(
-        "file",
-        "row",
-        "tool_index",
-        "domain",
+    named = lambda name: F.filter(raw(name), lambda p: p["name"].isNotNull())
+    place = [*(of_file or ()), "file", "row", "tool_index", "domain"]
+    # What is used twice below is a column of its own, or every use would take it from the call again.
+    members = tools.select(
+        *place,
         get(tool, "tool name").alias("tool_name"),
         get(tool, "domain name").alias("tool_domain"),
         get(tool, "parent tool name").alias("parent_tool"),
         get(tool, "API name").alias("api"),
-        canonical_map(flat_parameters(needed, given)).alias("args"),
-        F.when(is_text, get(tool, "executed_output")).otherwise(F.nullif(F.to_json(output), F.lit("null"))).alias("output"),
+        named("required parameters").alias("_needed"),
+        named("optional parameters").alias("_given"),
+        get(tool, "executed_output", "variant").alias("_output"),
         get(tool, "execution_status").alias("status"),
     )
+    texts = members.select(
+        *[c for c in members.columns if c not in ("_needed", "_given", "_output")],
+        flat_parameters(F.col("_needed"), F.col("_given")).alias("_args"),
+        F.to_json("_output").alias("_json"),
+        F.try_variant_get("_output", "$", "string").alias("_text"),
+        (F.schema_of_variant("_output") == "STRING").alias("_is_text"),
+    )
+    return texts.select(
+        *place,
+        "tool_name",
+        "tool_domain",
+        "parent_tool",
+        "api",
+        canonical_map(F.col("_args")).alias("args"),
+        F.when(F.col("_is_text"), F.col("_text")).otherwise(F.nullif("_json", F.lit("null"))).alias("output"),
+        "status",
+    )
