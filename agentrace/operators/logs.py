@@ -180,29 +180,23 @@ def invocations(log: DataFrame, keys: Sequence[str], parts: int | None = None) -
     )
     same = F.coalesce("tool_id", F.lit("\u0000")) == F.col("head_id")
     gap = F.when(F.col("type") == "coverage_gap", 1).otherwise(0)
-    head = F.struct(
+    # Position and kind of a response fit one long, so the first response is a plain minimum that
+    # is kept by hash; heads, which hold texts, are not aggregated: each begins a group of its own.
+    group = ["_k1", "_k2", "op_count"]
+    answers = tagged.filter(~is_inv & same).groupBy(*group).agg(F.min(F.col("event_id") * 2 + gap).alias("_first"))
+    outcome = (
+        F.when(F.col("_first").isNull(), "unknown")
+        .when(F.col("_first") % 2 == 1, "coverage_gap")
+        .otherwise("success")
+    )
+    return tagged.filter(is_inv).join(answers, group, "left").select(
         *keys,
         (F.col("op_count") - 1).cast("long").alias("op_ord"),
         F.coalesce("tool_name", "tool_id", F.lit("tool")).alias("tool"),
         "tool_id",
         "arguments",
+        outcome.alias("outcome"),
     )
-    # One head per group; position and kind of a response fit one long, so that the first
-    # response is a plain minimum.
-    grouped = (
-        tagged.filter(is_inv | same)
-        .groupBy("_k1", "_k2", "op_count")
-        .agg(
-            F.max(F.when(is_inv, head)).alias("_head"),
-            F.min(F.when(~is_inv, F.col("event_id") * 2 + gap)).alias("_first"),
-        )
-    )
-    outcome = (
-        F.when(F.col("_first").isNull(), "unknown")
-        .when(F.col("_first") % 2 == 1, "coverage_gap")
-        .otherwise("success")
-    )
-    return grouped.filter(F.col("_head").isNotNull()).select("_head.*", outcome.alias("outcome"))
 
 
 def route_builder(log: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agentrace.operators import graphs, kernel, library
+from agentrace.operators import graphs, kernel, library, logs
+from agentrace.sources import readers
 
 
 def plan(df):
@@ -63,3 +64,34 @@ def test_vectors_of_shared_graphs(spark):
     features = spark.createDataFrame([(1, 2, 0, 7, 3)], "g1 long, g2 long, iteration int, feature long, n long")
     row = kernel.shared_vectors(graph, features, ["model", "task_id", "family", "form"]).collect()
     assert [(r.feature, r.c0, r.c1, r.c2, r._source) for r in row] == [(7, 3.0, 3.0, 3.0, True)]
+
+
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
+    for name, n in (("a", 700), ("b", 1), ("c", 0), ("d", 400)):
+        folder = tmp_path / f"part={name}"
+        folder.mkdir()
+        (folder / "x.txt").write_text("".join(f"skip\n  {name}{i} \n" for i in range(n)))
+    part = F.regexp_extract("file", "part=([a-z])/", 1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        found = readers.numbered_lines(spark, str(tmp_path), "^skip$", {"part": part})
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 3
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.part, r.row, r.line) for r in rows) == sorted(
+        (name, i, f"{name}{i}") for name, n in (("a", 700), ("b", 1), ("d", 400)) for i in range(n)
+    )
+    # Only counts are windowed and shuffled, and the file's own column is made beside them.
+    assert "row_number" not in plan(found).lower() and plan(found).count("regexp_extract") == 1
+
+
+def test_calls_are_not_aggregated_by_sorting(spark):
+    rows = [("r", 1, "tool_invocation", "t", None, "{}"), ("r", 2, "coverage_gap", "u", "u", None), ("r", 3, "fixed_tool_response", "t", "t", None),
+            ("r", 4, "coverage_gap", "t", "t", None), ("r", 5, "tool_invocation", None, None, None), ("r", 6, "coverage_gap", None, "x", None),
+            (None, 7, "fixed_tool_response", "t", "t", None), (None, 8, "tool_invocation", "t", "n", None)]
+    log = spark.createDataFrame(rows, "run string, event_id long, type string, tool_id string, tool_name string, arguments string")
+    found = logs.invocations(log, ["run"])
+    got = {tuple(r) for r in found.select("run", "op_ord", "tool", "tool_id", "arguments", "outcome").collect()}
+    assert got == {("r", 0, "t", "t", "{}", "success"), ("r", 1, "tool", None, None, "coverage_gap"), (None, 0, "n", "t", None, "unknown")}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
