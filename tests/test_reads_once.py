@@ -1,9 +1,12 @@
 """Costly steps run once, however many branches read them, and equal texts are searched once."""
 
+import time
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agentrace.operators import graphs, kernel, library, logs
+from agentrace.session import materialize
 from agentrace.sources import readers
 
 
@@ -30,6 +33,37 @@ def test_search_reads_texts_once(spark):
     assert seen.value == 30
 
 
+def test_pairs_of_equal_texts_and_queries_take_little_space(spark, tmp_path):
+    texts = lambda n, start, key, text: spark.range(start, start + n).select(F.col("id").alias(key), F.lit(text).alias("text"))
+    for few, many in (("record", "query_id"), ("query_id", "record")):
+        n = {few: 200, many: 20000}
+        records = texts(n["record"], 0, "record", "red bolt")
+        queries = texts(n["query_id"], 50000, "query_id", "bolt Red").withColumnRenamed("text", "query")
+        library.token_search(records, queries, "record", "text").write.parquet(f"{tmp_path}/{few}")
+        found = spark.read.parquet(f"{tmp_path}/{few}")
+        assert found.count() == found.distinct().count() == 4_000_000
+        assert sum(f.stat().st_size for f in (tmp_path / few).glob("*.parquet")) < 0.5 * 4_000_000
+
+
+def test_search_keeps_null_and_repeated_ids(spark):
+    records = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "b a"), (None, "a"), (2, "c")], "record long, text string")
+    queries = spark.createDataFrame([(7, "B"), (None, "a"), (8, "b"), (9, "")], "query_id long, query string")
+    got = sorted(map(str, map(tuple, library.token_search(records, queries, "record", "text").collect())))
+    want = [(q, r) for q, t in ((7, "b"), (8, "b"), (None, "a")) for r, x in ((1, "ab"), (1, "ab"), (None, "ab"), (None, "a"), (2, "c")) if t in x]
+    assert got == sorted(map(str, want))
+
+
+def test_shuffles_go_with_the_table_they_were_for(spark):
+    blocks = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    kept = lambda: {b for b in blocks().mkString("\n").split("\n") if b.startswith("shuffle_")}
+    before = kept()
+    rows = materialize(spark.range(5000).repartition(3).groupBy((F.col("id") % 70).alias("k")).count(), "t")
+    until = time.time() + 20
+    while (left := kept() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and rows.count() == 70
+
+
 def test_call_search_reads_calls_once(spark):
     tools = spark.createDataFrame([(1, "mail"), (2, "file")], "tool_id long, text string")
     rows = [(f"c{i}", 1 + i % 2, '{"n": %d}' % (i % 4)) for i in range(20)]
