@@ -8,9 +8,9 @@ only compared inside one task, so 64-bit labels are ample.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentrace.operators.graphs import PRECEDES, _lanes
@@ -119,7 +119,7 @@ def wl_features(
 def distinct_graphs(
     nodes: DataFrame, edges: DataFrame, keys: Sequence[str], also: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per graph: its key, its content ``g1, g2``, and whether it ``stands`` for that content.
+    """One row per graph: its key, its content ``g1, g2``, ``n_nodes``, and whether it ``stands`` for that content.
 
     The content is 128 bits of sums of hashes of all nodes and edges, so it needs no order and its
     parts are combined before the shuffle. Of graphs with equal content, one stands for all.
@@ -141,10 +141,10 @@ def distinct_graphs(
         .agg(F.first("_key").alias("_key"), F.sum("_n").alias("_n"), F.count("*").alias("_all"), *[F.sum(c).alias(c) for c in lanes])
     )
     content = [F.xxhash64(F.lit(seed), *lanes, "_n", "_all").alias(f"g{seed}") for seed in (1, 2)]
-    graphs = materialize(summed.select("_key.*", "_k1", "_k2", *content), "graphs")
+    graphs = materialize(summed.select("_key.*", "_k1", "_k2", *content, F.col("_n").alias("n_nodes")), "graphs")
     standing = graphs.groupBy("g1", "g2").agg(F.min(F.struct("_k1", "_k2")).alias("_first"))
     is_first = (F.col("_first._k1") == F.col("_k1")) & (F.col("_first._k2") == F.col("_k2"))
-    return graphs.join(standing, ["g1", "g2"]).select(*keys, "_k1", "_k2", "g1", "g2", is_first.alias("stands"))
+    return graphs.join(standing, ["g1", "g2"]).select(*keys, "_k1", "_k2", "g1", "g2", "n_nodes", is_first.alias("stands"))
 
 
 def shared_features(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], h: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -173,14 +173,8 @@ def view_features(
     are labelled by one run of the kernel, each with the labels that it would have alone: a
     message counts for a view if the edge and the node it comes from belong to it.
     """
-    masked = lambda df: df.withColumn("views", F.col("views").cast("int"))
-    nodes, edges = materialize(masked(nodes), "nodes"), masked(edges)
-    graphs = materialize(distinct_graphs(nodes, edges, keys, ["views"]), "graphs")
-    first = graphs.where("stands").select("_k1", "_k2", "g1", "g2")
     content = ["g1", "g2"]
-    stands = lambda df: with_compact_key(df, keys).join(first, ["_k1", "_k2"])
-    labels = stands(nodes).select(*content, "views", F.xxhash64("node_id").alias("_node"), F.xxhash64("label").alias("l0"))
-    labels = _relabelled(labels, _half_edges(stands(edges), content), content, [], h, len(views))
+    graphs, labels = _view_labels(nodes, edges, keys, views, h)
     listed = [
         F.when(
             _in_view(F.col("views"), v),
@@ -194,6 +188,64 @@ def view_features(
     return graphs, materialize(features, "features")
 
 
+def _view_labels(
+    nodes: DataFrame, edges: DataFrame, keys: Sequence[str], views: Sequence[str], h: int
+) -> tuple[DataFrame, DataFrame]:
+    """The content of every graph, and the labels of the nodes of every content."""
+    masked = lambda df: df.withColumn("views", F.col("views").cast("int"))
+    nodes, edges = materialize(masked(nodes), "nodes"), masked(edges)
+    graphs = materialize(distinct_graphs(nodes, edges, keys, ["views"]), "graphs")
+    first = graphs.where("stands").select("_k1", "_k2", "g1", "g2", "n_nodes")
+    content = ["g1", "g2"]
+    stands = lambda df: with_compact_key(df, keys).join(first, ["_k1", "_k2"])
+    labels = stands(nodes).select(
+        *content, "n_nodes", "views", F.xxhash64("node_id").alias("_node"), F.xxhash64("label").alias("l0")
+    )
+    return graphs, _relabelled(labels, _half_edges(stands(edges), content), content, ["n_nodes"], h, len(views))
+
+
+#: Nodes of a graph for one list of its features, and nodes of a task for one part of its work, about.
+LIST_NODES, PART_NODES = 1 << 9, 1 << 16
+
+
+def _parts(n: Column, each: int) -> Column:
+    """A power of two, so that features fall into parts by their low bits."""
+    return F.pow(F.lit(2), F.greatest(F.ceil(F.log2(n / each)), F.lit(0))).cast("long")
+
+
+def packed_features(
+    nodes: DataFrame, edges: DataFrame, keys: Sequence[str], views: Sequence[str], h: int = 2
+) -> tuple[DataFrame, DataFrame]:
+    """The features of ``view_features`` as lists ``codes, features, counts`` of a content.
+
+    A code is view * (h + 1) + iteration. Features of a large graph fall into ``lots`` lists by their low
+    bits, ``lot``, so no row grows with its graph.
+    """
+    content = ["g1", "g2"]
+    graphs, labels = _view_labels(nodes, edges, keys, views, h)
+    listed = [
+        F.when(
+            _in_view(F.col("views"), v),
+            F.struct(F.lit(v * (h + 1) + i).cast("byte").alias("code"), F.col(_label(v, i)).alias("feature")),
+        )
+        for v in range(len(views))
+        for i in range(h + 1)
+    ]
+    lots = _parts(F.col("n_nodes"), LIST_NODES).alias("lots")
+    rows = labels.select(*content, lots, F.inline(F.array_compact(F.array(*listed))))
+    counted = rows.groupBy(*content, "lots", "code", "feature").agg(F.count("*").alias("n"))
+    counted = materialize(counted, "features")
+    part = lambda c: F.transform("_list", lambda x: x[c])
+    packs = (
+        counted.withColumn("lot", F.col("feature").bitwiseAND(F.col("lots") - 1))
+        .repartition(*content, "lot")
+        .groupBy(*content, "lots", "lot")
+        .agg(F.collect_list(F.struct("code", "feature", "n")).alias("_list"))
+        .select(*content, "lots", "lot", part("code").alias("codes"), part("feature").alias("features"), part("n").alias("counts"))
+    )
+    return graphs, packs
+
+
 def form_vectors(features: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Feature counts of the (at most three) repeats of a form, side by side in one row.
 
@@ -245,8 +297,13 @@ def _cosine(dot: Column, a: Column, b: Column) -> Column:
     )
 
 
-def _pair_rows(pairs, left: str, right: str, left_has: str, right_has: str) -> Column:
-    """Pair structs of one form; pairs with a missing run are NULL and dropped later."""
+def _pair_rows(
+    pairs, left: str, right: str, left_has: str, right_has: str, dot: str = "d", views: Mapping[str, str] | None = None
+) -> Column:
+    """Pair structs of one form; pairs with a missing run are NULL and dropped later.
+
+    ``views`` names the similarities and gives the suffix of the columns that each is made of.
+    """
     return F.array(
         *[
             F.when(
@@ -254,9 +311,12 @@ def _pair_rows(pairs, left: str, right: str, left_has: str, right_has: str) -> C
                 F.struct(
                     F.lit(i).alias("left_repeat"),
                     F.lit(j).alias("right_repeat"),
-                    _cosine(
-                        F.col(f"d{i}{j}"), F.col(f"{left}{i}"), F.col(f"{right}{j}")
-                    ).alias("similarity"),
+                    *[
+                        _cosine(
+                            F.col(f"{dot}{i}{j}{of}"), F.col(f"{left}{i}{of}"), F.col(f"{right}{j}{of}")
+                        ).alias(name)
+                        for name, of in (views or {"similarity": ""}).items()
+                    ],
                 ),
             )
             for i, j in pairs
@@ -328,3 +388,68 @@ def pair_scores(
         .filter(F.col("p").isNotNull())
         .select(*form_keys, "comparison", "p.left_repeat", "p.right_repeat", "p.similarity")
     )
+
+
+def packed_pair_scores(
+    graphs: DataFrame, packs: DataFrame, runs: DataFrame, task_keys: Sequence[str], names: Sequence[str], h: int = 2
+) -> DataFrame:
+    """Similarities of every run pair as in ``pair_scores``, a column of ``names`` for each view.
+
+    Lists of features travel once, to their task, whose forms are counted and multiplied there; the
+    task of many nodes is done in parts by the low bits of features. ``runs`` have no view.
+    """
+    form_keys = [*task_keys, "family", "form"]
+    form, task, content = ["_k1", "_k2"], ["_t1", "_t2"], ["g1", "g2"]
+    ids = _form_ids(graphs, form_keys).select(
+        *form, *task, (F.col("family") == "source").alias("_source"), repeat_column().alias("repeat"), *content, "n_nodes"
+    )
+    parts = ids.groupBy(*task).agg(_parts(F.sum("n_nodes"), PART_NODES).alias("parts"))
+    # A list is of one part where there are as many lists, and is divided otherwise.
+    mask, within = F.col("parts") - 1, F.col("parts") <= F.col("lots")
+    one = F.col("lot").bitwiseAND(mask)
+    falls = lambda x: x.bitwiseAND(mask) == F.col("part")
+    some = lambda c: F.when(within, F.col(c)).otherwise(
+        F.filter(c, lambda _, i: falls(F.get("features", i)))
+    )
+    dealt = (
+        ids.drop("n_nodes").join(parts, task).join(packs, content)
+        .withColumn("part", F.explode(F.sequence(F.when(within, one).otherwise(F.col("lot")), F.when(within, one).otherwise(mask), F.col("lots"))))
+        .select(*form, *task, "part", "_source", "repeat", *[some(c).alias(c) for c in ("codes", "features", "counts")])
+        .repartition(*task, "part")
+    )
+    place = [*task, "part", "code", "feature"]
+    counted = (
+        dealt.select(*form, *task, "part", "_source", "repeat", "codes", "counts", F.posexplode("features").alias("_i", "feature"))
+        .withColumns({"code": F.get("codes", F.col("_i")), "n": F.get("counts", F.col("_i"))})
+        .groupBy(*form, *place, "_source")
+        .agg(*[F.sum(F.when(F.col("repeat") == r, F.col("n")).otherwise(0)).cast("double").alias(f"c{r}") for r in range(REPEATS)])
+    )
+    beside = Window.partitionBy(*place)
+    both = counted.withColumns(
+        {f"s{r}": F.coalesce(F.sum(F.when(F.col("_source"), F.col(f"c{r}"))).over(beside), F.lit(0.0)) for r in range(REPEATS)}
+    )
+    sums, views = [], {name: f"_{v}" for v, name in enumerate(names)}
+    for v, of in enumerate(views.values()):
+        product = lambda a, b: F.sum(F.when(F.floor(F.col("code") / (h + 1)) == v, F.col(a) * F.col(b)))  # noqa: B023, E731
+        sums += [product(f"c{r}", f"c{r}").alias(f"n{r}{of}") for r in range(REPEATS)]
+        sums += [product(f"c{i}", f"c{j}").alias(f"d{i}{j}{of}") for i, j in PAIRS_WITHIN]
+        sums += [product(f"s{i}", f"c{j}").alias(f"x{i}{j}{of}") for i, j in PAIRS_ACROSS]
+    present = _form_ids(run_presence(runs, form_keys), form_keys)
+    forms = materialize(present.join(both.groupBy(*form).agg(*sums), form, "left"), "forms")
+
+    is_source = F.col("family") == "source"
+    comparison = F.when(is_source, "source_internal").otherwise("variant_internal")
+    internal = forms.select(
+        *form_keys, comparison.alias("comparison"), F.explode(_pair_rows(PAIRS_WITHIN, "n", "n", "h", "h", views=views)).alias("p")
+    )
+    source = forms.filter(is_source).select(
+        *task,
+        *[F.col(f"n{r}{of}").alias(f"sn{r}{of}") for r in range(REPEATS) for of in views.values()],
+        *[F.col(f"h{r}").alias(f"sh{r}") for r in range(REPEATS)],
+    )
+    variant = forms.filter(~is_source).join(source, task).select(
+        *form_keys,
+        F.lit("source_variant").alias("comparison"),
+        F.explode(_pair_rows(PAIRS_ACROSS, "sn", "n", "sh", "h", "x", views)).alias("p"),
+    )
+    return internal.unionByName(variant).filter(F.col("p").isNotNull()).select(*form_keys, "comparison", "p.*")

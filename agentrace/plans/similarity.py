@@ -362,20 +362,16 @@ FOOTPRINT = (
 def footprint_vs_trajectory(spark, sf_dir):
     """Order-free and order-aware similarity: two views of each graph, labelled by one run of the kernel."""
     base, nodes, edges = tool_graph(spark, sf_dir)
-    views = ("trajectory", "footprint")
-    task = [*TASK_KEYS, "view"]
-    shared = kernel.view_features(
+    names = ("trajectory_similarity", "footprint_similarity")
+    shared = kernel.packed_features(
         nodes.withColumn("views", F.lit(3)),
         edges.withColumn("views", F.when(F.col("relation") == graphs.PRECEDES, 1).otherwise(3)),
         RUN_KEYS,
-        views,
+        names,
     )
-    vectors = kernel.shared_vectors(*shared, [*task, "family", "form"])
-    runs = base.select(*RUN_KEYS).withColumn("view", F.explode(F.array(*[F.lit(v) for v in views])))
-    pairs = kernel.pair_scores(vectors, runs, task)
-    view = lambda v: F.max(F.when(F.col("view") == v, F.col("similarity")))
-    return pairs.groupBy(*TASK_KEYS, "family", "form", "comparison", "left_repeat", "right_repeat").agg(
-        view("footprint").alias("footprint_similarity"), view("trajectory").alias("trajectory_similarity")
+    pairs = kernel.packed_pair_scores(*shared, base.select(*RUN_KEYS), TASK_KEYS, names)
+    return pairs.select(
+        *TASK_KEYS, "family", "form", "comparison", "left_repeat", "right_repeat", "footprint_similarity", "trajectory_similarity"
     )
 
 

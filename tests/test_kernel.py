@@ -161,6 +161,30 @@ def test_views_have_the_labels_they_have_alone(sample):
     assert want.count() > 0 and sorted_rows(got) == sorted_rows(want)
 
 
+@pytest.mark.parametrize("each", [1, 1 << 9])
+def test_lists_of_features_score_as_rows(spark, sample, monkeypatch, each):
+    """Lists and tasks in one part or in many; keys that are NULL, and two sources of a task."""
+    monkeypatch.setattr(kernel, "LIST_NODES", each)
+    monkeypatch.setattr(kernel, "PART_NODES", each)
+    _, nodes, edges, table = sample
+    lacking = lambda df: df.unionByName(df.withColumn("task_id", F.lit(None).cast("string"))).unionByName(
+        df.filter("form = 'p01'").withColumns({"family": F.lit(None).cast("string"), "form": F.lit("x")})
+    ).unionByName(df.filter("form = 'n01'").withColumns({"family": F.lit("source"), "form": F.lit("y")}))
+    names, task = ("a", "b"), ["model", "task_id"]
+    n = lacking(nodes).withColumn("views", F.pmod(F.xxhash64("node_id"), F.lit(4)))
+    e = lacking(edges).withColumn("views", F.pmod(F.xxhash64("src", "dst"), F.lit(4)))
+    runs = lacking(table)
+    found, lists = kernel.packed_features(n, e, KEYS, names)
+    got = kernel.packed_pair_scores(found, lists, runs, task, names)
+    vectors = kernel.shared_vectors(*kernel.view_features(n, e, KEYS, names), [*task, "view", "family", "form"])
+    whole = kernel.pair_scores(vectors, runs.withColumn("view", F.explode(F.array(*map(F.lit, names)))), [*task, "view"])
+    want = Counter(tuple(r)[:2] + tuple(r)[3:] + (r.view,) for r in whole.collect())
+    rows = got.collect()
+    assert got.columns == [*task, "family", "form", "comparison", "left_repeat", "right_repeat", *names]
+    assert len(rows) > 50 and Counter(tuple(r)[:7] + (r[v], v) for r in rows for v in names) == want
+    assert (lists.agg(F.max("lots")).first()[0] > 1) == (each == 1) and (each == 1 or lists.count() == lists.select("g1", "g2").distinct().count())
+
+
 def test_projection_views_equal_projections(spark):
     keys = ["g"]
     nodes = [("x", f"op:{i}", f"op:t{i}|outcome:ok") for i in range(5)]
