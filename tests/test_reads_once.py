@@ -75,6 +75,39 @@ def test_call_search_reads_calls_once(spark):
     assert seen.value == 20
 
 
+def test_call_ids_are_made_of_found_calls_only(spark):
+    tools = spark.createDataFrame([(1, "mail"), (2, "file")], "tool_id long, text string")
+    many = " ".join(f"w{i}" for i in range(400))  # sets all bits of tokens
+    rows = [(t, a) for t in (1, 2, 3, None) for a in ('{"n": 1}', '{"n": 2}', "{}", None, many)]
+    calls = spark.createDataFrame(rows, "tool_id long, arguments string")
+    asked = [("a", "mail", "n 2"), ("b", None, "1"), ("c", "file mail", "n"), ("d", "mail", "absent w7"), ("e", "", "w399 w3"), ("f", "file", None), ("g", "", "gone"), (None, "mail", "n")]
+    queries = spark.createDataFrame(asked, "query_id string, query string, argument_query string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(tool, arguments):
+        seen.add(1)
+        return f"{tool}/{arguments}"
+
+    made_id = F.udf(made, T.StringType()).asNondeterministic()("tool_id", "arguments")
+    found = library.call_search(tools, calls, queries, call_id=made_id, keep=["tool_id", "arguments"])
+    got = found.collect()
+    words = lambda x: set((x or "").replace('{"n": ', "n ").replace("}", "").split())
+    names = {1: {"mail"}, 2: {"file"}, 3: set(), None: set()}
+    want = [
+        (q, f"{t}/{a}", t, a) for q, named, args in asked for t, a in rows
+        if q and words(named) <= names[t] and (a in (None, "{}") or words(args) <= words(a))
+    ]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and seen.value == len(want) > 20
+
+
+def test_null_ids_of_calls(spark):
+    tools = spark.createDataFrame([(1, "mail")], "tool_id long, text string")
+    calls = spark.createDataFrame([(None, 1, "{}"), (None, 1, '{"n": 2}'), ("c", 1, '{"n": 2}')], "call_id string, tool_id long, arguments string")
+    queries = spark.createDataFrame([("a", "mail", "2"), ("b", "mail", ""), ("c", "", "n")], "query_id string, query string, argument_query string")
+    got = [tuple(r) for r in library.call_search(tools, calls, queries).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [("a", "c"), ("b", None), ("b", None), ("b", "c"), ("c", "c")]))
+
+
 def test_overlap_joins_nothing_and_null_items_meet_nothing(spark):
     e = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "x"), (None, "z")], "k long, item string")
     a = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (3, "x"), (None, "z")], "k long, item string")
