@@ -108,6 +108,14 @@ def test_null_ids_of_calls(spark):
     assert sorted(map(str, got)) == sorted(map(str, [("a", "c"), ("b", None), ("b", None), ("b", "c"), ("c", "c")]))
 
 
+def test_tools_that_come_twice(spark):
+    tools = spark.createDataFrame([(1, "mail"), (1, "mail"), (2, "mail")], "tool_id long, text string")
+    calls = spark.createDataFrame([("c", 1, "{}"), ("d", 1, '{"n": 2}'), ("e", 2, '{"n": 2}')], "call_id string, tool_id long, arguments string")
+    queries = spark.createDataFrame([("a", "mail", "2"), ("b", "mail", "")], "query_id string, query string, argument_query string")
+    got = sorted(tuple(r) for r in library.call_search(tools, calls, queries).collect())
+    assert got == [("a", "c"), ("a", "d"), ("a", "e"), ("b", "c"), ("b", "c"), ("b", "d"), ("b", "d"), ("b", "e")]
+
+
 def test_overlap_joins_nothing_and_null_items_meet_nothing(spark):
     e = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "x"), (None, "z")], "k long, item string")
     a = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (3, "x"), (None, "z")], "k long, item string")
